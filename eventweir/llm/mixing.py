@@ -78,16 +78,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     return out.select(*docs.columns, "copy", "shuffle_key").repartition(at, "shuffle_key").sortWithinPartitions("shuffle_key")
 
 
-#: DuckDB SQL for mix(documents) with the default weights and seed 0: doc_id, source, copy, shuffle_key.
+#: DuckDB SQL for mix(documents) with the default weights and seed 0.
 SQL = f"""
 WITH counts AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), {POWER}) AS weight FROM documents GROUP BY source),
 rates AS (SELECT source, (SELECT sum(n) FROM counts) * (weight / (SELECT sum(weight) FROM counts)) / n AS rate FROM counts),
 parts AS (SELECT source, rate, CAST(greatest(1, ceil(rate / {PART})) AS INTEGER) AS m FROM rates),
 steps AS (SELECT source, m, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM
   (SELECT source, m, k, exp(k * ln(rate / m) - rate / m - lgamma(k + 1)) AS p FROM parts, range({TERMS}) t(k) WHERE rate > 0)),
-draws AS (SELECT d.doc_id, d.source, j, CAST('0x' || substr(md5('0:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || j), 1, 13) AS BIGINT) / pow(2.0, 52) AS u
+draws AS (SELECT DISTINCT d.doc_id, d.source, j, CAST('0x' || substr(md5('0:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || j), 1, 13) AS BIGINT) / pow(2.0, 52) AS u
   FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(1, p.m + 1)) AS j)),
 copies AS (SELECT d.doc_id, d.source, CAST(sum((SELECT count(*) FROM steps s WHERE s.source IS NOT DISTINCT FROM d.source AND s.c <= d.u)) AS INTEGER) AS n FROM draws d GROUP BY ALL)
-SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, md5('order:0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy) AS shuffle_key
-FROM (SELECT doc_id, source, unnest(range(n)) AS copy FROM copies WHERE n > 0)
+SELECT d.*, CAST(c.copy AS INTEGER) AS copy, md5('order:0:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || c.copy) AS shuffle_key
+FROM documents d JOIN (SELECT doc_id, source, unnest(range(n)) AS copy FROM copies WHERE n > 0) c
+  ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.source IS NOT DISTINCT FROM c.source
 """
