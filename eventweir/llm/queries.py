@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventweir.llm import mixing, packing, simhash_dedup, token_file
+from eventweir.llm import langid, line_dedup, mixing, packing, simhash_dedup, token_file
 from eventweir.llm.common import tables
 
 
@@ -21,6 +22,17 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(tables(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(tables(spark, sf_dir, "documents"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    model = langid.train(docs, fold != 1)
+    return langid.predict(docs.select("doc_id", (fold == 1).alias("held_out"), "text"), model).drop("text")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tables(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
