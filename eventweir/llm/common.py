@@ -146,7 +146,7 @@ def columns(table: pa.Table) -> dict:
         if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type):
             out[name] = np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1)
         else:
-            out[name] = c.to_numpy(zero_copy_only=False)
+            out[name] = c.to_numpy(zero_copy_only=False)  # lists become an array of arrays
     return out
 
 

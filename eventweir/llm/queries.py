@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweir.llm import langid, line_dedup, mixing, packing, simhash_dedup, token_file
+from eventweir.llm import embed_dedup, langid, line_dedup, mixing, packing, simhash_dedup, token_file
 from eventweir.llm.common import tables
 
 
@@ -37,6 +37,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tables(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(tables(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(tables(spark, sf_dir, "documents"))
 
