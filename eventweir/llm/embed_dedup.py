@@ -94,16 +94,13 @@ def usable(vector: Column) -> Column:
 def near(cosine: float):
     def linked(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
         a, b = (np.ascontiguousarray(x["vector"]).view("<f8").reshape(len(x["id"]), -1) for x in (left, right))
-        # sorted filter lists: the smallest common filter is this bucket if no smaller one is common
-        lists_l, lists_r = left["filters"], right["filters"]
-        here = int(left["bucket"][0])
-        # in each half the pair's own products decide, so compare only pairs that link
         links = a @ b.T >= cosine
-        counted = np.zeros(links.shape, bool)
-        for i, j in zip(*np.nonzero(links), strict=True):
-            common = np.intersect1d(lists_l[i], lists_r[j], assume_unique=True)
-            counted[i, j] = common.size > 0 and common[0] == here
-        return links, counted
+        # this bucket counts a link if the two have no smaller filter in common
+        lists = [x[: np.searchsorted(x, left["bucket"][0])] for x in (*left["filters"], *right["filters"])]
+        kinds, at = np.unique(np.concatenate(lists), return_inverse=True)
+        passes = np.zeros((len(lists), len(kinds)), np.float32)
+        passes[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), at] = 1
+        return links, passes[: len(a)] @ passes[len(a) :].T < 0.5
 
     return linked
 
