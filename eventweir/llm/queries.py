@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweir.llm import embed_dedup, langid, line_dedup, mixing, packing, simhash_dedup, token_file
+from eventweir.llm import embed_dedup, html_extract, langid, line_dedup, mixing, packing, simhash_dedup, token_file
 from eventweir.llm.common import tables
 
 
@@ -41,6 +41,11 @@ def op5_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(tables(spark, sf_dir, "embeddings"))
 
 
+def op6_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(tables(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(tables(spark, sf_dir, "documents"))
 
