@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventweir.sources.scratch import scratch_path, shared_dir, written  # noqa: F401
+
 #: Members of a bucket that meet in one task are at most twice this many; larger buckets are dealt out as pairs of blocks.
 BLOCK = 128
 #: A side is broadcast only if it was counted and has at most so many rows.
@@ -19,25 +19,6 @@ BROADCAST_ROWS = 10_000
 CHUNK = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests on one machine), a temporary one."""
-    if not (where := spark.conf.get("spark.checkpoint.dir", "")):
-        where = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/eventweir-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table with a broadcast hint if a count shows that it has at most so many rows; else unchanged."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -184,7 +165,3 @@ def verify(batches: Iterator[pa.RecordBatch], linked: Callable) -> Iterator[pa.R
         a, b = a[a != b], b[a != b]
         none = lambda k: pa.nulls(k, pa.int64())
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64())]), pa.concat_arrays([none(len(ids)), pa.array(b, pa.int64())]), pa.concat_arrays([pa.array(n.astype(np.int64)), none(len(a))])], ["a", "b", "n"])
-
-
-def as_bytes(c: Column) -> Column:
-    return c.cast("binary")

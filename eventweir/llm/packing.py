@@ -7,8 +7,8 @@ stream up to cut point j,
 
     f(j) = penalty(j) + min over i with pos(j) - pos(i) <= window of f(i) + window - (pos(j) - pos(i)),
 
-the minimum of f(i) + pos(i) over a sliding window, which a monotone queue gives in constant time per cut point; the windows of
-2^k tokens are tried beside it. The stream is worked off in blocks of documents, so memory is bounded and nothing is shuffled.
+the minimum of f(i) + pos(i) over a sliding window, which a monotone queue gives in constant time per cut point; windows of exactly
+a half and a quarter are tried beside it. The stream is worked off in blocks of documents, so memory is bounded and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -44,24 +44,22 @@ def sentence_ends(vocab: dict[str, int]) -> np.ndarray:
 
 def cut_points(lengths: np.ndarray, ids: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where the stream may be cut, ascending, from 0 to its end; and the penalty of each."""
-    after = np.flatnonzero(ends[ids]) + 1
-    docs = np.cumsum(lengths)
-    at = np.unique(np.concatenate([[0], after, docs]))
-    gaps = np.diff(at)
-    if (long := np.flatnonzero(gaps > window)).size:
-        at = np.unique(np.concatenate([at, *[np.arange(at[k] + window // 4, at[k + 1], window // 4) for k in long]]))
-    penalty = np.full(len(at), INNER_PENALTY, np.int64)
-    penalty[np.isin(at, after)] = SENTENCE_PENALTY
-    penalty[np.isin(at, docs)] = 0
-    penalty[0] = 0
-    return at, penalty
+    cost = np.full(len(ids) + 1, -1, np.int8)
+    cost[1:][ends[ids]] = SENTENCE_PENALTY
+    cost[np.cumsum(lengths)] = 0
+    cost[0] = 0
+    at = np.flatnonzero(cost >= 0)
+    for k in np.flatnonzero(np.diff(at) > window).tolist():
+        cost[at[k] + window // 4 : at[k + 1] : window // 4] = INNER_PENALTY
+    at = np.flatnonzero(cost >= 0)
+    return at, cost[at].astype(np.int64)
 
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     """The cut points (positions) of the cheapest windows, the first and the last position included."""
     pos, pen = at.tolist(), penalty.tolist()
     index = {p: k for k, p in enumerate(pos)}
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
+    powers = [window // 2, window // 4] if window & (window - 1) == 0 else []
     cost, back = [0] * len(pos), [0] * len(pos)
     queue: deque[int] = deque([0])
     for j in range(1, len(pos)):

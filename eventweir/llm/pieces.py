@@ -8,7 +8,6 @@ call, and remembered up to a limit. Every other text is encoded as it is. Both g
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -16,11 +15,22 @@ import numpy as np
 from eventweir.llm.common import ragged
 
 #: Words that a worker remembers; beyond it, it starts again.
-REMEMBERED = 400_000
-_IRREGULAR = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z|[\x00-\x08\x0e-\x1f\x7f]|<\|")
+REMEMBERED = 1_000_000
 _TOGETHER = 500
 
 
+class Known(dict):
+    """Numbers of words; a new word gets the next one and is noted as fresh."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,18 +57,49 @@ class Pieces:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.int32)
-        self.used = 0
-        self.ends = [0]
-
-    def _learn(self, words: list[str]) -> None:
-        texts, sizes = [], []
+        self.known = Known()
+        self.flat, self.used = np.zeros(1 << 20, np.int32), 0
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.known) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.size[numbers] = lengths
+        self.used += len(ids)
+
+    def _learn(self) -> None:
+        """Encodes the fresh words. One that is letters and a full stop or comma is made of the two."""
+        known, plain, marked = self.known, [], []
+        for w in known.fresh:
+            (marked if w[-1] in ".," and w[:-1].strip("\n").isalpha() and max(w) < "\u0250" else plain).append(w)
+        known.fresh = []
+        for w in marked:
+            known[w[:-1]]
+        plain += known.fresh
+        for mark in {w[-1] for w in marked}:
+            known["\0" + mark]
+        known.fresh = []
+        self._encode(plain)
+        for mark in ".,":
+            if words := [w for w in marked if w[-1] == mark]:
+                own = known["\0" + mark]
+                ids = np.array(self.own.encode(mark, add_special_tokens=False).ids, np.int32)
+                self._store(np.array([own]), ids, np.array([len(ids)]))
+                pair = np.array([(known[w[:-1]], own) for w in words])
+                lengths = self.size[pair]
+                self._store(np.array([known[w] for w in words]), self.flat[ragged(self.begin[pair].ravel(), lengths.ravel())], lengths.sum(1))
+
+    def _encode(self, words: list[str]) -> None:
+        texts, groups = [], []
         for at in range(0, len(words), _TOGETHER):
             some = words[at : at + _TOGETHER]
-            sizes.append(len(some))
+            groups.append(np.array([self.known[w] for w in some]))
             texts.append("".join(w if w[0] == "\n" else " " + w for w in some) if self.byte_level else " \x01 ".join(some))
-        for encoded, n in zip(self.own.encode_batch(texts, add_special_tokens=False), sizes, strict=True):
+        for encoded, numbers in zip(self.own.encode_batch(texts, add_special_tokens=False), groups, strict=True):
             ids = np.array(encoded.ids, np.int32)
             if self.byte_level:
                 lengths = np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
@@ -66,39 +107,33 @@ class Pieces:
                 marks = np.flatnonzero(ids == self.mark[0])
                 lengths = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
                 ids = np.delete(ids, marks)
-            assert len(lengths) == n
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.ends.extend((self.used + np.cumsum(lengths)).tolist())
-            self.used += len(ids)
+            assert len(lengths) == len(numbers)
+            self._store(numbers, ids, lengths)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text (int32)."""
         if len(self.known) > REMEMBERED:
             self.forget()
         out: list[np.ndarray | None] = [None] * len(texts)
-        known, fresh, rows, whole = self.known, [], [], []
+        number, rows, whole = self.known.__getitem__, [], []
         for k, text in enumerate(texts):
             if not text:
                 out[k] = np.zeros(0, np.int32)
-            elif _IRREGULAR.search(text):
+                continue
+            words = (("\n" + text).replace("\n", " \n")[1:] if self.byte_level else text.replace("\n", " ")).split(" ")
+            # no white space but single spaces and line breaks between words: then white space of any kind leaves as many words and characters
+            parts = text.split()
+            if len(parts) != len(words) or len("".join(parts)) + len(parts) - 1 != len(text) or "\x00" in text or "\x01" in text or "\u180e" in text:
                 whole.append(k)
             else:
-                words = (("\n" + text).replace("\n", " \n")[1:] if self.byte_level else text.replace("\n", " ")).split(" ")
-                if new := [w for w in dict.fromkeys(words) if w not in known]:
-                    at = len(known)
-                    known.update(zip(new, range(at, at + len(new)), strict=True))
-                    fresh += new
-                rows.append((k, np.fromiter(map(known.__getitem__, words), np.int64, len(words))))
-        if fresh:
-            self._learn(fresh)
+                rows.append((k, np.fromiter(map(number, words), np.int64, len(words))))
+        if self.known.fresh:
+            self._learn()
         if whole:
             for k, encoded in zip(whole, self.own.encode_batch([texts[k] for k in whole], add_special_tokens=False), strict=True):
                 out[k] = np.array(encoded.ids, np.int32)
-        ends = np.array(self.ends)
         for k, at in rows:
-            ids = self.flat[ragged(ends[at], ends[at + 1] - ends[at])]
+            ids = self.flat[ragged(self.begin[at], self.size[at])]
             out[k] = ids[1:] if self.byte_level else ids
         return out
 
