@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventweir.functions.schema import ENGINE_HOST, event_id
 from eventweir.operators.frames import Frames, compared
@@ -84,7 +85,7 @@ def anchored(df: DataFrame, keys: Sequence[str], timeout: int, time: str = "arri
                     k = stop
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts)], schema=batch.schema.append(pa.field("win_start", pa.int64())))
 
-    schema = long.schema.add("win_start", "long")
+    schema = T.StructType([*long.schema.fields, T.StructField("win_start", T.LongType())])
     windows = one.unionByName(long.mapInArrow(scan, schema)).withColumn("win_seq", F.dense_rank().over(W.partitionBy(*keys).orderBy("win_start")) - 1)
     return _back(df, windows, keys, time)
 

@@ -136,11 +136,12 @@ def when(condition: Column, actions: Sequence[Action], otherwise: Sequence[Actio
     """A nested block: the actions where the condition holds too, the alternative ones where it does not."""
 
     def act(df: DataFrame, where: Column) -> DataFrame:
-        df = df.withColumn("_where", where).withColumn("_if", F.coalesce(condition, F.lit(False)))
-        for chosen, some in ((F.col("_where") & F.col("_if"), actions), (F.col("_where") & ~F.col("_if"), otherwise)):
+        own, test = (f"_{what}{len(df.columns)}" for what in ("where", "if"))  # blocks nest
+        df = df.withColumn(own, where).withColumn(test, F.coalesce(condition, F.lit(False)))
+        for chosen, some in ((F.col(own) & F.col(test), actions), (F.col(own) & ~F.col(test), otherwise)):
             for action in some:
                 df = action(df, chosen)
-        return df.drop("_where", "_if")
+        return df.drop(own, test)
 
     return act
 
@@ -193,7 +194,7 @@ def opaque(test: Callable, columns: Sequence[str]):
     def judge(*series: pd.Series) -> pd.Series:
         return test(*series).astype(bool)
 
-    judge.__annotations__ = {"return": pd.Series}
+    judge.__annotations__ = {"series": pd.Series, "return": pd.Series}
     made = F.pandas_udf(judge, "boolean")
     return lambda df: (df, made(*[F.col(c) for c in columns]))
 
