@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventweir.sources.scratch import scratch_path, shared_dir, written  # noqa: F401
 
@@ -34,6 +35,25 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[pa.
             yield batch.slice(at, size)
 
 
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def with_columns(df: DataFrame, inputs: list[str], added: str, make: Callable) -> DataFrame:
+    """df and the columns of the schema `added`. make gets a list per input column, for a chunk of rows at a time, and returns an
+    array or list per added column. Rows pass through as Arrow data; only the inputs of a chunk become Python objects."""
+    more = T.StructType.fromDDL(added)
+    names = [f.name for f in more]
+    kept = df.select(*[c for c in df.columns if c not in names])
+    types = [ARROW[f.dataType.simpleString()] for f in more]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            made = make(*[batch.column(c).to_pylist() for c in inputs])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, t) for x, t in zip(made, types, strict=True)]], [*batch.schema.names, *names])
+
+    return kept.mapInArrow(work, T.StructType([*kept.schema.fields, *more.fields]))
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of all elements of the runs that begin at starts and have the given lengths."""
     total = int(lengths.sum())

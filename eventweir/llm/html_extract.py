@@ -14,12 +14,11 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventweir.llm.common import chunks, sized, written
+from eventweir.llm.common import chunks, sized, with_columns, written
 
 # Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -238,15 +237,14 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> D
     winners = written(votes(pages, html_col, url_col), "host-paths")
     kept = [c for c in pages.columns if c != "text"]
 
-    def work(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for paths, htmls in batches:
-            out = []
-            for path, html in zip(paths.tolist(), htmls.tolist(), strict=True):
-                blocks = parsed(html or "")
-                text = text_below(blocks, path) if path else ""
-                out.append(text or text_below(blocks, best(blocks)))
-            yield pd.Series(out, dtype=object)
-
-    extracted = F.pandas_udf(work, "string")
-    rows = pages.select(*kept, host_of(F.col(url_col)).alias("_host")).join(sized(winners.select(F.col("host").alias("_host"), F.col("path").alias("_path"))), "_host", "left")
-    return rows.select(*kept, extracted(F.col("_path"), F.col(html_col).cast("string")).alias("text"))
+    def extracted(paths: list[str | None], htmls: list[str | None]) -> tuple[list[str]]:
+        out = []
+        for path, html in zip(paths, htmls, strict=True):
+            blocks = parsed(html or "")
+            text = text_below(blocks, path) if path else ""
+            out.append(text or text_below(blocks, best(blocks)))
+        return (out,)
+
+    rows = pages.select(*kept, host_of(F.col(url_col)).alias("_host"), F.col(html_col).cast("string").alias("_html"))
+    rows = rows.join(sized(winners.select(F.col("host").alias("_host"), F.col("path").alias("_path"))), "_host", "left")
+    return with_columns(rows, ["_path", "_html"], "text string", extracted).select(*kept, "text")

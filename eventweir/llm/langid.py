@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventweir.llm.common import chunks
+from eventweir.llm.common import chunks, with_columns
 
 ORDER = 5
 DISCOUNT = 0.75
 #: Documents of each language that are learned from, about; all if there are fewer.
-SAMPLE = 1500
+SAMPLE = 500
 #: A text is rejected if its cross-entropy is this many bits above all but this share of its language's documents.
 SLACK, TAIL = 0.75, 0.001
 #: Bits by which one symbol may be off by chance, taken three times over: a text of n symbols is allowed NOISE / sqrt(n) more.
@@ -119,11 +119,14 @@ def fit(words: pd.DataFrame) -> Model:
     counts: list[dict] = [None] * len(languages)  # by language, by order: grams and their (continuation) counts
     for i, lang in enumerate(languages):
         own = words[words["lang"] == lang]
-        grams, word = model.codes(own["word"].tolist())
-        times = own["n"].to_numpy()[word]
+        full, times = [], []
+        for at in range(0, len(own), 20_000):
+            grams, word = model.codes(own["word"].iloc[at : at + 20_000].tolist())
+            full.append(packed(grams))
+            times.append(own["n"].to_numpy()[at + word])
+        times = np.concatenate(times)
         by_order = {}
-        full = packed(grams)
-        unique, at = np.unique(full, return_inverse=True)
+        unique, at = np.unique(np.concatenate(full), return_inverse=True)
         by_order[ORDER] = (unique, np.bincount(at, times))
         for k in range(ORDER - 1, 0, -1):
             higher = by_order[k + 1][0]  # distinct longer grams: each is one context of its tail
@@ -252,20 +255,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judged(texts: list[str | None]) -> tuple:
         own = scorer(shared)
-        for series in texts:
-            parts = []
-            for at in range(0, len(series), 256):
-                bits, symbols = own.entropies(series.iloc[at : at + 256].tolist())
-                best = bits.argmin(1)
-                low = bits[np.arange(len(bits)), best]
-                score = 1 / np.exp2(-16 * (bits - low[:, None])).sum(1)
-                none = symbols == 0
-                parts.append(pd.DataFrame({"lang_pred": np.where(none, UNDETERMINED, np.array(own.model.languages, object)[best]), "score": np.where(none, 0.0, score), "bits": np.where(none, np.nan, low), "rejected": none | (low > own.model.limit[best] + NOISE / np.sqrt(np.maximum(symbols, 1)))}))
-            yield pd.concat(parts) if parts else pd.DataFrame({"lang_pred": [], "score": [], "bits": [], "rejected": []})
-
-    out = "lang_pred", "score", "bits", "rejected"
-    judged = F.pandas_udf(work, "lang_pred string, score double, bits double, rejected boolean")
-    rows = docs.drop(*out).withColumn("_judged", judged(F.col(text_col).cast("string")))
-    return rows.select(*docs.drop(*out).columns, F.col("_judged.lang_pred").alias("lang_pred"), F.col("_judged.score").alias("score"), F.nanvl(F.col("_judged.bits"), F.lit(None).cast("double")).alias("bits"), F.col("_judged.rejected").alias("rejected"))
+        bits, symbols = own.entropies(texts)
+        best = bits.argmin(1)
+        low = bits[np.arange(len(bits)), best]
+        score = 1 / np.exp2(-16 * (bits - low[:, None])).sum(1)
+        none = symbols == 0
+        rejected = none | (low > own.model.limit[best] + NOISE / np.sqrt(np.maximum(symbols, 1)))
+        return np.where(none, UNDETERMINED, np.array(own.model.languages, object)[best]).tolist(), np.where(none, 0.0, score), pa.array(low, mask=none), rejected
+
+    texts = docs.withColumn("_text", F.col(text_col).cast("string"))
+    return with_columns(texts, ["_text"], "lang_pred string, score double, bits double, rejected boolean", judged).drop("_text")
