@@ -150,7 +150,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.drop("removed_lines")
     gone = repeated_lines(docs, id_col, text_col, noise, guarantee).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("deleted").alias("_deleted"))
     doc, tie = key(id_col, text_col)
-    rows = docs.select("*", doc.alias("_doc"), tie.alias("_tie")).join(gone, ["_doc", "_tie"], "left")
+    rows = docs.select("*", doc.alias("_doc"), tie.alias("_tie")).join(gone.hint("merge"), ["_doc", "_tie"], "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_deleted", i)), "\n")
     text = F.when(F.col("_deleted").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
     return rows.select(*[text if c == text_col else F.col(c) for c in docs.columns], F.when(F.col("_deleted").isNull(), 0).otherwise(F.size("_deleted")).alias("removed_lines"))
