@@ -14,6 +14,8 @@ from eventweir.sources.scratch import scratch_path, shared_dir, written  # noqa:
 
 #: Members of a bucket that meet in one task are at most twice this many; larger buckets are dealt out as pairs of blocks.
 BLOCK = 128
+#: Groups up to this size are first searched for any link at all, many groups at once.
+SMALL = 16
 #: A side is broadcast only if it was counted and has at most so many rows.
 BROADCAST_ROWS = 10_000
 #: Texts that are turned into Python strings at once.
@@ -29,6 +31,17 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """What a worker process remembers between batches and tasks: one object. What an earlier stage of another kind left is dropped."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, size):
@@ -85,12 +98,12 @@ def connected(edges: DataFrame, name: str = "links") -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
 
-def within_buckets(rows: DataFrame, payload: DataFrame, linked: Callable, name: str) -> tuple[DataFrame, DataFrame]:
+def within_buckets(rows: DataFrame, payload: DataFrame, test, name: str) -> tuple[DataFrame, DataFrame]:
     """Verifies candidate pairs that share a bucket.
 
-    rows: (bucket long, id long), an id once per bucket. payload: (id, then columns that linked() reads), one row per id.
-    linked(left, right, bucket) gets two dicts of numpy arrays or lists and returns two boolean matrices: which pairs link, and
-    which of those this bucket is to count (each link is counted by one of its buckets).
+    rows: (bucket long, id long), an id once per bucket. payload: (id, weight, then columns that the test reads), one row per id.
+    test.matrix(left, right) gets two dicts of arrays and returns two boolean matrices: which pairs link, and which of those this
+    bucket is to count (each link is counted by one of its buckets). test.pairs(rows, i, j) tells which of the pairs of rows link.
     Returns (edges, counts): edges (a, b) that connect what links connect, at most one per member, and counts (id, n) where n sums
     the right side's column weight over the counted links. No pair becomes a row.
 
@@ -108,35 +121,33 @@ def within_buckets(rows: DataFrame, payload: DataFrame, linked: Callable, name:
     rows = rows.join(payload, "id")
     at = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(at, *key).sortWithinPartitions(*key, "id")
-    found = rows.mapInArrow(lambda batches: verify(batches, linked), "a long, b long, n long")
+    found = rows.mapInArrow(lambda batches: verify(batches, test), "a long, b long, n long")
     found = written(found, f"{name}-found")
     return found.where("b is not null").select("a", "b").distinct(), found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
-    """Tables with the rows of one key each, from batches sorted by key; holds one batch and one open group."""
-    rest: list[pa.RecordBatch] = []
-    last = None
+def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows with one key, and where each group begins, from batches sorted by key. Holds a batch and the
+    group that is open at its end."""
+    rest: pa.Table | None = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in key]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        change[0] = last is not None and any(c[0] != x for c, x in zip(columns, last, strict=True))
-        cuts = [*np.flatnonzero(change).tolist(), batch.num_rows]
-        begin = 0
-        for cut in cuts:
-            if begin < cut:
-                rest.append(batch.slice(begin, cut - begin))
-            if cut < batch.num_rows and rest:
-                yield pa.Table.from_batches(rest)
-                rest = []
-            begin = cut
-        last = [c[-1] for c in columns]
-    if rest:
-        yield pa.Table.from_batches(rest)
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        starts = group_starts(rest, key)
+        if len(starts) > 1:
+            yield rest.slice(0, starts[-1]), starts[:-1]
+            rest = rest.slice(starts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest, group_starts(rest, key)
+
+
+def group_starts(table: pa.Table, key: list[str]) -> np.ndarray:
+    change = np.ones(table.num_rows, bool)
+    change[1:] = False
+    for k in key:
+        c = table.column(k).to_numpy()
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
 
 
 def columns(table: pa.Table) -> dict:
@@ -151,37 +162,53 @@ def columns(table: pa.Table) -> dict:
     return out
 
 
-def verify(batches: Iterator[pa.RecordBatch], linked: Callable) -> Iterator[pa.RecordBatch]:
-    for table in groups(batches, ["bucket", "low", "high"]):
+def with_links(x: dict, starts: np.ndarray, sizes: np.ndarray, pairs: Callable) -> np.ndarray:
+    """Which groups to look at: those of more than SMALL members, and those where any two members link."""
+    look = sizes > SMALL
+    group = np.repeat(np.arange(len(starts)), sizes)
+    for step in range(1, min(SMALL, int(sizes.max(initial=0)))):
+        i = np.flatnonzero((group[:-step] == group[step:]) & ~look[group[step:]])
+        if i.size:
+            look[group[i[pairs(x, i, i + step)]]] = True
+    return np.flatnonzero(look)
+
+
+def verify(batches: Iterator[pa.RecordBatch], test) -> Iterator[pa.RecordBatch]:
+    for table, starts in whole_groups(batches, ["bucket", "low", "high"]):
         x = columns(table)
-        within = x["low"][0] == x["high"][0]
-        left = np.ones(len(x["id"]), bool) if within else x["own"] == x["low"]
-        right = left if within else ~left
-        if not left.any() or not right.any():
-            continue
-        l, r = {k: v[left] for k, v in x.items()}, {k: v[right] for k, v in x.items()}  # noqa: E741
-        links, counted = linked(l, r)
-        if within:
-            np.fill_diagonal(links, False)
-        counted &= links
-        n_left = counted @ r["weight"]
-        ids, n = l["id"], n_left
-        if not within:
-            ids, n = np.concatenate([ids, r["id"]]), np.concatenate([n_left, l["weight"] @ counted])
-        ids, n = ids[n > 0], n[n > 0]
-        # the smallest id that links reach inside this group
-        of_left, of_right = l["id"].copy(), r["id"].copy()
-        if links.any():
-            top = np.iinfo(np.int64).max
-            while True:
-                new_left = np.minimum(of_left, np.where(links, of_right[None, :], top).min(1))
-                new_right = new_left if within else np.minimum(of_right, np.where(links, new_left[:, None], top).min(0))
-                if (new_left == of_left).all() and (new_right == of_right).all():
-                    break
-                of_left, of_right = new_left, new_right
-        a, b = l["id"], of_left
-        if not within:
-            a, b = np.concatenate([a, r["id"]]), np.concatenate([of_left, of_right])
-        a, b = a[a != b], b[a != b]
-        none = lambda k: pa.nulls(k, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64())]), pa.concat_arrays([none(len(ids)), pa.array(b, pa.int64())]), pa.concat_arrays([pa.array(n.astype(np.int64)), none(len(a))])], ["a", "b", "n"])
+        sizes = np.diff(np.append(starts, table.num_rows))
+        made = [verified({k: v[starts[g] : starts[g] + sizes[g]] for k, v in x.items()}, test) for g in with_links(x, starts, sizes, test.pairs).tolist()]
+        made = [m for m in made if m is not None]
+        if made:
+            ids, n, a, b = (np.concatenate(c) for c in zip(*made, strict=True))
+            none = lambda k: pa.nulls(k, pa.int64())
+            both = lambda c, d: pa.concat_arrays([c, d])
+            yield pa.RecordBatch.from_arrays([both(pa.array(ids, pa.int64()), pa.array(a, pa.int64())), both(none(len(ids)), pa.array(b, pa.int64())), both(pa.array(n.astype(np.int64)), none(len(a)))], ["a", "b", "n"])
+
+
+def verified(x: dict, test) -> tuple | None:
+    """Of one group: ids and their counted weights; and edges to the smallest id that links reach inside the group."""
+    within = x["low"][0] == x["high"][0]
+    left = np.ones(len(x["id"]), bool) if within else x["own"] == x["low"]
+    right = left if within else ~left
+    if not left.any() or not right.any():
+        return None
+    l, r = {k: v[left] for k, v in x.items()}, {k: v[right] for k, v in x.items()}  # noqa: E741
+    links, counted = test.matrix(l, r)
+    if within:
+        np.fill_diagonal(links, False)
+    if not links.any():
+        return None
+    counted &= links
+    n_left = counted @ r["weight"]
+    ids, n = (l["id"], n_left) if within else (np.concatenate([l["id"], r["id"]]), np.concatenate([n_left, l["weight"] @ counted]))
+    of_left, of_right = l["id"].copy(), r["id"].copy()
+    top = np.iinfo(np.int64).max
+    while True:
+        new_left = np.minimum(of_left, np.where(links, of_right[None, :], top).min(1))
+        new_right = new_left if within else np.minimum(of_right, np.where(links, new_left[:, None], top).min(0))
+        if (new_left == of_left).all() and (new_right == of_right).all():
+            break
+        of_left, of_right = new_left, new_right
+    a, b = (l["id"], of_left) if within else (np.concatenate([l["id"], r["id"]]), np.concatenate([of_left, of_right]))
+    return ids[n > 0], n[n > 0], a[a != b], b[a != b]

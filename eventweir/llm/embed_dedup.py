@@ -29,7 +29,7 @@ from eventweir.llm.common import chunks, connected, within_buckets, written
 
 COSINE = 0.9
 #: Probability of missing a pair at exactly the threshold, and how many unrelated vectors may pass a filter, on average.
-MISS, CROWD = 1e-6, 1.0
+MISS, CROWD = 1e-6, 0.3
 #: Product codes, each with a rotation of its own.
 CODES = 16
 SEED = 42
@@ -91,18 +91,28 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def near(cosine: float):
-    def linked(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
-        a, b = (np.ascontiguousarray(x["vector"]).view("<f8").reshape(len(x["id"]), -1) for x in (left, right))
-        links = a @ b.T >= cosine
+class Near:
+    """Unit vectors (rows of bytes, double precision) at this cosine or above."""
+
+    def __init__(self, cosine: float):
+        self.cosine = cosine
+
+    def pairs(self, x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        v = x["vector"].view("<f8")
+        out = np.zeros(len(i), bool)
+        for at in range(0, len(i), 4096):
+            out[at : at + 4096] = np.einsum("ij,ij->i", v[i[at : at + 4096]], v[j[at : at + 4096]]) >= self.cosine - 1e-9  # decided by matrix()
+        return out
+
+    def matrix(self, left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
+        links = left["vector"].view("<f8") @ right["vector"].view("<f8").T >= self.cosine
         # this bucket counts a link if the two have no smaller filter in common
         lists = [x[: np.searchsorted(x, left["bucket"][0])] for x in (*left["filters"], *right["filters"])]
         kinds, at = np.unique(np.concatenate(lists), return_inverse=True)
         passes = np.zeros((len(lists), len(kinds)), np.float32)
         passes[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), at] = 1
-        return links, passes[: len(a)] @ passes[len(a) :].T < 0.5
-
-    return linked
+        n = len(left["id"])
+        return links, passes[:n] @ passes[n:].T < 0.5
 
 
 def classes(vectors: DataFrame, cosine: float = COSINE, seed: int = SEED) -> DataFrame:
@@ -131,7 +141,7 @@ def _links(reps: DataFrame, filters: Filters, cosine: float) -> DataFrame:
 
     known = written(reps.where("rep is not null").select("rep", "weight", "vector").mapInArrow(work, "id long, weight long, vector binary, filters array<long>"), "cap-vectors")
     rows = known.select("id", F.explode("filters").alias("bucket"))
-    edges, counts = within_buckets(rows, known, near(cosine), "cap")
+    edges, counts = within_buckets(rows, known, Near(cosine), "cap")
     found = connected(edges, "cap-links")
     out = reps.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("vector", "rep", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))

@@ -65,9 +65,17 @@ def block_keys(fp: Column) -> Column:
     return F.array(*[F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(F.shiftleft(blocks[a], 13)).bitwiseOR(blocks[b]) for k, (a, b) in enumerate(combinations(range(len(BITS)), 2))])
 
 
-def near(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
-    differ = np.bitwise_count((left["fp"][:, None] ^ right["fp"][None, :]).view(np.uint64))
-    return differ <= DISTANCE, np.zeros(differ.shape, bool)
+class Near:
+    """Fingerprints within DISTANCE bits; nothing is counted."""
+
+    @staticmethod
+    def pairs(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((x["fp"][i] ^ x["fp"][j]).view(np.uint64)) <= DISTANCE
+
+    @staticmethod
+    def matrix(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
+        links = np.bitwise_count((left["fp"][:, None] ^ right["fp"][None, :]).view(np.uint64)) <= DISTANCE
+        return links, np.zeros(links.shape, bool)
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -77,7 +85,7 @@ def classes(prints: DataFrame) -> DataFrame:
     known = reps.where("rep is not null")
     rows = known.select(F.explode(block_keys(F.col("fp"))).alias("bucket"), F.col("rep").alias("id"))
     payload = known.select(F.col("rep").alias("id"), "fp", F.lit(1).cast("long").alias("weight"))
-    edges, _ = within_buckets(rows, payload, near, "simhash")
+    edges, _ = within_buckets(rows, payload, Near, "simhash")
     found = connected(edges, "simhash-links")
     return written(reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "rep", F.coalesce("component", "rep").alias("component")), "simhash-components")
 
