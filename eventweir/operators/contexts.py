@@ -121,7 +121,7 @@ def counter(df: DataFrame, keys: Sequence[str], op: Column, value: Column, time:
 
 def contexts(df: DataFrame, keys: Sequence[str], timeout: int, time: str = "arrival", id_col: str = "id") -> DataFrame:
     """One row per window of df (with win_seq, win_start): start, end, counter (events), event_ids (sorted)."""
-    # a window's ids are the event's content in the reference's sense: as many as the timeout lets in
+    # as many ids as the timeout lets in
     return df.groupBy(*keys, "win_seq", F.col("win_start").alias("start")).agg((F.first("win_start") + timeout).alias("end"), F.count("*").alias("counter"), F.array_sort(F.collect_set(id_col)).alias("event_ids"))
 
 
