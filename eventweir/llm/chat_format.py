@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweir.llm.common import scratch_path
-from eventweir.llm.pieces import pieces
+from eventweir.llm.common import held, scratch_path
+from eventweir.llm.pieces import Pieces
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[TEXT]", "[/ROLE]")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
@@ -48,7 +48,7 @@ class Codec:
     """Ids of a byte-level vocabulary and, after it, one reserved id per control string."""
 
     def __init__(self, vocabulary: str):
-        self.pieces = pieces(vocabulary, True)
+        self.pieces = Pieces(vocabulary, True)
         self.base = self.pieces.own.get_vocab_size(with_added_tokens=True)
         self.reserved = {c: self.base + k for k, c in enumerate(CONTROLS)}
         to_byte = byte_values()
@@ -122,13 +122,8 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(vocabulary: str) -> Codec:
-    if vocabulary not in _codecs:
-        _codecs[vocabulary] = Codec(vocabulary)
-    return _codecs[vocabulary]
+    return held(("chat", vocabulary), lambda: Codec(vocabulary))
 
 
 SCHEMA = "conv_id long, n_turns int, ids array<int>, mask binary"

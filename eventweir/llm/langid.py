@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventweir.llm.common import chunks, with_columns
+from eventweir.llm.common import chunks, held, with_columns
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -37,7 +37,7 @@ NOISE = 7.5
 #: Letters with a number of their own; rarer ones share OTHER. 0 stands before a word, END after it.
 LETTERS, END, OTHER = 252, 1, 2
 #: Words whose scores a worker remembers; beyond it, it starts again.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -190,16 +190,10 @@ class Scorer:
         return out, symbols
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def scorer(shared) -> Scorer:
-    """One scorer per worker process; the value of a broadcast model is one object per process."""
+    """The worker's scorer; the value of a broadcast model is one object per process."""
     model = shared.value
-    if id(model) not in _scorers:
-        _scorers.clear()
-        _scorers[id(model)] = Scorer(model)
-    return _scorers[id(model)]
+    return held(("langid", id(model)), lambda: Scorer(model))
 
 
 def train(docs: DataFrame, labelled: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:

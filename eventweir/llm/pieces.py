@@ -12,10 +12,10 @@ from functools import lru_cache
 
 import numpy as np
 
-from eventweir.llm.common import ragged
+from eventweir.llm.common import held, ragged
 
 #: Words that a worker remembers; beyond it, it starts again.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 _TOGETHER = 500
 
 
@@ -115,30 +115,34 @@ class Pieces:
         if len(self.known) > REMEMBERED:
             self.forget()
         out: list[np.ndarray | None] = [None] * len(texts)
-        number, rows, whole = self.known.__getitem__, [], []
+        number, rows, numbers, whole = self.known.__getitem__, [], [], []
         for k, text in enumerate(texts):
             if not text:
                 out[k] = np.zeros(0, np.int32)
                 continue
-            words = (("\n" + text).replace("\n", " \n")[1:] if self.byte_level else text.replace("\n", " ")).split(" ")
-            # no white space but single spaces and line breaks between words: then white space of any kind leaves as many words and characters
-            parts = text.split()
-            if len(parts) != len(words) or len("".join(parts)) + len(parts) - 1 != len(text) or "\x00" in text or "\x01" in text or "\u180e" in text:
+            plain = text.replace("\n", " ")
+            # printable: no white space but spaces, no control characters
+            if not plain.isprintable() or "  " in plain or plain[0] == " " or plain[-1] == " ":
                 whole.append(k)
-            else:
-                rows.append((k, np.fromiter(map(number, words), np.int64, len(words))))
+                continue
+            words = (("\n" + text).replace("\n", " \n")[1:] if self.byte_level else plain).split(" ")
+            rows.append(k)
+            numbers.append(np.fromiter(map(number, words), np.int64, len(words)))
         if self.known.fresh:
             self._learn()
         if whole:
             for k, encoded in zip(whole, self.own.encode_batch([texts[k] for k in whole], add_special_tokens=False), strict=True):
                 out[k] = np.array(encoded.ids, np.int32)
-        for k, at in rows:
-            ids = self.flat[ragged(self.begin[at], self.size[at])]
-            out[k] = ids[1:] if self.byte_level else ids
+        if rows:
+            at = np.concatenate(numbers)
+            size = self.size[at]
+            ids = self.flat[ragged(self.begin[at], size)]
+            ends = np.cumsum(size)[np.cumsum([len(x) for x in numbers]) - 1].tolist()
+            for k, a, b in zip(rows, [0, *ends], ends, strict=False):
+                out[k] = ids[a + self.byte_level : b]
         return out
 
 
-@lru_cache(maxsize=2)
 def pieces(path: str, byte_level: bool) -> Pieces:
-    """One encoder per worker process and vocabulary."""
-    return Pieces(path, byte_level)
+    """The worker's encoder of this vocabulary."""
+    return held(("pieces", path, byte_level), lambda: Pieces(path, byte_level))

@@ -35,12 +35,20 @@ def encoded(numbers: np.ndarray) -> tuple[bytes, bytes]:
     if not n:
         return b"", b""
     x = numbers.astype("<u4")
-    size = 1 + (x > 0xFF).astype(np.uint8) + (x > 0xFFFF) + (x > 0xFFFFFF)
+    width = max(1, -(-int(x.max()).bit_length() // 8))
+    size = np.ones(n, np.uint8)
+    for k in range(1, width):
+        size += x >= 1 << 8 * k
     codes = np.zeros(-(-n // 4) * 4, np.uint8)
     codes[:n] = size - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    used = np.arange(4, dtype=np.uint8)[None, :] < size[:, None]
-    return control.tobytes(), x.view(np.uint8).reshape(n, 4)[used].tobytes()
+    begin = np.cumsum(size, dtype=np.int64) - size
+    data = np.empty(int(begin[-1]) + int(size[-1]), np.uint8)
+    data[begin] = x.astype(np.uint8)
+    for k in range(1, width):
+        long = np.flatnonzero(size > k)
+        data[begin[long] + k] = (x[long] >> np.uint32(8 * k)).astype(np.uint8)
+    return control.tobytes(), data.tobytes()
 
 
 def decoded(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -51,9 +59,9 @@ def decoded(control: bytes, data: bytes, n: int) -> np.ndarray:
     begin = np.cumsum(size) - size
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
     out = raw[begin].astype(np.uint32)
-    for k in (1, 2, 3):
-        if (long := np.flatnonzero(size > k)).size:
-            out[long] |= raw[begin[long] + k].astype(np.uint32) << np.uint32(8 * k)
+    for k in range(1, int(size.max())):
+        long = np.flatnonzero(size > k)
+        out[long] |= raw[begin[long] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -83,11 +91,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in chunks(batches):
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.bincount(np.frombuffer(raw, width(n, raw)))
-                if len(more) > len(counts):
-                    counts, more = more, counts
-                counts[: len(more)] += more
+            ids = [np.frombuffer(raw, width(n, raw)) for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            more = np.bincount(np.concatenate(ids))
+            if len(more) > len(counts):
+                counts, more = more, counts
+            counts[: len(more)] += more
         ids = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids], pa.int64())], ["id", "n"])
 
