@@ -116,9 +116,12 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
             x = batch.to_pydict()
             pairs = [encoded(of[np.frombuffer(raw, width(n, raw))]) for n, raw in zip(x["n_tokens"], x["ids"], strict=True)]
             start = [offsets[p] + s for p, s in zip(x["part"], x["start"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(start, pa.int64()), batch.column("n_tokens"), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())], [f.name for f in DOCUMENTS])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(start, pa.int64()), batch.column("n_tokens"), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary()), batch.column("part")], [f.name for f in placed])
 
-    table.mapInArrow(coded, DOCUMENTS).write.parquet(f"{path}/documents")
+    # a reread packs files by size, so rows go back to the place of the task that wrote them; it is known, which spares the sampling of a range
+    n = int(parts["part"].max()) + 1 if len(parts) else 1
+    placed = T.StructType([*DOCUMENTS, T.StructField("part", T.IntegerType())])
+    table.mapInArrow(coded, placed).repartitionById(n, F.col("part")).drop("part").sortWithinPartitions("start").write.parquet(f"{path}/documents")
 
 
 DOCUMENTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])

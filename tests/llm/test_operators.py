@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -62,6 +63,16 @@ def test_token_file(spark, docs, corpus, tmp_path):
     assert [(-r["n"], r["id"]) for r in ranks] == sorted((-r["n"], r["id"]) for r in ranks)
 
 
+def test_token_file_is_in_order(spark, tmp_path):
+    """Files in name order hold ascending ids and starts without gaps, though a reread of the intermediate table packs files by size."""
+    docs = spark.range(4000).select(((F.col("id") * 1237) % 4000).alias("doc_id"), F.expr("repeat(concat('w', id, ' '), cast(1 + id % 40 as int))").alias("text"))
+    token_file.write(docs.repartition(5), f"file://{tmp_path}/tokens", vocabulary(BYTE_BPE))
+    files = sorted((tmp_path / "tokens" / "documents").glob("*.parquet"))
+    rows = [r for f in files for r in pq.read_table(f).select(["doc_id", "start", "n_tokens"]).to_pylist()]
+    assert len(files) > 1 and [r["doc_id"] for r in rows] == list(range(4000))
+    assert [r["start"] for r in rows] == np.cumsum([0, *[r["n_tokens"] for r in rows]])[:-1].tolist()
+
+
 def test_token_file_of_nothing(empty):
     assert token_file.round_trip(empty, vocabulary(BYTE_BPE)).count() == 0
 
