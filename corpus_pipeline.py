@@ -17,8 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised stay; lang becomes the recognised language."""
-    model = langid.train(docs, F.lit(True))
-    judged = langid.predict(docs.select(*COLUMNS), model).where(~F.col("rejected"))
+    judged = langid.judge(docs, F.lit(True), list(COLUMNS)).where(~F.col("rejected"))
     return judged.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

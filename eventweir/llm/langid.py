@@ -8,13 +8,14 @@ All languages share sorted arrays of gram hashes, one per order, with a row of n
 language and, for contexts, its interpolation weight. A text's score in a language is its cross-entropy, bits per character; the
 lowest one wins. The cross-entropies that documents of a language have in their own model calibrate rejection.
 
-Learning reads a bounded sample of labelled documents; prediction reads every whole text and nothing but the text.
+Learning counts grams over all labelled documents and calibrates on all of them; prediction reads every whole text and nothing but
+the text. What comes to the driver and to workers is a row per distinct gram.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,14 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventweir.llm.common import chunks, held, with_columns
+from eventweir.llm.common import chunks, held, with_columns, written
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Documents of each language that are learned from, about; all if there are fewer.
-SAMPLE = 500
+#: Distinct words that a task counts before it passes their grams on.
+LEARNED = 200_000
+#: Symbols of grams before and after a word; no letters.
+BEFORE, AFTER = " ", "."
 #: A text is rejected if its cross-entropy is this many bits above all but this share of its language's documents.
 SLACK, TAIL = 0.75, 0.001
+#: Of percentile_approx: ranks are right to one in so many.
+ACCURACY = 100_000
 #: Bits by which one symbol may be off by chance, taken three times over: a text of n symbols is allowed NOISE / sqrt(n) more.
 NOISE = 7.5
 #: Letters with a number of their own; rarer ones share OTHER. 0 stands before a word, END after it.
@@ -107,27 +112,38 @@ def found(keys: np.ndarray, rows: np.ndarray, wanted: np.ndarray, otherwise: flo
     return np.where((keys[at] == wanted)[:, None], rows[at], otherwise)
 
 
+def grams_of(words: dict[str, int]) -> dict[str, int]:
+    """Grams of ORDER characters and how often they are in words that are there so often."""
+    out: defaultdict[str, int] = defaultdict(int)
+    for w, n in words.items():
+        symbols = f"{BEFORE * (ORDER - 1)}{w}{AFTER}"
+        for k in range(len(w) + 1):
+            out[symbols[k : k + ORDER]] += n
+    return out
+
+
 def fit(words: pd.DataFrame) -> Model:
-    """A model from rows (lang, word, n): how often each language's sample has each word."""
-    languages = sorted(words["lang"].unique().tolist())
-    letters: Counter[str] = Counter()
-    for w, n in words.groupby("word")["n"].sum().items():
-        for c in w:
-            letters[c] += n
+    """A model from rows (lang, word, n): how often each language has each word."""
+    rows = [(lang, g, n) for lang, own in words.groupby("lang") for g, n in grams_of(own.groupby("word")["n"].sum().to_dict()).items()]
+    return fit_grams(pd.DataFrame(rows, columns=["lang", "gram", "n"]))
+
+
+def fit_grams(grams: pd.DataFrame) -> Model:
+    """A model from rows (lang, gram, n): how often each language has each gram of ORDER characters."""
+    languages = sorted(grams["lang"].unique().tolist())
+    points, at = np.unique(np.array(grams["gram"].tolist(), f"<U{ORDER}").view(np.uint32), return_inverse=True)
+    at = at.reshape(-1, ORDER)
+    letters = {chr(c): n for c, n in zip(points.tolist(), np.bincount(at[:, -1], grams["n"], len(points)).tolist(), strict=True) if chr(c) not in (BEFORE, AFTER)}
     order = sorted(letters, key=lambda c: (-letters[c], c))[:LETTERS]
     model = Model(languages, {c: k + 3 for k, c in enumerate(order)})
+    number = {BEFORE: 0, AFTER: END} | model.number
+    codes = np.array([number.get(chr(c), OTHER) for c in points.tolist()], np.uint64)[at]
     counts: list[dict] = [None] * len(languages)  # by language, by order: grams and their (continuation) counts
     for i, lang in enumerate(languages):
-        own = words[words["lang"] == lang]
-        full, times = [], []
-        for at in range(0, len(own), 20_000):
-            grams, word = model.codes(own["word"].iloc[at : at + 20_000].tolist())
-            full.append(packed(grams))
-            times.append(own["n"].to_numpy()[at + word])
-        times = np.concatenate(times)
+        own = (grams["lang"] == lang).to_numpy()
         by_order = {}
-        unique, at = np.unique(np.concatenate(full), return_inverse=True)
-        by_order[ORDER] = (unique, np.bincount(at, times))
+        unique, at = np.unique(packed(codes[own]), return_inverse=True)
+        by_order[ORDER] = (unique, np.bincount(at, grams["n"].to_numpy()[own]))
         for k in range(ORDER - 1, 0, -1):
             higher = by_order[k + 1][0]  # distinct longer grams: each is one context of its tail
             tail = (higher & np.uint64((1 << 8 * k) - 1)) | np.uint64(1 << 8 * k)
@@ -196,50 +212,86 @@ def scorer(shared) -> Scorer:
     return held(("langid", id(model)), lambda: Scorer(model))
 
 
-def train(docs: DataFrame, labelled: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Learns from rows where labelled holds and text and language are not null: about `sample` of each language, chosen by a hash
-    of id and text. Raises ValueError if there are none."""
-    rows = docs.where(labelled & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.col(lang_col) != UNDETERMINED))
-    rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)).alias("draw"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
-    if not sizes:
-        raise ValueError("no labelled text to learn languages from")
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
-    rows = rows.where(F.col("draw") < share[F.col("lang")]).select("lang", "text").persist()
+def language_of(labelled: Column, lang_col: str) -> Column:
+    """The label where labelled holds and it names a language, else null."""
+    lang = F.col(lang_col).cast("string")
+    return F.when(labelled & (lang != UNDETERMINED), lang)
+
+
+def learned(docs: DataFrame, labelled: Column, text_col: str, lang_col: str) -> Model:
+    """A model without limits, from the grams of all labelled rows. Raises ValueError if they have none."""
+    rows = docs.select(language_of(labelled, lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, Counter] = {}
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for lang, total in totals.items():
+                grams = grams_of(total)
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": list(grams), "n": list(grams.values())}, schema=schema)
+            totals.clear()
+
         for batch in chunks(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 totals.setdefault(lang, Counter()).update(words_of(text))
-        for lang, total in totals.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(total), "word": list(total), "n": list(total.values())}, schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
+            if sum(map(len, totals.values())) > LEARNED:
+                yield from passed_on()
+        yield from passed_on()
 
-    words = rows.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    if not len(words):
+    # a row per language and distinct gram of five characters
+    grams = rows.mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    if not len(grams):
         raise ValueError("no labelled text with a letter to learn languages from")
-    model = fit(words)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    number = {lang: k for k, lang in enumerate(model.languages)}
+    return fit_grams(grams)
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            which = np.array([number.get(x, -1) for x in batch.column(0).to_pylist()])
-            bits, symbols = scorer(shared).entropies(batch.column(1).to_pylist())
-            ok = (symbols > 0) & (which >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(which[ok]), pa.array(bits[ok, which[ok]])], ["lang", "bits"])
-
-    mine = rows.mapInArrow(own, "lang long, bits double").toPandas()  # two numbers per sampled document
-    model.limit = np.full(len(model.languages), np.inf)
-    model.typical = np.full(len(model.languages), np.log2(LETTERS))
-    for k, own_bits in mine.groupby("lang")["bits"]:
-        model.limit[k] = np.quantile(own_bits, 1 - TAIL) + SLACK
-        model.typical[k] = own_bits.mean()
-    rows.unpersist()
-    shared.unpersist()
+
+def calibrate(model: Model, scores: DataFrame) -> None:
+    """Sets the model's limits from the bits that all labelled documents have in their own language."""
+    bits = F.col("_own_bits")
+    rows = scores.where(bits.isNotNull()).groupBy("_own").agg(F.percentile_approx(bits, 1 - TAIL, ACCURACY).alias("high"), F.avg(bits).alias("mean")).collect()
+    high, mean = ({r["_own"]: r[c] for r in rows} for c in ("high", "mean"))
+    model.limit = np.array([high.get(x, np.inf) for x in model.languages]) + SLACK
+    model.typical = np.array([mean.get(x, np.log2(LETTERS)) for x in model.languages])
+
+
+def train(docs: DataFrame, labelled: Column, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learns from all rows where labelled holds and text and language are not null. Raises ValueError if they have no letter."""
+    model = learned(docs, labelled, text_col, lang_col)
+    mine = language_of(labelled, lang_col)
+    calibrate(model, scored(docs.select(F.col(text_col).cast("string").alias("_text"), mine.alias("_own")).where("_own is not null"), model).select("_own", "_own_bits"))
     return model
 
 
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """rows, which have columns _text and _own (a language or null), without _text, and lang_pred, score, bits, _symbols, _own_bits."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    number = {lang: k for k, lang in enumerate(model.languages)}
+
+    def judged(texts: list[str | None], own: list[str | None]) -> tuple:
+        known = scorer(shared)
+        bits, symbols = known.entropies(texts)
+        every = np.arange(len(bits))
+        best = bits.argmin(1)
+        low = bits[every, best]
+        score = 1 / np.exp2(-16 * (bits - low[:, None])).sum(1)
+        none = symbols == 0
+        which = np.array([number.get(x, -1) for x in own], np.int64)
+        pred = np.where(none, UNDETERMINED, np.array(known.model.languages, object)[best]).tolist()
+        return pred, np.where(none, 0.0, score), pa.array(low, mask=none), symbols, pa.array(bits[every, which], mask=none | (which < 0))
+
+    return with_columns(rows, ["_text", "_own"], "lang_pred string, score double, bits double, _symbols long, _own_bits double", judged).drop("_text")
+
+
+JUDGED = ["lang_pred", "score", "bits", "rejected"]
+
+
+def verdict(scores: DataFrame, model: Model, kept: list[str]) -> DataFrame:
+    limit = F.create_map(*[F.lit(x) for lang, bits in zip(model.languages, model.limit.tolist(), strict=True) for x in (lang, bits)])[F.col("lang_pred")]
+    above = F.col("bits") > limit + NOISE / F.sqrt(F.greatest("_symbols", F.lit(1)))
+    return scores.withColumn("rejected", F.coalesce(above, F.lit(True))).select(*kept, *JUDGED)
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs and lang_pred, score (0 to 1), bits (per character, in the predicted language), rejected.
 
@@ -247,17 +299,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     (ties: the first by name); score is its share when each language weighs 2 ** -(bits of 16 characters). rejected: bits lie above
     the language's calibrated limit (a short text's more, as chance has it). Columns of docs with these names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def judged(texts: list[str | None]) -> tuple:
-        own = scorer(shared)
-        bits, symbols = own.entropies(texts)
-        best = bits.argmin(1)
-        low = bits[np.arange(len(bits)), best]
-        score = 1 / np.exp2(-16 * (bits - low[:, None])).sum(1)
-        none = symbols == 0
-        rejected = none | (low > own.model.limit[best] + NOISE / np.sqrt(np.maximum(symbols, 1)))
-        return np.where(none, UNDETERMINED, np.array(own.model.languages, object)[best]).tolist(), np.where(none, 0.0, score), pa.array(low, mask=none), rejected
-
-    texts = docs.withColumn("_text", F.col(text_col).cast("string"))
-    return with_columns(texts, ["_text"], "lang_pred string, score double, bits double, rejected boolean", judged).drop("_text")
+    kept = [c for c in docs.columns if c not in JUDGED]
+    return verdict(scored(docs.select(*kept, F.col(text_col).cast("string").alias("_text"), F.lit(None).cast("string").alias("_own")), model), model, kept)
+
+
+def judge(docs: DataFrame, labelled: Column, kept: list[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The columns `kept` of docs and what predict adds, by the model that train makes of docs. Scores each text once: the scores,
+    a written table, both calibrate and are judged."""
+    model = learned(docs, labelled, text_col, lang_col)
+    rows = docs.select(*kept, F.col(text_col).cast("string").alias("_text"), language_of(labelled, lang_col).alias("_own"))
+    scores = written(scored(rows, model), "langid-scores")
+    calibrate(model, scores)
+    return verdict(scores, model, kept)

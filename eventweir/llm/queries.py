@@ -29,8 +29,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
-    model = langid.train(docs, fold != 1)
-    return langid.predict(docs.select("doc_id", (fold == 1).alias("held_out"), "text"), model).drop("text")
+    return langid.judge(docs.select("doc_id", (fold == 1).alias("held_out"), "text", "lang"), ~F.col("held_out"), ["doc_id", "held_out"])
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

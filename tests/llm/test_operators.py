@@ -199,6 +199,19 @@ def test_probabilities_sum_to_one(languages):
         assert np.allclose(p.sum(0), 1.0)
 
 
+def test_language_id_learns_from_all_rows(spark):
+    """Letters that one document each has are all learned, and limits are quantiles over all labelled documents."""
+    rows = [(k, f"kalo mine {'tashi ' * (k % 7)}{chr(0x4E00 + k // 6) * 3 if k % 6 == 0 else 'ruvo'}", "xx") for k in range(1200)]
+    docs = spark.createDataFrame([*rows, (9000, "bra gli pfu", "yy"), (9001, "echt", "und"), (9002, None, "xx"), (9003, "odd", None)], "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(docs, F.lit(True))
+    assert {chr(0x4E00 + k) for k in range(200)} <= set(model.number) and model.languages == ["xx", "yy"]
+    bits, _ = langid.Scorer(model).entropies([r[1] for r in rows])
+    assert math.isclose(model.limit[0], sorted(bits[:, 0])[math.ceil(0.999 * len(rows)) - 1] + langid.SLACK)
+    judged = langid.judge(docs, F.lit(True), ["doc_id"])
+    assert judged.columns == ["doc_id", "lang_pred", "score", "bits", "rejected"]
+    assert Counter(tuple(r) for r in judged.collect()) == Counter(tuple(r) for r in langid.predict(docs.select("doc_id", "text"), model).drop("text").collect())
+
+
 def test_no_languages(empty):
     with pytest.raises(ValueError):
         langid.train(empty, F.lit(True))
