@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweir.llm.common import held, scratch_path
-from eventweir.llm.pieces import Pieces
+from eventweir.llm.pieces import Pieces, byte_values
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[TEXT]", "[/ROLE]")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
@@ -114,14 +114,6 @@ class Codec:
         return "".join([*out, self.text(ids[at:].tolist())])
 
 
-def byte_values() -> dict[str, int]:
-    """By printable character the byte that byte-level vocabularies write with it: printable Latin-1 as it is, the others in order
-    from U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
-
-
 def codec(vocabulary: str) -> Codec:
     return held(("chat", vocabulary), lambda: Codec(vocabulary))
 

@@ -83,10 +83,9 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     return out[::-1]
 
 
-def packed_block(doc_ids: list, encoded: list[np.ndarray], ends: np.ndarray, window: int, first: int) -> tuple[dict[str, list], int]:
+def packed_block(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, ends: np.ndarray, window: int, first: int) -> tuple[dict[str, list], int]:
     """The pieces of one block, and the number of its sequences; first: the id of its first sequence."""
-    lengths = np.array([len(x) for x in encoded])
-    ids = np.concatenate(encoded).astype("<u4")
+    ids = ids.astype("<u4")
     at, penalty = cut_points(lengths, ids, ends, window)
     cuts = np.array(best_cuts(at, penalty, window))
     doc_at = np.concatenate([[0], np.cumsum(lengths)])
@@ -122,21 +121,25 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         ends = sentence_ends(encoder.own.get_vocab(with_added_tokens=True))
         first = TaskContext.get().partitionId() << 32
         doc_ids: list = []
+        lengths: list[np.ndarray] = []
         encoded: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal first, size, doc_ids, encoded
+            nonlocal first, size
             if doc_ids:
-                rows, n = packed_block(doc_ids, encoded, ends, window, first)
-                first, size, doc_ids, encoded = first + n, 0, [], []
+                rows, n = packed_block(doc_ids, np.concatenate(lengths), np.concatenate(encoded), ends, window, first)
+                first, size = first + n, 0
+                for x in (doc_ids, lengths, encoded):
+                    x.clear()
                 yield pa.RecordBatch.from_pydict(rows, schema=FIELDS)
 
         for batch in chunks(batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
-                doc_ids.append(doc_id)
-                encoded.append(np.append(ids, np.int32(end_id)))
-                size += len(ids) + 1
+            ids, n = encoder.encode_flat([x or "" for x in batch.column(1).to_pylist()], end_id)
+            doc_ids += batch.column(0).to_pylist()
+            lengths.append(n)
+            encoded.append(ids)
+            size += len(ids)
             if size >= encode_limit:
                 yield from flush()
         yield from flush()

@@ -1,14 +1,18 @@
 """Token ids of whole texts with the tokenizers library, encoding each distinct word once.
 
 Both vocabularies cut a text before their merges work, and never join what a single space or line break separates. So a text whose
-white space is single spaces and line breaks between words is the sequence of its words; new words are encoded together, in one
-call, and remembered up to a limit. Every other text is encoded as it is. Both give the ids that the library gives for the text.
+white space is single spaces and line breaks between words is the sequence of its words. A word of Latin letters, with or without
+punctuation after it, is cut into these two pieces, and the library's model is asked for each distinct piece; other new words are
+encoded together. Pieces and words are remembered up to a limit. Every other text is encoded as it is. All of it gives the ids that
+the library gives for the text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -16,7 +20,10 @@ from eventweir.llm.common import held, ragged
 
 #: Words that a worker remembers; beyond it, it starts again.
 REMEMBERED = 800_000
-_TOGETHER = 500
+#: Words that are encoded together: short strings are quicker.
+_TOGETHER = 32
+# letters of Latin-1, then ASCII punctuation but for the apostrophe, which opens contractions
+_SIMPLE = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class Known(dict):
@@ -41,12 +48,44 @@ def tokenizer(path: str):
     return found
 
 
+def byte_values() -> dict[str, int]:
+    """By printable character the byte that byte-level vocabularies write with it: printable Latin-1 as it is, the others in order
+    from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
+
+
+class Store:
+    """The ids of numbered words: runs of one growing array."""
+
+    def __init__(self):
+        self.flat, self.used = np.zeros(1 << 20, np.int32), 0
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def put(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(numbers) and int(numbers.max()) >= len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.size[numbers] = lengths
+        self.used += len(ids)
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[numbers]
+        return self.flat[ragged(self.begin[numbers], size)], size
+
+
 class Pieces:
     """Encoder of one vocabulary file. byte_level: spaces belong to the next word's token; else white space is dropped."""
 
     def __init__(self, path: str, byte_level: bool):
         self.own = tokenizer(path)
         self.byte_level = byte_level
+        shown = {b: c for c, b in byte_values().items()}
+        self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(256)}
         if byte_level:
             vocab = self.own.get_vocab()
             self.opens = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin a piece: by a space or a line break
@@ -57,41 +96,33 @@ class Pieces:
         self.forget()
 
     def forget(self) -> None:
-        self.known = Known()
-        self.flat, self.used = np.zeros(1 << 20, np.int32), 0
-        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _store(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.known) > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[numbers] = self.used + np.cumsum(lengths) - lengths
-        self.size[numbers] = lengths
-        self.used += len(ids)
+        self.known, self.words = Known(), Store()
+        self.parts, self.pieces = Known(), Store()
 
     def _learn(self) -> None:
-        """Encodes the fresh words. One that is letters and a full stop or comma is made of the two."""
-        known, plain, marked = self.known, [], []
-        for w in known.fresh:
-            (marked if w[-1] in ".," and w[:-1].strip("\n").isalpha() and max(w) < "\u0250" else plain).append(w)
-        known.fresh = []
-        for w in marked:
-            known[w[:-1]]
-        plain += known.fresh
-        for mark in {w[-1] for w in marked}:
-            known["\0" + mark]
-        known.fresh = []
-        self._encode(plain)
-        for mark in ".,":
-            if words := [w for w in marked if w[-1] == mark]:
-                own = known["\0" + mark]
-                ids = np.array(self.own.encode(mark, add_special_tokens=False).ids, np.int32)
-                self._store(np.array([own]), ids, np.array([len(ids)]))
-                pair = np.array([(known[w[:-1]], own) for w in words])
-                lengths = self.size[pair]
-                self._store(np.array([known[w] for w in words]), self.flat[ragged(self.begin[pair].ravel(), lengths.ravel())], lengths.sum(1))
+        """Encodes the fresh words."""
+        fresh, part, space = self.known.fresh, self.parts.__getitem__, " " if self.byte_level else ""
+        first = len(self.known) - len(fresh)
+        cut = list(map(_SIMPLE.fullmatch, fresh))
+        self.known.fresh = []
+        if found := [m.groups() for m in cut if m]:
+            if not self.byte_level:
+                found = [("", letters.lower(), mark) for _, letters, mark in found]
+            three = np.array([[part(x) for x, _, _ in found], [part(x if line else space + x) for line, x, _ in found], [part(x) for _, _, x in found]])
+            if self.parts.fresh:
+                self._ask()
+            ids, size = self.pieces.get(three.T.ravel())
+            self.words.put(first + np.flatnonzero([m is not None for m in cut]), ids, size.reshape(-1, 3).sum(1))
+        if len(found) < len(cut):
+            self._encode([w for w, m in zip(fresh, cut, strict=True) if m is None])
+
+    def _ask(self) -> None:
+        """Asks the model for the fresh pieces, each of which the library would not cut any further."""
+        ask, shown, space = self.own.model.tokenize, self.shown, self.shown[32]
+        fresh, self.parts.fresh = self.parts.fresh, []
+        written = [x.translate(shown) if x == "\n" or not x.isascii() else space + x[1:] if x[:1] == " " else x for x in fresh]
+        found = [[t.id for t in ask(x)] if x else [] for x in written]
+        self.pieces.put(np.arange(len(self.parts) - len(fresh), len(self.parts)), np.array(list(chain.from_iterable(found)), np.int32), np.array(list(map(len, found))))
 
     def _encode(self, words: list[str]) -> None:
         texts, groups = [], []
@@ -108,17 +139,25 @@ class Pieces:
                 lengths = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
                 ids = np.delete(ids, marks)
             assert len(lengths) == len(numbers)
-            self._store(numbers, ids, lengths)
+            self.words.put(numbers, ids, lengths)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text (int32)."""
+    def encode_flat(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other (int32), end_id after each if it is given; and how many each text has."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        out: list[np.ndarray | None] = [None] * len(texts)
         number, rows, numbers, whole = self.known.__getitem__, [], [], []
+        ending = end_id is not None
+        if ending:
+            end = number("\x00end")
+            if self.known.fresh:
+                self.known.fresh = []
+                self.words.put(np.array([end]), np.array([end_id], np.int32), np.array([1]))
+        lengths = np.full(len(texts), int(ending))
         for k, text in enumerate(texts):
             if not text:
-                out[k] = np.zeros(0, np.int32)
+                if ending:
+                    rows.append(k)
+                    numbers.append(np.array([end]))
                 continue
             plain = text.replace("\n", " ")
             # printable: no white space but spaces, no control characters
@@ -126,21 +165,40 @@ class Pieces:
                 whole.append(k)
                 continue
             words = (("\n" + text).replace("\n", " \n")[1:] if self.byte_level else plain).split(" ")
+            at = np.empty(len(words) + ending, np.int64)
+            at[: len(words)] = np.fromiter(map(number, words), np.int64, len(words))
+            if ending:
+                at[-1] = end
             rows.append(k)
-            numbers.append(np.fromiter(map(number, words), np.int64, len(words)))
+            numbers.append(at)
         if self.known.fresh:
             self._learn()
-        if whole:
-            for k, encoded in zip(whole, self.own.encode_batch([texts[k] for k in whole], add_special_tokens=False), strict=True):
-                out[k] = np.array(encoded.ids, np.int32)
+        ids = np.zeros(0, np.int32)
         if rows:
             at = np.concatenate(numbers)
-            size = self.size[at]
-            ids = self.flat[ragged(self.begin[at], size)]
-            ends = np.cumsum(size)[np.cumsum([len(x) for x in numbers]) - 1].tolist()
-            for k, a, b in zip(rows, [0, *ends], ends, strict=False):
-                out[k] = ids[a + self.byte_level : b]
-        return out
+            begin, size = self.words.begin[at], self.words.size[at]
+            per = np.array([len(x) for x in numbers])
+            first = np.cumsum(per) - per
+            if self.byte_level:  # a text's first word was looked up with a line break before it
+                opening = first[[k for k, r in enumerate(rows) if texts[r]]]
+                begin[opening] += 1
+                size[opening] -= 1
+            ids = self.words.flat[ragged(begin, size)]
+            lengths[rows] = np.add.reduceat(size, first)
+        if not whole:
+            return ids, lengths
+        own = [np.array([*x.ids, *([end_id] if ending else [])], np.int32) for x in self.own.encode_batch([texts[k] for k in whole], add_special_tokens=False)]
+        lengths[whole] = [len(x) for x in own]
+        out = np.empty(int(lengths.sum()), np.int32)
+        begin = np.cumsum(lengths) - lengths
+        out[ragged(begin[rows], lengths[rows])] = ids
+        out[ragged(begin[whole], lengths[whole])] = np.concatenate(own)
+        return out, lengths
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text (int32)."""
+        ids, lengths = self.encode_flat(texts)
+        return np.split(ids, np.cumsum(lengths)[:-1]) if texts else []
 
 
 def pieces(path: str, byte_level: bool) -> Pieces:

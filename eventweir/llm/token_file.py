@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventweir.llm.common import chunks, scratch_path, written
+from eventweir.llm.common import chunks, ragged, scratch_path, written
 from eventweir.llm.pieces import pieces
 
 END_ID = 2
@@ -29,42 +29,57 @@ END_ID = 2
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
-def encoded(numbers: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of an array of unsigned 32-bit numbers."""
-    n = len(numbers)
-    if not n:
-        return b"", b""
+def encoded_all(numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes documents that follow each other in an array of unsigned 32-bit numbers, counts[k] numbers each: control bytes, data bytes,
+    and the ends of each document's control and data bytes. A document's control bytes are its own: the last one is filled up."""
     x = numbers.astype("<u4")
-    width = max(1, -(-int(x.max()).bit_length() // 8))
-    size = np.ones(n, np.uint8)
+    controls = -(-counts // 4)
+    control_ends = np.cumsum(controls)
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    size = np.ones(len(x), np.uint8)
     for k in range(1, width):
         size += x >= 1 << 8 * k
-    codes = np.zeros(-(-n // 4) * 4, np.uint8)
-    codes[:n] = size - 1
+    codes = np.zeros(int(controls.sum()) * 4, np.uint8)
+    codes[ragged(4 * (control_ends - controls), counts)] = size - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    begin = np.cumsum(size, dtype=np.int64) - size
-    data = np.empty(int(begin[-1]) + int(size[-1]), np.uint8)
+    ends = np.cumsum(size, dtype=np.int64)
+    begin = ends - size
+    data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
     data[begin] = x.astype(np.uint8)
     for k in range(1, width):
         long = np.flatnonzero(size > k)
         data[begin[long] + k] = (x[long] >> np.uint32(8 * k)).astype(np.uint8)
-    return control.tobytes(), data.tobytes()
+    return control, data, control_ends, np.concatenate([[0], ends])[np.cumsum(counts)]
 
 
-def decoded(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n numbers (uint32) back from their bytes."""
-    if not n:
-        return np.zeros(0, np.uint32)
-    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
+def decoded_all(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers (uint32) of documents that follow each other, back from their bytes."""
+    controls = -(-counts // 4)
+    size = LENGTHS[control].reshape(-1)[ragged(4 * (np.cumsum(controls) - controls), counts)].astype(np.int64)
     begin = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    raw = np.concatenate([data, np.zeros(3, np.uint8)])
     out = raw[begin].astype(np.uint32)
-    for k in range(1, int(size.max())):
+    for k in range(1, int(size.max(initial=1))):
         long = np.flatnonzero(size > k)
         out[long] |= raw[begin[long] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column whose values follow each other in data."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def values_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, one value after the other, and the length of each."""
+    column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw, np.diff(offsets)
+
+
 def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Encodes every whole text with a byte-level vocabulary, appends end_id to each document and writes the file set to path.
 
@@ -78,67 +93,79 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = pieces(vocabulary, True), TaskContext.get().partitionId(), 0
-        width = "<u2" if encoder.own.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
+        size = max(encoder.own.get_vocab_size(), end_id + 1)
+        width = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        counts = np.zeros(size, np.int64)
         for batch in chunks(batches):
-            all_ids = [np.append(x, np.int32(end_id)) for x in encoder.encode([x or "" for x in batch.column("text").to_pylist()])]
-            n = np.array([len(x) for x in all_ids])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([part] * len(n), pa.int32()), pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array([x.astype(width).tobytes() for x in all_ids], pa.binary())], ["doc_id", "part", "start", "n_tokens", "ids"])
-            before += int(n.sum())
-
-    table = written(rows.mapInArrow(tokens, "doc_id long, part int, start long, n_tokens long, ids binary"), "tokens")
-    width = lambda n, raw: "<u2" if len(raw) == 2 * n else "<u4"
+            ids, n = encoder.encode_flat([x or "" for x in batch.column("text").to_pylist()], end_id)
+            counts += np.bincount(ids, minlength=size)
+            ends = np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([part] * len(n), pa.int32()), pa.array(before + ends - n), pa.array(n), binaries(ids.astype(width).view(np.uint8), ends * width.itemsize), pa.nulls(len(n), pa.binary())], TOKENS.names)
+            before += int(ends[-1])
+        if before:  # the task's counts of ids are a row of their own
+            none = [pa.nulls(1, f.type) for f in TOKENS]
+            yield pa.RecordBatch.from_arrays([none[0], pa.array([part], pa.int32()), none[2], pa.array([before]), none[4], pa.array([counts.tobytes()], pa.binary())], TOKENS.names)
+
+    table = written(rows.mapInArrow(tokens, "doc_id long, part int, start long, n_tokens long, ids binary, counts binary"), "tokens")
+    told = table.where("counts is not null")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, np.int64)
-        for batch in chunks(batches):
-            ids = [np.frombuffer(raw, width(n, raw)) for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            more = np.bincount(np.concatenate(ids))
-            if len(more) > len(counts):
-                counts, more = more, counts
-            counts[: len(more)] += more
-        ids = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids], pa.int64())], ["id", "n"])
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                counts = np.frombuffer(raw, np.int64)
+                ids = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids])], ["id", "n"])
 
     # one row per token of the vocabulary, so its size bounds what comes to the driver
-    ranks = table.select("n_tokens", "ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
+    ranks = told.select("counts").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
     ranks.insert(0, "rank", np.arange(len(ranks)))
     spark.createDataFrame(ranks if len(ranks) else [], "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(int(ranks["id"].max()) + 1 if len(ranks) else 1, np.uint32)
     rank_of[ranks["id"].to_numpy()] = ranks["rank"].to_numpy()
     shared = spark.sparkContext.broadcast(rank_of)
     # one row per task that wrote tokens
-    parts = table.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").toPandas()
+    parts = told.select("part", F.col("n_tokens").alias("n")).orderBy("part").toPandas()
     offsets = dict(zip(parts["part"].tolist(), (parts["n"].cumsum() - parts["n"]).tolist(), strict=True))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         for batch in chunks(batches):
-            x = batch.to_pydict()
-            pairs = [encoded(of[np.frombuffer(raw, width(n, raw))]) for n, raw in zip(x["n_tokens"], x["ids"], strict=True)]
-            start = [offsets[p] + s for p, s in zip(x["part"], x["start"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(start, pa.int64()), batch.column("n_tokens"), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary()), batch.column("part")], [f.name for f in placed])
+            n = batch.column("n_tokens").to_numpy()
+            raw, _ = values_of(batch.column("ids"))
+            control, data, control_ends, data_ends = encoded_all(of[raw.view("<u2" if len(raw) == 2 * n.sum() else "<u4")], n)
+            start = batch.column("start").to_numpy() + np.array([offsets[p] for p in batch.column("part").to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(start), batch.column("n_tokens"), binaries(control, control_ends), binaries(data, data_ends), batch.column("part")], placed.names)
 
     # a reread packs files by size, so rows go back to the place of the task that wrote them; it is known, which spares the sampling of a range
     n = int(parts["part"].max()) + 1 if len(parts) else 1
     placed = T.StructType([*DOCUMENTS, T.StructField("part", T.IntegerType())])
-    table.mapInArrow(coded, placed).repartitionById(n, F.col("part")).drop("part").sortWithinPartitions("start").write.parquet(f"{path}/documents")
+    table.where("counts is null").drop("counts").mapInArrow(coded, placed).repartitionById(n, F.col("part")).drop("part").sortWithinPartitions("start").write.parquet(f"{path}/documents")
 
 
+TOKENS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 DOCUMENTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a file set: doc_id, start, n_tokens, ids (array<int>)."""
-    return spark.read.schema(DOCUMENTS).parquet(f"{path}/documents").mapInArrow(_reader(spark, path, lambda ids: pa.array(ids, pa.list_(pa.int32())), "ids"), "doc_id long, start long, n_tokens long, ids array<int>")
+
+    def listed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
+
+    return _decoded(spark, path, listed, "ids array<int>")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """Of each document of a file set, from its decoded ids: doc_id, start, n_tokens, ids_crc32."""
-    crc = lambda all_ids: pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in all_ids], pa.int64())
-    return spark.read.schema(DOCUMENTS).parquet(f"{path}/documents").mapInArrow(_reader(spark, path, crc, "ids_crc32"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
+    def crc(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        raw, at = memoryview(ids.astype("<u4")).cast("B"), [0, *(4 * ends).tolist()]
+        return pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
+
+    return _decoded(spark, path, crc, "ids_crc32 long")
 
-def _reader(spark: SparkSession, path: str, made, name: str):
+
+def _decoded(spark: SparkSession, path: str, made, column: str) -> DataFrame:
     ranks = spark.read.schema("rank long, id long, n long").parquet(f"{path}/ranks").toPandas()  # the size of the vocabulary at most
     id_of = np.zeros(max(1, len(ranks)), np.int32)
     id_of[ranks["rank"].to_numpy()] = ranks["id"].to_numpy()
@@ -147,11 +174,15 @@ def _reader(spark: SparkSession, path: str, made, name: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         for batch in chunks(batches):
-            x = batch.to_pydict()
-            ids = [of[decoded(c, d, n)] for c, d, n in zip(x["control"], x["data"], x["n_tokens"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array([len(i) for i in ids], pa.int64()), made(ids)], ["doc_id", "start", "n_tokens", name])
-
-    return work
+            control, controls = values_of(batch.column("control"))
+            data, _ = values_of(batch.column("data"))
+            n = batch.column("n_tokens").to_numpy()
+            if (controls != -(-n // 4)).any():
+                raise ValueError("control bytes do not fit the number of tokens")
+            ids = of[decoded_all(control, data, n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made(ids, np.cumsum(n))], ["doc_id", "start", "n_tokens", column.split()[0]])
+
+    return spark.read.schema(DOCUMENTS).parquet(f"{path}/documents").mapInArrow(work, f"doc_id long, start long, n_tokens long, {column}")
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:

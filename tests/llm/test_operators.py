@@ -44,9 +44,15 @@ def roots(pairs, nodes):
 
 @pytest.mark.parametrize("numbers", [[], [0], [255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1], list(range(0, 70000, 7))])
 def test_variable_length_coding(numbers):
-    control, data = token_file.encoded(np.array(numbers, np.uint32))
-    assert token_file.decoded(control, data, len(numbers)).tolist() == numbers
-    assert len(control) == -(-len(numbers) // 4)
+    x, counts = np.array(numbers * 3 + [7], np.uint32), np.array([len(numbers), 0, len(numbers), len(numbers), 1])
+    control, data, control_ends, data_ends = token_file.encoded_all(x, counts)
+    assert token_file.decoded_all(control, data, counts).tolist() == x.tolist()
+    assert np.diff(control_ends, prepend=0).tolist() == [-(-n // 4) for n in counts.tolist()] and control_ends[-1] == len(control)
+    # each document alone is coded the same
+    for k, (a, b) in enumerate(zip(np.cumsum(counts) - counts, np.cumsum(counts), strict=True)):
+        own = token_file.encoded_all(x[a:b], counts[k : k + 1])
+        assert own[1].tobytes() == data[data_ends[k - 1] if k else 0 : data_ends[k]].tobytes()
+        assert own[0].tobytes() == control[control_ends[k - 1] if k else 0 : control_ends[k]].tobytes()
 
 
 def test_token_file(spark, docs, corpus, tmp_path):
