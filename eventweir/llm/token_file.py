@@ -5,8 +5,9 @@ numbers share a control byte of four 2-bit lengths (1 to 4 bytes); their bytes f
 first. Control byte and data being apart, a reader finds every number's length and place by table lookup and prefix sums, without
 a loop over numbers.
 
-A file set is a folder with two Parquet tables: `ranks` (rank, id, n) and `documents`, whose files in name order hold the documents
-in ascending id order, a row each: doc_id, start (tokens of all documents before it), n_tokens, control, data.
+A file set is a folder with three Parquet tables: `ranks` (rank, id, n); `documents`, whose files in name order hold the documents
+in ascending id order, a row each: doc_id, part (number of the file), start (tokens before it in the file), n_tokens, control, data;
+and `parts` (part, n, before: tokens of all files before it). Texts are encoded where they lie; only their ids are shuffled, once.
 """
 
 from __future__ import annotations
@@ -89,25 +90,20 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
     spark = docs.sparkSession
     at = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(at, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = pieces(vocabulary, True), TaskContext.get().partitionId(), 0
+        encoder = pieces(vocabulary, True)
         size = max(encoder.own.get_vocab_size(), end_id + 1)
         width = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         counts = np.zeros(size, np.int64)
         for batch in chunks(batches):
             ids, n = encoder.encode_flat([x or "" for x in batch.column("text").to_pylist()], end_id)
             counts += np.bincount(ids, minlength=size)
-            ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([part] * len(n), pa.int32()), pa.array(before + ends - n), pa.array(n), binaries(ids.astype(width).view(np.uint8), ends * width.itemsize), pa.nulls(len(n), pa.binary())], TOKENS.names)
-            before += int(ends[-1])
-        if before:  # the task's counts of ids are a row of their own
-            none = [pa.nulls(1, f.type) for f in TOKENS]
-            yield pa.RecordBatch.from_arrays([none[0], pa.array([part], pa.int32()), none[2], pa.array([before]), none[4], pa.array([counts.tobytes()], pa.binary())], TOKENS.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n), binaries(ids.astype(width).view(np.uint8), np.cumsum(n) * width.itemsize), pa.nulls(len(n), pa.binary())], TOKENS.names)
+        if counts.any():  # the task's counts of ids are a row of their own
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, TOKENS.field(k).type) for k in range(4)], pa.array([counts.tobytes()], pa.binary())], TOKENS.names)
 
-    table = written(rows.mapInArrow(tokens, "doc_id long, part int, start long, n_tokens long, ids binary, counts binary"), "tokens")
-    told = table.where("counts is not null")
+    table = written(rows.mapInArrow(tokens, "doc_id long, tie long, n_tokens long, ids binary, counts binary"), "tokens")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,33 +113,33 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids])], ["id", "n"])
 
     # one row per token of the vocabulary, so its size bounds what comes to the driver
-    ranks = told.select("counts").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
+    ranks = table.where("counts is not null").select("counts").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
     ranks.insert(0, "rank", np.arange(len(ranks)))
     spark.createDataFrame(ranks if len(ranks) else [], "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(int(ranks["id"].max()) + 1 if len(ranks) else 1, np.uint32)
     rank_of[ranks["id"].to_numpy()] = ranks["rank"].to_numpy()
     shared = spark.sparkContext.broadcast(rank_of)
-    # one row per task that wrote tokens
-    parts = told.select("part", F.col("n_tokens").alias("n")).orderBy("part").toPandas()
-    offsets = dict(zip(parts["part"].tolist(), (parts["n"].cumsum() - parts["n"]).tolist(), strict=True))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value
+        of, part, before = shared.value, TaskContext.get().partitionId(), 0
         for batch in chunks(batches):
             n = batch.column("n_tokens").to_numpy()
             raw, _ = values_of(batch.column("ids"))
-            control, data, control_ends, data_ends = encoded_all(of[raw.view("<u2" if len(raw) == 2 * n.sum() else "<u4")], n)
-            start = batch.column("start").to_numpy() + np.array([offsets[p] for p in batch.column("part").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(start), batch.column("n_tokens"), binaries(control, control_ends), binaries(data, data_ends), batch.column("part")], placed.names)
+            ends = np.cumsum(n)
+            control, data, control_ends, data_ends = encoded_all(of[raw.view("<u2" if len(raw) == 2 * ends[-1] else "<u4")], n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([part] * len(n), pa.int32()), pa.array(before + ends - n), batch.column("n_tokens"), binaries(control, control_ends), binaries(data, data_ends)], DOCUMENTS.names)
+            before += int(ends[-1])
 
-    # a reread packs files by size, so rows go back to the place of the task that wrote them; it is known, which spares the sampling of a range
-    n = int(parts["part"].max()) + 1 if len(parts) else 1
-    placed = T.StructType([*DOCUMENTS, T.StructField("part", T.IntegerType())])
-    table.where("counts is null").drop("counts").mapInArrow(coded, placed).repartitionById(n, F.col("part")).drop("part").sortWithinPartitions("start").write.parquet(f"{path}/documents")
+    ordered = table.where("counts is null").drop("counts").repartitionByRange(at, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered.mapInArrow(coded, DOCUMENTS).write.parquet(f"{path}/documents")
+    # one row per file, from the footers' columns alone
+    parts = spark.read.schema(DOCUMENTS).parquet(f"{path}/documents").groupBy("part").agg(F.sum("n_tokens").alias("n")).toPandas().sort_values("part")
+    parts["before"] = parts["n"].cumsum() - parts["n"]
+    spark.createDataFrame(parts if len(parts) else [], "part int, n long, before long").coalesce(1).write.parquet(f"{path}/parts")
 
 
-TOKENS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
-DOCUMENTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])
+TOKENS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+DOCUMENTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -169,10 +165,13 @@ def _decoded(spark: SparkSession, path: str, made, column: str) -> DataFrame:
     ranks = spark.read.schema("rank long, id long, n long").parquet(f"{path}/ranks").toPandas()  # the size of the vocabulary at most
     id_of = np.zeros(max(1, len(ranks)), np.int32)
     id_of[ranks["rank"].to_numpy()] = ranks["id"].to_numpy()
-    shared = spark.sparkContext.broadcast(id_of)
+    parts = spark.read.schema("part int, n long, before long").parquet(f"{path}/parts").toPandas()  # one row per file
+    offset = np.zeros(int(parts["part"].max()) + 1 if len(parts) else 1, np.int64)
+    offset[parts["part"].to_numpy()] = parts["before"].to_numpy()
+    shared = spark.sparkContext.broadcast((id_of, offset))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value
+        of, before = shared.value
         for batch in chunks(batches):
             control, controls = values_of(batch.column("control"))
             data, _ = values_of(batch.column("data"))
@@ -180,7 +179,8 @@ def _decoded(spark: SparkSession, path: str, made, column: str) -> DataFrame:
             if (controls != -(-n // 4)).any():
                 raise ValueError("control bytes do not fit the number of tokens")
             ids = of[decoded_all(control, data, n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made(ids, np.cumsum(n))], ["doc_id", "start", "n_tokens", column.split()[0]])
+            start = batch.column("start").to_numpy() + before[batch.column("part").to_numpy()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(start), batch.column("n_tokens"), made(ids, np.cumsum(n))], ["doc_id", "start", "n_tokens", column.split()[0]])
 
     return spark.read.schema(DOCUMENTS).parquet(f"{path}/documents").mapInArrow(work, f"doc_id long, start long, n_tokens long, {column}")
 

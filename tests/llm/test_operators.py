@@ -74,9 +74,12 @@ def test_token_file_is_in_order(spark, tmp_path):
     docs = spark.range(4000).select(((F.col("id") * 1237) % 4000).alias("doc_id"), F.expr("repeat(concat('w', id, ' '), cast(1 + id % 40 as int))").alias("text"))
     token_file.write(docs.repartition(5), f"file://{tmp_path}/tokens", vocabulary(BYTE_BPE))
     files = sorted((tmp_path / "tokens" / "documents").glob("*.parquet"))
-    rows = [r for f in files for r in pq.read_table(f).select(["doc_id", "start", "n_tokens"]).to_pylist()]
+    rows = [r for f in files for r in pq.read_table(f).select(["doc_id", "part", "start", "n_tokens"]).to_pylist()]
     assert len(files) > 1 and [r["doc_id"] for r in rows] == list(range(4000))
-    assert [r["start"] for r in rows] == np.cumsum([0, *[r["n_tokens"] for r in rows]])[:-1].tolist()
+    before = {r["part"]: r["before"] for r in spark.read.parquet(f"file://{tmp_path}/tokens/parts").collect()}
+    starts = np.cumsum([0, *[r["n_tokens"] for r in rows]])[:-1].tolist()
+    assert [r["start"] + before[r["part"]] for r in rows] == starts
+    assert [r["start"] for r in token_file.read(spark, f"file://{tmp_path}/tokens").orderBy("doc_id").collect()] == starts
 
 
 def test_token_file_of_nothing(empty):
