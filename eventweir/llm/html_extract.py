@@ -1,17 +1,26 @@
 """Main text of pages by consensus of their host.
 
-1. Each page is parsed into blocks of text, each with the path of its open elements. A path is generalised: tag and classes, digits
-   replaced, so that pages made from one template agree. Every container of a page gets a score: the characters of running text below
-   it, without links and boilerplate, less what lies outside it; the page votes for its best container's path.
-2. Votes are summed by host and path in Spark; the path with the most votes wins its host (ties: longer, then first by name).
+1. Each page is parsed into blocks of text. The path of an element is generalised: tags and classes, digits replaced, so that pages
+   made from one template agree. The characters of running text below each path (links count little) are its score; from the root on,
+   the page steps down to the path that keeps nine tenths of it, as long as no heading or paragraph is left outside, and votes for the
+   innermost container so reached.
+2. Votes are summed by host and path in Spark; the path with the most votes wins its host (ties: longer, then last by name).
 3. Each page is extracted again from the elements on its host's path. A page that has none, or whose host has no winner, falls back
    to its own best container.
+
+Elements that are boilerplate by tag, role or being hidden are left out. Classes and ids are weaker evidence: an element that has a
+word such as "share" or "comments" in one is left out unless it holds most of the page's running text (and no article or main element
+stands outside it) or lies on the host's path.
+
+A page is read in one pass; its cost is linear in its length whatever it holds, and so is memory.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -37,173 +46,296 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 CONTAINERS = frozenset("article body div main section td".split())
 FORMATTING = frozenset("a b big code em font i s small strike strong tt u".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+HEADINGS_AND_PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: Elements that siblings do not end each other across.
+SCOPES = frozenset("ul ol dl table tbody thead select article body div main section".split())
+
+#: Share of a page's running text that a step down keeps, and that an element of doubtful name must hold to stay.
+KEPT, TRUSTED = 0.9, 0.75
+
+_BEGIN = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _DIGITS = re.compile(r"\d+")
-_NAME = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-class Element:
-    __slots__ = ("tag", "path", "skip", "link", "parent", "number", "container")
-
-    def __init__(self, tag: str, path: str, skip: bool, link: bool, parent: Element | None, number: int):
-        self.tag, self.path, self.skip, self.link, self.parent, self.number = tag, path, skip, link, parent, number
-        self.container = tag in CONTAINERS and not skip
+def described(tag: str, raw: str) -> tuple[str, bool, bool]:
+    """The generalised name of an element, whether it is boilerplate for certain, and whether its class or id makes it doubtful."""
+    return _described(tag, raw) if len(raw) < 256 else _described.__wrapped__(tag, raw)
 
 
-def described(tag: str, raw: str) -> tuple[str, bool]:
-    """The generalised name of an element, and whether its name or attributes mark boilerplate."""
+@lru_cache(maxsize=20_000)
+def _described(tag: str, raw: str) -> tuple[str, bool, bool]:
     skip = tag in BOILERPLATE_TAGS
-    if not raw or raw == "/":
-        return tag, skip
-    classes: list[str] = []
-    names: list[str] = []
+    found: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(raw):
-        name, value = name.lower(), unescape(values[0] or values[1] or values[2])
-        if name == "class":
-            classes = sorted({_DIGITS.sub("#", c) for c in value.split()})
-            names += value.split()
-        elif name == "id":
-            names.append(value)
-        elif name == "role":
-            skip |= value.lower() in BOILERPLATE_ROLES
-        elif name == "style":
-            skip |= bool(_HIDDEN.search(value))
-        elif name == "aria-hidden":
-            skip |= value.lower() == "true"
-        elif name == "hidden":
-            skip = True
-    if tag not in ("html", "body", "main", "article"):
-        skip |= any(w in BOILERPLATE_WORDS for n in names for w in _NAME.findall(_CASE.sub(" ", n).lower()))
-    return ".".join([tag, *classes]), skip
-
-
-def parsed(html: str) -> list[tuple[Element, str]]:
-    """Text blocks in page order, each with the block element that holds it; white space inside a block is one space."""
-    root = Element("", "", False, False, None, 0)
-    open_: list[Element] = [root]
-    blocks: list[tuple[Element, str]] = []
-    parts: list[str] = []
-    holder = root
-    count, at, end = 0, 0, len(html)
-
-    def flush() -> None:
-        if parts:
-            if text := " ".join(unescape("".join(parts)).split()):
-                blocks.append((holder, text))
-            parts.clear()
-
-    def close(k: int) -> None:
-        """Closes the open elements from the k-th on."""
-        nonlocal holder
-        if any(e.tag not in INLINE for e in open_[k:]):
-            flush()
-        del open_[k:]
-
-    def add(text: str) -> None:
-        nonlocal holder
-        top = open_[-1]
-        if not top.skip and text:
-            if not parts:
-                block = top
-                while block.tag in INLINE and block.parent is not None:
-                    block = block.parent
-                holder = Element(block.tag, block.path, block.skip, top.link and not text.isspace(), block.parent, block.number) if top.link else block
-            parts.append(text)
-
-    while at < end:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            add(html[at:])
-            break
-        add(html[at : m.start()])
-        at = m.end()
-        closing, tag, raw = m.groups()
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if closing:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == tag:
-                    close(k)
-                    break
-                if tag in FORMATTING and open_[k].tag not in INLINE:
-                    break  # a formatting end tag does not close blocks
-            continue
-        if tag == "br" or tag == "hr":
-            if tag == "hr":
-                flush()
-            elif parts:
-                parts.append(" ")
-            continue
+        found.setdefault(name.lower(), unescape(values[0] or values[1] or values[2]))
+    classes = found.get("class", "").split()
+    skip |= found.get("role", "").lower() in BOILERPLATE_ROLES or found.get("aria-hidden", "").lower() == "true" or "hidden" in found
+    skip |= bool(_HIDDEN.search(found.get("style", "")))
+    names = [*classes, found.get("id", "")]
+    doubtful = tag not in ("html", "body", "main", "article") and any(w in BOILERPLATE_WORDS for n in names for w in _WORD.findall(_CASE.sub(" ", n).lower()))
+    return ".".join([tag, *sorted({_DIGITS.sub("#", c).replace("/", "_") for c in classes})]), skip, doubtful
+
+
+@dataclass(slots=True)
+class Open:
+    """An element that is open: the number of its path, and what its text inherits."""
+
+    tag: str
+    path: int
+    skip: bool = False
+    link: bool = False
+    doubt: int = 0
+    inline: bool = False
+
+
+class Page:
+    """The blocks of a page, and its paths and doubtful elements as trees: parents by number, a parent before its children."""
+
+    def __init__(self, html: str):
+        self.names, self.parent = [""], [-1]  # of paths
+        self.child: dict[tuple[int, str], int] = {}
+        self.doubt_parent, self.doubt_path = [-1], [0]  # of doubtful elements; 0 is none
+        self.blocks: list[tuple[int, int, int, bool, str]] = []  # path, doubtful element, weight, heading or paragraph, text
+        self._parts: list[str] = []
+        self._linked = 0
+        self._at = (0, 0, "")
+        self._open = [Open("", 0)]
+        self._counts: dict[str, int] = {}  # of open elements
+        self._block_at = [0]  # places of the open elements that are not inline
+        self._inline: list[dict[str, int]] = [{}]  # by such element: the inline ones opened in it
+        self._siblings: list[dict[str, int]] = [{}]  # by scope: open list items, rows, cells
+        self._read(html)
+        self._flush()
+
+    def _flush(self) -> None:
+        if self._parts:
+            if text := " ".join(unescape("".join(self._parts)).split()):
+                path, doubt, tag = self._at
+                linked = min(self._linked, len(text))
+                self.blocks.append((path, doubt, len(text) - linked + linked // 8, tag in HEADINGS_AND_PARAGRAPHS and linked < len(text), text))
+            self._parts.clear()
+            self._linked = 0
+
+    def _add(self, text: str) -> None:
+        top = self._open[-1]
+        if text and not top.skip:
+            if not self._parts:
+                block = self._open[self._block_at[-1]]
+                self._at = (block.path, top.doubt, block.tag)
+            self._parts.append(text)
+            if top.link:
+                self._linked += len(text.strip())
+
+    def _push(self, element: Open) -> None:
+        tag = element.tag
+        self._open.append(element)
+        self._counts[tag] = self._counts.get(tag, 0) + 1
+        if element.inline:
+            self._inline[-1][tag] = self._inline[-1].get(tag, 0) + 1
+        else:
+            self._block_at.append(len(self._open) - 1)
+            self._inline.append({})
+        if tag in SCOPES:
+            self._siblings.append({})
+        elif tag in SIBLINGS:
+            self._siblings[-1][tag] = self._siblings[-1].get(tag, 0) + 1
+
+    def _close(self, which) -> None:
+        """Closes open elements up to the innermost one whose tag is in which; there is one."""
+        while True:
+            e = self._open.pop()
+            tag = e.tag
+            self._counts[tag] -= 1
+            if e.inline:
+                self._inline[-1][tag] -= 1
+                if e.doubt != self._open[-1].doubt:
+                    self._flush()
+            else:
+                self._flush()
+                self._block_at.pop()
+                self._inline.pop()
+            if tag in SCOPES:
+                self._siblings.pop()
+            elif tag in SIBLINGS:
+                self._siblings[-1][tag] -= 1
+            if tag in which:
+                return
+
+    def _tag(self, tag: str, raw: str) -> None:
+        if tag == "br":
+            if self._parts:
+                self._parts.append(" ")
+            return
+        if tag == "hr":
+            self._flush()
         if tag in VOID:
-            continue
-        if tag in RAW:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = stop.end() if stop else end
-            continue
-        if tag in ENDS_P:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == "p":
-                    close(k)
-                    break
-                if open_[k].tag not in INLINE:
-                    break
-        if tag in SIBLINGS:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag in SIBLINGS[tag]:
-                    close(k)
-                    break
-                if open_[k].tag in ("ul", "ol", "dl", "table", "tbody", "thead", "select") or open_[k].tag in CONTAINERS - {"td"}:
-                    break
-        if tag not in INLINE:
-            flush()
-        name, skip = described(tag, raw)
-        up = open_[-1]
-        count += 1
-        inline = tag in INLINE
-        if skip and inline and not up.skip:
-            flush()
-        open_.append(Element(tag, up.path if inline else f"{up.path}/{name}", skip or up.skip, up.link or tag == "a", up, count))
-        if raw.endswith("/") and tag in ("svg", "math"):
-            open_.pop()
-    flush()
-    return blocks
-
-
-def containers(block: Element) -> Iterator[Element]:
-    e: Element | None = block
-    while e is not None:
-        if e.container:
-            yield e
-        e = e.parent
-
-
-def best(blocks: list[tuple[Element, str]]) -> str | None:
-    """The path of the page's best container: most running text inside, least outside, and the innermost of equals."""
-    inside: dict[str, int] = {}
-    total = 0
-    for block, text in blocks:
-        weight = len(text) // 8 if block.link else len(text)
-        total += weight
-        for path in {e.path for e in containers(block)}:
-            inside[path] = inside.get(path, 0) + weight
-    # a narrower container wins if it loses little: each level down must keep nine tenths
-    if not inside:
-        return None
-    chosen = max(inside, key=lambda p: (inside[p], -len(p), p))
-    while True:
-        below = {p: n for p, n in inside.items() if p.startswith(f"{chosen}/") and n >= 0.9 * inside[chosen]}
-        if not below:
-            return chosen
-        chosen = max(below, key=lambda p: (below[p], -len(p), p))
-
-
-def text_below(blocks: list[tuple[Element, str]], path: str | None) -> str:
-    """The blocks inside elements with this path, joined by spaces; without a path, all."""
-    return " ".join(text for block, text in blocks if path is None or block.path == path or block.path.startswith(f"{path}/"))
+            return
+        if tag in ENDS_P and self._open[self._block_at[-1]].tag == "p":
+            self._close(("p",))
+        if (ended := SIBLINGS.get(tag)) and any(self._siblings[-1].get(x) for x in ended):
+            self._close(ended)
+        inline, up = tag in INLINE, self._open[-1]
+        name, skip, doubtful = described(tag, raw)
+        doubt = up.doubt
+        if not inline or (skip or doubtful) and not up.skip:
+            self._flush()
+        path = up.path
+        if not inline:
+            path = self.child.setdefault((up.path, name), len(self.names))
+            if path == len(self.names):
+                self.names.append(name)
+                self.parent.append(up.path)
+        if doubtful and not skip and not up.skip:
+            doubt = len(self.doubt_parent)
+            self.doubt_parent.append(up.doubt)
+            self.doubt_path.append(path)
+        if not (raw.endswith("/") and tag in ("svg", "math")):
+            self._push(Open(tag, path, skip or up.skip, up.link or tag == "a", doubt, inline))
+
+    def _end_tag(self, tag: str) -> None:
+        # a formatting end tag does not close blocks
+        if (self._inline[-1] if tag in FORMATTING else self._counts).get(tag):
+            self._close((tag,))
+
+    def _read(self, html: str) -> None:
+        at, end = 0, len(html)
+        quotes = {'"', "'"}  # those that may still be closed
+        while at < end:
+            tag_begin = _BEGIN.search(html, at)
+            if tag_begin is None:
+                self._add(html[at:])
+                return
+            begin = tag_begin.start()
+            after = html[begin + 1]
+            if after in ("!", "?"):
+                self._add(html[at:begin])
+                comment = html.startswith("<!--", begin)
+                stop = html.find("-->" if comment else ">", begin + (2 if html.startswith("<!-->", begin) else 4 if comment else 2))
+                at = stop + (3 if comment else 1) if stop >= 0 else end
+                continue
+            closing = after == "/"
+            name = _NAME.match(html, begin + 1 + closing)
+            stop = name.end()
+            while (m := _STOP.search(html, stop)) and m[0] != ">":
+                stop = m.end()
+                if m[0] in quotes and html[max(name.end(), m.start() - 64) : m.start()].rstrip().endswith("="):
+                    if (stop := html.find(m[0], m.end()) + 1) == 0:
+                        quotes.discard(m[0])  # an open quote is none, here and further on
+                        stop = m.end()
+            if m is None:
+                # a tag that does not end: quotes are no more minded, and without any > the rest is text
+                stop = html.find(">", name.end())
+                quotes.clear()
+                if stop < 0:
+                    self._add(html[at:])
+                    return
+            else:
+                stop = m.start()
+            self._add(html[at:begin])
+            tag, raw, at = name[0].lower(), html[name.end() : stop], stop + 1
+            if closing:
+                self._end_tag(tag)
+            elif tag in RAW:
+                ended = _raw_end(tag).search(html, at)
+                at = ended.end() if ended else end
+            else:
+                self._tag(tag, raw)
+
+    def path_string(self, path: int) -> str:
+        names = []
+        while path > 0:
+            names.append(self.names[path])
+            path = self.parent[path]
+        return "".join(f"/{x}" for x in reversed(names))
+
+    def path_number(self, path: str) -> int | None:
+        number: int | None = 0
+        for name in path.split("/")[1:]:
+            number = self.child.get((number, name))
+            if number is None:
+                return None
+        return number
+
+    def trusted(self, host_path: int | None = None) -> list[bool]:
+        """By doubtful element: whether its text stays."""
+        weight = [0] * len(self.doubt_parent)
+        for _, doubt, n, _, _ in self.blocks:
+            weight[doubt] += n
+        for k in range(len(weight) - 1, 0, -1):
+            weight[max(self.doubt_parent[k], 0)] += weight[k]
+        above = set()
+        while host_path is not None and host_path > 0:
+            above.add(host_path)
+            host_path = self.parent[host_path]
+        semantic = [False] * len(self.names)
+        for k in range(1, len(semantic)):
+            semantic[k] = semantic[self.parent[k]] or self.names[k].partition(".")[0] in ("article", "main")
+        told = any(semantic[path] and not doubt for path, doubt, *_ in self.blocks)  # what the page marks as main leaves no doubt
+        out = [True] * len(weight)
+        for k in range(1, len(weight)):
+            out[k] = out[max(self.doubt_parent[k], 0)] and (weight[k] >= TRUSTED * weight[0] and not told or self.doubt_path[k] in above)
+        return out
+
+    def best(self) -> int | None:
+        """The path of the page's best container; None if it has none."""
+        trusted = self.trusted()
+        weight, marked = [0] * len(self.names), [0] * len(self.names)
+        for path, doubt, n, strong, _ in self.blocks:
+            if trusted[doubt]:
+                weight[path] += n
+                marked[path] += strong
+        heaviest = [0] * len(self.names)
+        for k in range(len(weight) - 1, 0, -1):
+            up = self.parent[k]
+            weight[up] += weight[k]
+            marked[up] += marked[k]
+            if not heaviest[up] or (weight[k], self.names[k]) > (weight[heaviest[up]], self.names[heaviest[up]]):
+                heaviest[up] = k
+        at, chosen = 0, None
+        while weight[0] and (below := heaviest[at]) and weight[below] >= KEPT * weight[0]:
+            tag = self.names[below].partition(".")[0]
+            if marked[below] < marked[at] and tag not in ("article", "main"):
+                break
+            at = below
+            if tag in CONTAINERS:
+                chosen = at
+        return chosen
+
+    def text(self, path: int | None, host_path: int | None = None) -> str:
+        """The blocks that stay below the path (None: everywhere), joined by spaces."""
+        trusted = self.trusted(host_path)
+        inside = [path is None] * len(self.names)
+        if path is not None:
+            inside[path] = True
+            for k in range(path + 1, len(inside)):
+                inside[k] = inside[self.parent[k]]
+        return " ".join(text for p, doubt, _, _, text in self.blocks if inside[p] and trusted[doubt])
+
+
+@lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+
+
+def best_path(html: str | None) -> str | None:
+    """The path that a page votes for."""
+    page = Page(html or "")
+    path = page.best()
+    return None if path is None else page.path_string(path)
+
+
+def main_text(html: str | None, host_path: str | None) -> str:
+    """A page's text by its host's path, or by its own best container if nothing lies below that."""
+    page = Page(html or "")
+    number = page.path_number(host_path) if host_path else None
+    found = page.text(number, number) if number is not None else ""
+    return found or page.text(page.best())
 
 
 def host_of(url):
@@ -218,7 +350,7 @@ def votes(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> Dat
         for batch in chunks(batches):
             cast: dict[tuple[str, str], int] = {}
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if html and (path := best(parsed(html))) is not None:
+                if html and (path := best_path(html)) is not None:
                     cast[host, path] = cast.get((host, path), 0) + 1
             yield pa.RecordBatch.from_pydict({"host": [h for h, _ in cast], "path": [p for _, p in cast], "n": list(cast.values())}, schema=pa.schema([("host", pa.string()), ("path", pa.string()), ("n", pa.int64())]))
 
@@ -238,12 +370,7 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> D
     kept = [c for c in pages.columns if c != "text"]
 
     def extracted(paths: list[str | None], htmls: list[str | None]) -> tuple[list[str]]:
-        out = []
-        for path, html in zip(paths, htmls, strict=True):
-            blocks = parsed(html or "")
-            text = text_below(blocks, path) if path else ""
-            out.append(text or text_below(blocks, best(blocks)))
-        return (out,)
+        return ([main_text(html, path) for path, html in zip(paths, htmls, strict=True)],)
 
     rows = pages.select(*kept, host_of(F.col(url_col)).alias("_host"), F.col(html_col).cast("string").alias("_html"))
     rows = rows.join(sized(winners.select(F.col("host").alias("_host"), F.col("path").alias("_path"))), "_host", "left")

@@ -345,6 +345,61 @@ def test_html(spark):
     assert winners["h0.example.com"] == winners["h1.example.com"] == "/html/body.page-#/div/div.post.post-#"
 
 
+TEMPLATES = [  # what stands around an article of headings, paragraphs and lists
+    "<body><nav><a href=/>Home</a></nav><article>{}</article><footer>Foot</footer></body>",
+    "<body><div id=wrap><div class='post-body p{n}'>{}</div><div class=comments><p>A reader says much, and more than that, at length.</p></div></div></body>",
+    "<body><table><tr><td class=left><a href=a>One</a> <a href=b>Two</a><td class=content>{}</table></body>",
+    "<body><header>Head</header><section><div class='article share-price'>{}</div></section><aside>Side</aside></body>",
+    "<body><main><div role=navigation>Menu</div><h1>Title</h1><p>Lead.</p><div class=text>{}</div></main></body>",
+    "<p>stray</p><div class=story>{}</div><div style='display: none'>unseen</div><div hidden>unseen</div><form>Search</form>",
+]
+
+
+def test_html_templates(spark):
+    """Articles put into templates, a host each, come out again; with a tie between two templates, repeated rows and null ids."""
+    import random
+
+    rng = random.Random(6)
+    rows, wanted = [], {}
+    for host, template in enumerate(TEMPLATES):
+        for n in range(15):
+            said = [" ".join(rng.choice(["wörd", "a &amp; b", "x&lt;y", "end.", "<b>bold</b>", "<a href=z>link</a>", "more&nbsp;text", "plain"]) for _ in range(rng.randrange(6, 40))) for _ in range(rng.randrange(2, 7))]
+            body = "".join(rng.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<ul><li>{}</ul>", "<blockquote>{}</blockquote>"]).format(x) for x in said)
+            shown = [" ".join(re.sub("<[^>]*>", "", x).replace("&nbsp;", " ").replace("&lt;", "<").replace("&amp;", "&").split()) for x in said]
+            before = {4: ["Title", "Lead."], 5: ["stray"]}.get(host, [])
+            page = len(wanted)
+            wanted[page] = " ".join([*before, *shown])
+            rows.append((page, f"https://u@H{host}.example:8/p?{n}", template.replace("{n}", str(n)).replace("{}", body)))
+    tie = [(1000 + k, "//tie/x", f"<body><div class={c}><p>Equal votes for both of these.</p></div></body>") for k, c in enumerate("abab")]
+    more = [rows[3], rows[3], (None, "http://n/", "<p>no id</p>"), (None, None, "<p>no id</p>")]
+    df = spark.createDataFrame(rows + tie + more, "page_id long, url string, html string").repartition(4)
+    got = [(r["page_id"], r["text"]) for r in html_extract.extract(df).collect()]
+    assert len(got) == len(rows) + len(tie) + len(more)
+    for page, text in got:
+        assert text == ("no id" if page is None else wanted.get(page, "Equal votes for both of these.")), page
+    assert {r["host"]: r["path"] for r in html_extract.votes(df).collect()}["tie"] == "/body/div.b"
+
+
+@pytest.mark.parametrize("piece", ["<a", "<div>", "<", "</", '<p title="a>x</p>', '<a x=">"', "<div></span>", "<b><i></b>", "<!--", "<script>", "<i><p></p>", "<ul><b><li>", "&amp", "<td>x"])
+def test_hostile_html_is_linear(piece):
+    """Twice the page, about twice the time: a page of a quarter of a megabyte takes seconds at most."""
+    import time
+
+    html = piece * (250_000 // len(piece))
+    began = time.time()
+    html_extract.main_text(html, html_extract.best_path(html))
+    assert time.time() - began < 8
+
+
+def test_html_attributes():
+    text = lambda html: html_extract.main_text(html, None)
+    assert text('<div title="hidden gems" data-id="ad"><p>x</p></div>') == "x"
+    assert text("<p>a<div class='comments'><p>b</p></div><p>c long enough to be the text") == "a c long enough to be the text"
+    assert text('<p title="a>The lost paragraph.</p>') == "The lost paragraph."
+    assert text("<p>1 < 2 <3 </ 4") == "1 < 2 <3 </ 4"
+    assert text("<article><h1>T</h1><p>lead</p><div class=body>" + "<p>a long article</p>" * 20 + "</div></article>").startswith("T lead a long")
+
+
 # 7
 
 
