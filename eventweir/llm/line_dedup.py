@@ -1,15 +1,21 @@
 """Line dedup by winnowing over line hashes.
 
-Lines are hashed; a gram is the shortest run of lines from a line on that has at least NOISE words, and its hash is made of its
-lines' hashes. A window is the shortest run of lines from a line on with at least GUARANTEE words; of the grams inside it the one
-with the least hash is selected. Two runs of equal lines with GUARANTEE words or more hold the same window, so they share a
-selected gram; a gram of a longer line is selected always.
-
-All selected grams are joined, by hash, with the first place (smallest document, then line) that has it. Both ends of a match are
-extended as long as the lines agree, and the later run is deleted. A first place is never itself deleted by its own copy: every
-deleted line has an equal line earlier, so one copy of each stays.
-
-Documents meet only through hashes: a gram that a third of all documents share is found by a minimum, not by pairs.
+A line is deleted if it lies in a run of lines with at least GUARANTEE words that stands at an earlier place too: in a document before
+this one (by id) or further up in the same text. Lines without words do not count and go with the run around them.
+
+Lines are hashed; a gram is the shortest run of lines from a line on that has at least NOISE words, and its hash is made of its lines'
+hashes. A window is a run from a line on that is no longer than GUARANTEE words take; of the grams inside it the one with the least
+hash is selected. Equal windows select the same gram, so whatever is to be deleted holds a selected gram that is selected elsewhere
+too, and only the places of such grams are looked at further.
+
+A gram that is found at several places is extended both ways, line by line, to every shortest run of GUARANTEE words around it: those
+that begin at a line before it, and those that end at a line after it. Each is joined, by a hash of 128 bits, with the first place of
+all that has the same run. Every deleted line is in one of these runs, since a longer repeated run is made of them; so none is missed,
+whichever document shares which part of it, and shorter matches never count. The first place of a run is not deleted by its copies:
+every deleted line has an equal one earlier, so one copy of each stays.
+
+Documents meet only through hashes: a run that a third of all documents share is found by a minimum, not by pairs. A text that repeats
+itself costs two runs a line.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 
 from eventweir.llm.common import chunks, written
 
-#: Words that a match has at least, and from how many words on no repeated run is missed.
+#: Words of a gram, and of the shortest repeated run that is deleted.
 NOISE, GUARANTEE = 40, 50
 
 
@@ -32,62 +38,82 @@ def shortest_runs(words: np.ndarray, least: int) -> np.ndarray:
     """For each line the end (exclusive) of the shortest run from it with at least so many words; -1 if there is none."""
     total = np.concatenate([[0], np.cumsum(words)])
     end = np.searchsorted(total, total[:-1] + least, "left")
-    return np.where(end <= len(words), np.maximum(end, np.arange(len(words)) + 1), -1)
+    return np.where(end <= len(words), end, -1)
+
+
+def shortest_runs_back(words: np.ndarray, least: int) -> np.ndarray:
+    """For each line the first line of the shortest run that ends with it and has at least so many words; -1 if there is none."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    return np.searchsorted(total, total[1:] - least, "right") - 1
 
 
-def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash (int64) and number of words of each line; white space at a line's ends does not count."""
+def hashed_text(text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Of the lines with words: their numbers, how many words they have, and their hashes, 16 bytes each. White space at a line's ends
+    does not count."""
     lines = [x.strip() for x in text.encode("utf-8", "replace").split(b"\n")]
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter(map(digest, lines), np.uint64, len(lines)).view(np.int64), np.fromiter((x.count(b" ") + 1 if x else 0 for x in lines), np.int64, len(lines))
+    at = [k for k, x in enumerate(lines) if x]
+    digest = xxhash.xxh3_128_digest
+    return np.array(at, np.int32), np.fromiter((len(lines[k].split()) for k in at), np.int32, len(at)), b"".join([digest(lines[k]) for k in at])
 
 
-def selected(hashes: np.ndarray, words: np.ndarray, noise: int = NOISE, guarantee: int = GUARANTEE) -> tuple[np.ndarray, np.ndarray]:
-    """First lines and hashes of the selected grams."""
+def winnowed(words: np.ndarray, raw: bytes, noise: int = NOISE, guarantee: int = GUARANTEE) -> tuple[np.ndarray, np.ndarray]:
+    """By line: its gram's hash (0: none), and the line of the gram that the window from it selects (-1: no window)."""
     gram_end, window_end = shortest_runs(words, noise), shortest_runs(words, guarantee)
+    grams, choice = np.zeros(len(words), np.uint64), np.full(len(words), -1, np.int64)
+    if not len(words) or window_end[0] < 0:
+        return grams.view(np.int64), choice
     starts = np.flatnonzero(gram_end >= 0)
-    if not starts.size or words.sum() < guarantee:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    raw = hashes.tobytes()
     digest = xxhash.xxh3_64_intdigest
-    grams = np.zeros(len(hashes), np.uint64)
-    grams[starts] = np.fromiter((digest(raw[8 * s : 8 * e]) for s, e in zip(starts.tolist(), gram_end[starts].tolist(), strict=True)), np.uint64, len(starts))
-    gram, inside, window = grams.tolist(), gram_end.tolist(), window_end.tolist()
-    chosen = set()
-    for line in range(len(hashes)):
-        if window[line] < 0:
+    grams[starts] = np.fromiter((digest(raw[16 * s : 16 * e]) for s, e in zip(starts.tolist(), gram_end[starts].tolist(), strict=True)), np.uint64, len(starts))
+    gram, inside = grams.tolist(), gram_end.tolist()
+    for line, stop in enumerate(window_end.tolist()):
+        if stop < 0:
             break
         best, at = gram[line], line
-        for k in range(line + 1, window[line]):
-            if inside[k] < 0 or inside[k] > window[line]:
+        for k in range(line + 1, stop):
+            if inside[k] < 0 or inside[k] > stop:
                 break
             if gram[k] <= best:
                 best, at = gram[k], k
-        chosen.add(at)
-    where = np.array(sorted(chosen), np.int64)
-    return where, grams[where].view(np.int64)
+        choice[line] = at
+    return grams.view(np.int64), choice
+
+
+def extended(words: np.ndarray, raw: bytes, choice: np.ndarray, repeated: np.ndarray, guarantee: int = GUARANTEE) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of the shortest runs around repeated grams (by the line of the gram): from each line whose window selected
+    one, and to each line where a run ends that begins at such a line."""
+    wanted = np.zeros(len(words) + 1, bool)  # the last one stands for: no window
+    wanted[:-1] = np.isin(choice, repeated) & (choice >= 0)
+    begin = np.flatnonzero(wanted)
+    ahead = shortest_runs(words, guarantee)[begin] - 1
+    back = shortest_runs_back(words, guarantee)
+    last = np.flatnonzero(wanted[back])
+    runs = np.unique(np.concatenate([np.column_stack([begin, ahead]), np.column_stack([back[last], last])]), axis=0)
+    return runs[:, 0], runs[:, 1]
+
+
+KEY = "doc long, tie long"
 
 
 def hashed_lines(docs: DataFrame, id_col: str, text_col: str, noise: int, guarantee: int) -> DataFrame:
-    """A row for each text: doc and tie (its key), hashes, grams (array of line and hash). Texts too short to hold a run: none."""
+    """A row for each text: doc and tie (its key), lines, words and hashes (bytes), grams (array of line and hash). Texts too short to
+    hold a run: none."""
+    schema = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("lines", pa.binary()), ("words", pa.binary()), ("hashes", pa.binary()), ("grams", pa.list_(pa.struct([("line", pa.int32()), ("gram", pa.int64())])))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            out: dict[str, list] = {k: [] for k in ("doc", "tie", "hashes", "grams")}
+            out: dict[str, list] = {name: [] for name in schema.names}
             for doc, tie, text in zip(*(batch.column(k).to_pylist() for k in ("doc", "tie", "text")), strict=True):
-                hashes, words = line_hashes(text or "")
-                where, gram = selected(hashes, words, noise, guarantee)
-                if where.size:
-                    out["doc"].append(doc)
-                    out["tie"].append(tie)
-                    out["hashes"].append(hashes)
-                    out["grams"].append([{"line": a, "gram": b} for a, b in zip(where.tolist(), gram.tolist(), strict=True)])
-            yield pa.RecordBatch.from_pydict(out, schema=LINES)
-
-    return docs.select(*key(id_col, text_col), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "doc long, tie long, hashes array<long>, grams array<struct<line:long,gram:long>>")
+                lines, words, raw = hashed_text(text or "")
+                grams, choice = winnowed(words, raw, noise, guarantee)
+                chosen = np.unique(choice[choice >= 0])
+                if chosen.size:
+                    own = [{"line": a, "gram": b} for a, b in zip(chosen.tolist(), grams[chosen].tolist(), strict=True)]
+                    for name, x in zip(schema.names, (doc, tie, lines.tobytes(), words.tobytes(), raw, own), strict=True):
+                        out[name].append(x)
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-
-LINES = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("hashes", pa.list_(pa.int64())), ("grams", pa.list_(pa.struct([("line", pa.int64()), ("gram", pa.int64())])))])
+    return docs.select(*key(id_col, text_col), F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"{KEY}, lines binary, words binary, hashes binary, grams array<struct<line:int,gram:long>>")
 
 
 def key(id_col: str, text_col: str) -> list:
@@ -95,49 +121,53 @@ def key(id_col: str, text_col: str) -> list:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("tie")]
 
 
-def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (doc, tie, hashes, matches) the deleted lines of each document."""
+def runs_of(rows: DataFrame, noise: int, guarantee: int) -> DataFrame:
+    """From rows (doc, tie, lines, words, hashes, repeated): each run around a repeated gram with its hash (high, low) and its first
+    and last line in the text."""
+    schema = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for batch in chunks(batches, 64):
+            for doc, tie, lines, words, raw, repeated in zip(*(batch.column(k).to_pylist() for k in ("doc", "tie", "lines", "words", "hashes", "repeated")), strict=True):
+                words, lines = np.frombuffer(words, np.int32), np.frombuffer(lines, np.int32)
+                _, choice = winnowed(words, raw, noise, guarantee)
+                begin, last = extended(words, raw, choice, np.array(repeated), guarantee)
+                hashes = np.frombuffer(b"".join([digest(raw[16 * a : 16 * b + 16]) for a, b in zip(begin.tolist(), last.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+                whose = [pa.array(np.full(len(begin), x)) for x in (doc, tie)]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), *whose, pa.array(lines[begin]), pa.array(lines[last])], schema=schema)
+
+    return rows.mapInArrow(work, f"high long, low long, {KEY}, first int, last int")
+
+
+def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (doc, tie, runs of first and last line) an array that says of each line, up to the last deleted one, whether it goes."""
     for batch in chunks(batches):
-        out: dict[str, list] = {"doc": [], "tie": [], "deleted": []}
-        for doc, tie, hashes, matches in zip(*(batch.column(k).to_pylist() for k in ("doc", "tie", "hashes", "matches")), strict=True):
-            own, gone = np.array(hashes, np.int64), np.zeros(len(hashes), bool)
-            for m in matches:
-                other = np.array(m["hashes"], np.int64)  # of the earlier place, beginning at its line m["first"]
-                for line, from_line in zip(m["lines"], m["from"], strict=True):
-                    at = from_line - m["first"]
-                    after = min(len(own) - line, len(other) - at)
-                    before = min(line, at)
-                    same = own[line : line + after] == other[at : at + after]
-                    up = after if same.all() else int(same.argmin())
-                    back = own[line - before : line][::-1] == other[at - before : at][::-1]
-                    down = before if back.all() else int(back.argmin())
-                    if up:  # else two grams' hashes were equal by chance
-                        gone[line - down : line + up] = True
-            if gone.any():
-                out["doc"].append(doc)
-                out["tie"].append(tie)
-                out["deleted"].append(np.flatnonzero(gone))
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("deleted", pa.list_(pa.int32()))]))
+        out = []
+        for runs in batch.column("runs"):
+            first, last = (x.to_numpy(zero_copy_only=False) for x in runs.values.flatten())
+            steps = np.zeros(int(last.max()) + 2, np.int32)
+            np.add.at(steps, first, 1)
+            np.add.at(steps, last + 1, -1)
+            out.append(np.cumsum(steps)[:-1] > 0)
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tie"), pa.array(out, pa.list_(pa.bool_()))], ["doc", "tie", "deleted"])
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
-    """Rows (doc, tie, deleted): of each document with repeated runs, the numbers of the lines to delete, from 0."""
+    """Rows (doc, tie, deleted): of each document with repeated runs, by line, from 0: whether it is to be deleted."""
     if not 0 < noise <= guarantee:
         raise ValueError("noise: above 0, at most guarantee")
     lines = written(hashed_lines(docs, id_col, text_col, noise, guarantee).dropDuplicates(["doc", "tie"]), "lines")
-    grams = lines.select("doc", "tie", F.size("hashes").alias("n"), F.explode("grams").alias("g")).select("doc", "tie", "n", "g.line", "g.gram")
-    place = F.struct("doc", "tie", "line")
-    first = written(grams.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").select("gram", "first"), "line-grams")
-    found = grams.join(first, "gram").where(F.struct("doc", "tie", "line") != F.col("first"))
-    pairs = found.groupBy("doc", "tie", "n", F.col("first.doc").alias("doc0"), F.col("first.tie").alias("tie0"), (F.col("first.line") - F.col("line")).alias("shift"))
-    pairs = written(pairs.agg(F.array_sort(F.collect_set("line")).alias("lines")), "line-matches")
-    earlier = lines.select(F.col("doc").alias("doc0"), F.col("tie").alias("tie0"), F.col("hashes").alias("hashes0"))
-    begin = F.greatest(F.lit(0), F.col("shift")).cast("int")
-    # of the earlier document only what can lie opposite a line of this one
-    sides = pairs.join(earlier, ["doc0", "tie0"]).select("doc", "tie", F.struct(F.slice("hashes0", begin + 1, F.greatest(F.lit(0), F.col("n") + F.col("shift").cast("int") - begin)).alias("hashes"), begin.alias("first"), "lines", F.transform("lines", lambda x: x + F.col("shift")).alias("from")).alias("m"))
-    matches = sides.groupBy("doc", "tie").agg(F.collect_list("m").alias("matches"))
-    runs = lines.select("doc", "tie", "hashes").join(matches, ["doc", "tie"])
-    return written(runs.mapInArrow(extended, "doc long, tie long, deleted array<int>"), "line-runs")
+    grams = lines.select("doc", "tie", F.explode("grams").alias("g")).select("doc", "tie", "g.line", "g.gram")
+    several = grams.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram")
+    found = grams.join(several, "gram").groupBy("doc", "tie").agg(F.collect_list("line").alias("repeated"))
+    runs = written(runs_of(lines.drop("grams").join(found, ["doc", "tie"]), noise, guarantee), "line-runs")
+    place = F.struct("doc", "tie", "first")
+    earliest = runs.groupBy("high", "low").agg(F.min(place).alias("earliest"), F.count("*").alias("places")).where("places > 1").drop("places")
+    later = runs.join(earliest, ["high", "low"]).where(place != F.col("earliest"))
+    # as many runs as the text has lines, twice
+    of = later.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    return written(of.mapInArrow(flags, f"{KEY}, deleted array<boolean>"), "line-deletions")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
@@ -151,6 +181,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gone = repeated_lines(docs, id_col, text_col, noise, guarantee).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("deleted").alias("_deleted"))
     doc, tie = key(id_col, text_col)
     rows = docs.select("*", doc.alias("_doc"), tie.alias("_tie")).join(gone.hint("merge"), ["_doc", "_tie"], "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_deleted", i)), "\n")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.coalesce(F.get("_deleted", i), F.lit(False))), "\n")
     text = F.when(F.col("_deleted").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
-    return rows.select(*[text if c == text_col else F.col(c) for c in docs.columns], F.when(F.col("_deleted").isNull(), 0).otherwise(F.size("_deleted")).alias("removed_lines"))
+    count = F.coalesce(F.size(F.filter("_deleted", lambda x: x)), F.lit(0))
+    return rows.select(*[text if c == text_col else F.col(c) for c in docs.columns], F.when(F.col("_deleted").isNull(), 0).otherwise(count).alias("removed_lines"))
