@@ -12,8 +12,11 @@ from pyspark.sql import types as T
 
 from eventweir.sources.scratch import scratch_path, shared_dir, written  # noqa: F401
 
-#: Members of a bucket that meet in one task are at most twice this many; larger buckets are dealt out as pairs of blocks.
-BLOCK = 128
+#: Members of a bucket that meet in one task are at most twice this many; larger buckets are dealt out as pairs of blocks. In a task
+#: they are compared in tiles.
+BLOCK, TILE = 2048, 128
+#: Keys that hold more than this part of all rows are joined by broadcast; there are at most so many of them.
+HUBS = 10_000
 #: Groups up to this size are first searched for any link at all, many groups at once.
 SMALL = 16
 #: A side is broadcast only if it was counted and has at most so many rows.
@@ -76,24 +79,40 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def joined_by_hubs(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with table, a row per key with n, how many of rows have it; total: how many rows there are, at least.
+
+    A key with more than total / HUBS rows would gather them in one task of a shuffle. There are fewer than HUBS such keys, so they are
+    broadcast and their rows stay where they are; only the other rows are shuffled. The table should be a written one."""
+    limit = max(total // HUBS, 1)
+    hubs = table.where(F.col("n") > limit)
+    if not hubs.limit(1).count():
+        return rows.join(table, key)
+    few = rows.join(F.broadcast(hubs), key)
+    many = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(table.where(F.col("n") <= limit), key)
+    return few.unionByName(many)
+
+
 def connected(edges: DataFrame, name: str = "links") -> DataFrame:
     """Components of a graph given as rows (a, b) of long ids: rows (id, component), the component being its smallest id.
 
     Large-star and small-star steps (joins with a minimum per node) until every edge points at a root. Each step is a written
-    table; nothing but two sums per step comes to the driver. Nulls and loops are left out; no edges give no rows.
+    table; nothing but two sums per step comes to the driver. Nulls and loops are left out; no edges give no rows. A node with very
+    many edges does not gather them in one task.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ordered = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    lowest = lambda e: written(e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), f"{name}-least")
     edges, before = written(ordered(edges), name), None
     while (now := state(edges)) != before:
         before = now
         around = both(edges)
-        least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = ordered(around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        least = lowest(around).select("a", F.least("a", "m").alias("m"), "n")
+        large = ordered(joined_by_hubs(around.where("b > a"), least, "a", 2 * now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")))
         large = written(large, name)
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
+        least = lowest(large)
+        small = joined_by_hubs(large, least, "a", now[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = written(ordered(small), name)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
@@ -101,29 +120,33 @@ def connected(edges: DataFrame, name: str = "links") -> DataFrame:
 def within_buckets(rows: DataFrame, payload: DataFrame, test, name: str) -> tuple[DataFrame, DataFrame]:
     """Verifies candidate pairs that share a bucket.
 
-    rows: (bucket long, id long), an id once per bucket. payload: (id, weight, then columns that the test reads), one row per id.
-    test.matrix(left, right) gets two dicts of arrays and returns two boolean matrices: which pairs link, and which of those this
-    bucket is to count (each link is counted by one of its buckets). test.pairs(rows, i, j) tells which of the pairs of rows link.
-    Returns (edges, counts): edges (a, b) that connect what links connect, at most one per member, and counts (id, n) where n sums
-    the right side's column weight over the counted links. No pair becomes a row.
+    rows: (bucket long, id long, maybe further columns that the test reads), an id once per bucket. payload: (id, weight, then columns
+    that the test reads), one row per id. test.prepare(rows) gets a dict of arrays and returns it as the test wants it.
+    test.matrix(left, right) gets two such dicts and returns two boolean matrices: which pairs link, and which of those this bucket is to
+    count (each link is counted by one of its buckets). test.pairs(rows, i, j) tells which of the pairs of rows link.
+    Returns (edges, counts): edges (a, b) that connect what links connect, at most one per member of a block, and counts (id, n) where n
+    sums the other side's column weight over the counted links. No pair becomes a row.
 
-    A bucket of more than BLOCK members is dealt out as pairs of blocks, so that no task gets more than two blocks at once and
-    every pair of its members still meets once.
+    A bucket of more than BLOCK members is dealt out as pairs of blocks, so that no task gets more than two blocks at once and every
+    pair of its members still meets once.
     """
     spark = rows.sparkSession
-    full = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sized(written(full, f"{name}-sizes"), 1000), "bucket")
+    full = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-sizes")
+    total = full.agg(F.sum("n")).first()[0] or 0
+    rows = joined_by_hubs(rows, full, "bucket", total)
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
-    rows = rows.select("bucket", "id", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.select("bucket", "id", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    rows = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")).drop("n")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("parts", "other")
     key = ["bucket", "low", "high"]
     rows = rows.join(payload, "id")
+    if hasattr(test, "reduce"):
+        rows = test.reduce(rows)
     at = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(at, *key).sortWithinPartitions(*key, "id")
     found = rows.mapInArrow(lambda batches: verify(batches, test), "a long, b long, n long")
     found = written(found, f"{name}-found")
-    return found.where("b is not null").select("a", "b").distinct(), found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    return found.where("b is not null").select("a", "b").distinct(), found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -151,14 +174,19 @@ def group_starts(table: pa.Table, key: list[str]) -> np.ndarray:
 
 
 def columns(table: pa.Table) -> dict:
-    """A column of numbers as an array, of binaries of one length as a matrix of bytes."""
+    """A column of numbers as an array, one of binaries as an array of bytes objects, one of lists as an array of arrays."""
     out = {}
     for name in table.column_names:
         c = table.column(name).combine_chunks()
         if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type):
-            out[name] = np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1)
+            out[name] = np.empty(len(c), object)
+            out[name][:] = c.to_pylist()
+        elif pa.types.is_list(c.type):
+            out[name] = np.empty(len(c), object)
+            values, ends = c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy()).tolist()
+            out[name][:] = [values[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         else:
-            out[name] = c.to_numpy(zero_copy_only=False)  # lists become an array of arrays
+            out[name] = c.to_numpy(zero_copy_only=False)
     return out
 
 
@@ -174,41 +202,60 @@ def with_links(x: dict, starts: np.ndarray, sizes: np.ndarray, pairs: Callable)
 
 
 def verify(batches: Iterator[pa.RecordBatch], test) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(k, pa.int64()) for k in "abn"])
     for table, starts in whole_groups(batches, ["bucket", "low", "high"]):
-        x = columns(table)
+        x = test.prepare(columns(table))
         sizes = np.diff(np.append(starts, table.num_rows))
         made = [verified({k: v[starts[g] : starts[g] + sizes[g]] for k, v in x.items()}, test) for g in with_links(x, starts, sizes, test.pairs).tolist()]
         made = [m for m in made if m is not None]
         if made:
-            ids, n, a, b = (np.concatenate(c) for c in zip(*made, strict=True))
-            none = lambda k: pa.nulls(k, pa.int64())
-            both = lambda c, d: pa.concat_arrays([c, d])
-            yield pa.RecordBatch.from_arrays([both(pa.array(ids, pa.int64()), pa.array(a, pa.int64())), both(none(len(ids)), pa.array(b, pa.int64())), both(pa.array(n.astype(np.int64)), none(len(a)))], ["a", "b", "n"])
+            a, b, n = (np.concatenate(c) for c in zip(*made, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=a == b), pa.array(n)], schema=schema)
 
 
 def verified(x: dict, test) -> tuple | None:
-    """Of one group: ids and their counted weights; and edges to the smallest id that links reach inside the group."""
+    """Of one group: the ids that link, the smallest id that links reach from each inside the group, and its counted weight."""
+    ids = x["id"]
     within = x["low"][0] == x["high"][0]
-    left = np.ones(len(x["id"]), bool) if within else x["own"] == x["low"]
-    right = left if within else ~left
-    if not left.any() or not right.any():
-        return None
-    l, r = {k: v[left] for k, v in x.items()}, {k: v[right] for k, v in x.items()}  # noqa: E741
-    links, counted = test.matrix(l, r)
-    if within:
-        np.fill_diagonal(links, False)
-    if not links.any():
-        return None
-    counted &= links
-    n_left = counted @ r["weight"]
-    ids, n = (l["id"], n_left) if within else (np.concatenate([l["id"], r["id"]]), np.concatenate([n_left, l["weight"] @ counted]))
-    of_left, of_right = l["id"].copy(), r["id"].copy()
+    left = np.arange(len(ids)) if within else np.flatnonzero(x["own"] == x["low"])
+    right = left if within else np.flatnonzero(x["own"] != x["low"])
+    n, u, v = np.zeros(len(ids), np.int64), [], []
     top = np.iinfo(np.int64).max
+    for a in range(0, len(left), TILE):
+        some = left[a : a + TILE]
+        l = {k: c[some] for k, c in x.items()}  # noqa: E741
+        for b in range(a if within else 0, len(right), TILE):
+            same, others = within and a == b, right[b : b + TILE]
+            r = l if same else {k: c[others] for k, c in x.items()}
+            links, counted = test.matrix(l, r)
+            if same:
+                np.fill_diagonal(links, False)
+            if not links.any():
+                continue
+            counted &= links
+            n[some] += counted @ r["weight"]
+            if not same:
+                n[others] += l["weight"] @ counted
+            # places of the smallest that links reach inside the tile
+            of_some, of_others = some.copy(), others.copy()
+            while True:
+                new_some = np.minimum(of_some, np.where(links, of_others[None, :], top).min(1))
+                new_others = new_some if same else np.minimum(of_others, np.where(links, new_some[:, None], top).min(0))
+                if (new_some == of_some).all() and (new_others == of_others).all():
+                    break
+                of_some, of_others = new_some, new_others
+            u += [some, others]
+            v += [of_some, of_others]
+    if not u:
+        return None
+    u, v = np.concatenate(u), np.concatenate(v)
+    u, v = u[u != v], v[u != v]
+    of = np.arange(len(ids))  # members are sorted by id
     while True:
-        new_left = np.minimum(of_left, np.where(links, of_right[None, :], top).min(1))
-        new_right = new_left if within else np.minimum(of_right, np.where(links, new_left[:, None], top).min(0))
-        if (new_left == of_left).all() and (new_right == of_right).all():
+        old = of.copy()
+        np.minimum.at(of, u, of[v])
+        np.minimum.at(of, v, of[u])
+        if (of == old).all():
             break
-        of_left, of_right = new_left, new_right
-    a, b = (l["id"], of_left) if within else (np.concatenate([l["id"], r["id"]]), np.concatenate([of_left, of_right]))
-    return ids[n > 0], n[n > 0], a[a != b], b[a != b]
+    linked = np.unique(np.concatenate([u, v]))
+    return ids[linked], ids[of[linked]], n[linked]

@@ -8,7 +8,7 @@ the threshold, and completing only those. Several such codes, each with its own
 vector passes.
 
 The number of filters is set from the threshold on cosines so that independent filters would miss a linked pair with probability
-MISS at most (those of a code are not quite independent: about 1 pair in 80 exactly at the threshold is missed, and none that the
+MISS at most (those of a code are not quite independent: about 1 pair in 120 exactly at the threshold is missed, and none that the
 tests found at a cosine of 0.95), and the height of the caps from the number of vectors so that a filter holds few unrelated ones. Vectors are joined on their filters and
 verified in double precision; a link is counted in the smallest common filter.
 
@@ -24,14 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventweir.llm.common import chunks, connected, within_buckets, written
 
 COSINE = 0.9
 #: Probability of missing a pair at exactly the threshold, and how many unrelated vectors may pass a filter, on average.
-MISS, CROWD = 1e-6, 0.3
-#: Product codes, each with a rotation of its own.
-CODES = 16
+MISS, CROWD = 3e-5, 0.3
+#: Product codes, each with a rotation of its own; many small codes are more nearly independent than few large ones.
+CODES = 64
 SEED = 42
 
 
@@ -69,6 +70,10 @@ class Filters:
         halves = draw.standard_normal((CODES, 2, self.codewords, self.padded // 2))
         self.halves = halves / np.linalg.norm(halves, axis=3, keepdims=True)
 
+    @property
+    def number_type(self) -> str:
+        return "int" if CODES * self.codewords**2 < 1 << 31 else "long"
+
     def decode(self, vectors: np.ndarray) -> list[np.ndarray]:
         """The numbers of the filters that each unit vector passes, ascending."""
         half, limit = self.padded // 2, self.alpha * math.sqrt(2)
@@ -81,7 +86,7 @@ class Filters:
             owners.append(v[some])
             numbers.append((code * self.codewords + row[some]) * self.codewords + column)
         owner, number = np.concatenate(owners), np.concatenate(numbers)
-        order = np.lexsort((number, owner))
+        order = np.argsort(owner, kind="stable")  # numbers ascend already, code by code
         return np.split(number[order], np.searchsorted(owner[order], np.arange(1, len(vectors))))
 
 
@@ -91,32 +96,46 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def units(raw: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors (double precision) of the bytes of vectors of one dimension."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True, initial=0)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class Near:
-    """Unit vectors (rows of bytes, double precision) at this cosine or above."""
+    """Vectors at this cosine or above. kind: type of the numbers in a vector's bytes."""
+
+    def __init__(self, cosine: float, kind: str):
+        self.cosine, self.kind = cosine, kind
+
+    def reduce(self, rows: DataFrame) -> DataFrame:
+        """Of a member's list of filters, a bucket needs those before it."""
+        return rows.withColumn("filters", F.slice("filters", 1, F.col("place"))).drop("place")
 
-    def __init__(self, cosine: float):
-        self.cosine = cosine
+    def prepare(self, x: dict) -> dict:
+        return x | {"vector": units(x["vector"].tolist(), self.kind)}
 
     def pairs(self, x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        v = x["vector"].view("<f8")
+        v = x["vector"]
         out = np.zeros(len(i), bool)
         for at in range(0, len(i), 4096):
             out[at : at + 4096] = np.einsum("ij,ij->i", v[i[at : at + 4096]], v[j[at : at + 4096]]) >= self.cosine - 1e-9  # decided by matrix()
         return out
 
     def matrix(self, left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
-        links = left["vector"].view("<f8") @ right["vector"].view("<f8").T >= self.cosine
+        links = left["vector"] @ right["vector"].T >= self.cosine
         # this bucket counts a link if the two have no smaller filter in common
-        lists = [x[: np.searchsorted(x, left["bucket"][0])] for x in (*left["filters"], *right["filters"])]
-        kinds, at = np.unique(np.concatenate(lists), return_inverse=True)
-        passes = np.zeros((len(lists), len(kinds)), np.float32)
-        passes[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), at] = 1
+        raw = [*left["filters"], *right["filters"]]
+        kinds, at = np.unique(np.concatenate(raw), return_inverse=True)
+        passes = np.zeros((len(raw), len(kinds)), np.float32)
+        passes[np.repeat(np.arange(len(raw)), [len(x) for x in raw]), at] = 1
         n = len(left["id"])
         return links, passes[:n] @ passes[n:].T < 0.5
 
 
 def classes(vectors: DataFrame, cosine: float = COSINE, seed: int = SEED) -> DataFrame:
-    """From rows (id, vector array<double>, usable only): one row per distinct vector with rep (smallest id), weight (rows),
+    """From rows (id, vector array<float> or array<double>, usable only): one row per distinct vector with rep (smallest id), weight (rows),
     links (other rows linked with each of them) and component (smallest id reachable)."""
     reps = written(vectors.groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "cap-classes")
     sizes = reps.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()  # one row per dimension
@@ -129,19 +148,20 @@ def classes(vectors: DataFrame, cosine: float = COSINE, seed: int = SEED) -> Dat
 
 def _links(reps: DataFrame, filters: Filters, cosine: float) -> DataFrame:
     shared = reps.sparkSession.sparkContext.broadcast(filters)
+    kind = "<f4" if reps.schema["vector"].dataType.elementType == T.FloatType() else "<f8"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in chunks(batches, 1024):
-            x = np.array(batch.column("vector").to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            with np.errstate(over="ignore"):
-                x = x / np.abs(x).max(1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("weight"), pa.array([v.astype("<f8").tobytes() for v in x], pa.binary()), pa.array(own.decode(x), pa.list_(pa.int64()))], ["id", "weight", "vector", "filters"])
-
-    known = written(reps.where("rep is not null").select("rep", "weight", "vector").mapInArrow(work, "id long, weight long, vector binary, filters array<long>"), "cap-vectors")
-    rows = known.select("id", F.explode("filters").alias("bucket"))
-    edges, counts = within_buckets(rows, known, Near(cosine), "cap")
+            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(kind)
+            vectors = [x.tobytes() for x in flat.reshape(batch.num_rows, -1)]
+            lists = own.decode(units(vectors, kind))
+            number = pa.int32() if own.number_type == "int" else pa.int64()
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("weight"), pa.array(vectors, pa.binary()), pa.array(lists, pa.list_(number))], ["id", "weight", "vector", "filters"])
+
+    known = written(reps.where("rep is not null").select("rep", "weight", "vector").mapInArrow(work, f"id long, weight long, vector binary, filters array<{filters.number_type}>"), "cap-vectors")
+    rows = known.select("id", F.posexplode("filters").alias("place", "bucket")).withColumn("bucket", F.col("bucket").cast("long"))
+    edges, counts = within_buckets(rows, known, Near(cosine, kind), "cap")
     found = connected(edges, "cap-links")
     out = reps.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("vector", "rep", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
@@ -155,7 +175,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     vectors of different lengths do not link. Rows that repeat an id each count. A null id: such rows link by equality only, and have
     the component of rows with an equal vector (null if none has an id); kept is then false. Other columns are not read.
     """
-    base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+    if base.schema["vector"].dataType != T.ArrayType(T.FloatType()):
+        base = base.withColumn("vector", F.col("vector").cast("array<double>"))
     good = base.where(usable(F.col("vector")))
     found = written(classes(good, cosine, seed), "cap-result")
     linked = good.join(found.drop("rep", "weight"), "vector").select("id", F.col("links").alias("n_links"), "component")

@@ -129,7 +129,9 @@ def fit(words: pd.DataFrame) -> Model:
 
 
 def fit_grams(grams: pd.DataFrame) -> Model:
-    """A model from rows (lang, gram, n): how often each language has each gram of ORDER characters."""
+    """A model from rows (lang, gram, n): how often each language has each gram of ORDER characters. No rows: no languages."""
+    if not len(grams):
+        return Model([], {})
     languages = sorted(grams["lang"].unique().tolist())
     points, at = np.unique(np.array(grams["gram"].tolist(), f"<U{ORDER}").view(np.uint32), return_inverse=True)
     at = at.reshape(-1, ORDER)
@@ -192,7 +194,7 @@ class Scorer:
             known.update(zip(new, range(at, at + len(new)), strict=True))
             fresh += new
             rows.append(counted)
-        for at in range(0, len(fresh), 20_000):
+        for at in range(0, len(fresh) if self.model.languages else 0, 20_000):
             more = self.model.word_bits(fresh[at : at + 20_000])
             self.bits = np.concatenate([self.bits, more])
         out, symbols = np.zeros((len(texts), len(self.model.languages))), np.zeros(len(texts), np.int64)
@@ -202,7 +204,8 @@ class Scorer:
                 times = np.fromiter(counted.values(), np.int64, len(counted))
                 symbols[k] = sum(map(len, counted)) if times.max() == 1 else sum(n * len(w) for w, n in counted.items())
                 symbols[k] += times.sum()
-                out[k] = times @ self.bits[at] / symbols[k]
+                if self.model.languages:
+                    out[k] = times @ self.bits[at] / symbols[k]
         return out, symbols
 
 
@@ -219,7 +222,7 @@ def language_of(labelled: Column, lang_col: str) -> Column:
 
 
 def learned(docs: DataFrame, labelled: Column, text_col: str, lang_col: str) -> Model:
-    """A model without limits, from the grams of all labelled rows. Raises ValueError if they have none."""
+    """A model without limits, from the grams of all labelled rows."""
     rows = docs.select(language_of(labelled, lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
@@ -241,8 +244,6 @@ def learned(docs: DataFrame, labelled: Column, text_col: str, lang_col: str) ->
 
     # a row per language and distinct gram of five characters
     grams = rows.mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    if not len(grams):
-        raise ValueError("no labelled text with a letter to learn languages from")
     return fit_grams(grams)
 
 
@@ -256,7 +257,7 @@ def calibrate(model: Model, scores: DataFrame) -> None:
 
 
 def train(docs: DataFrame, labelled: Column, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from all rows where labelled holds and text and language are not null. Raises ValueError if they have no letter."""
+    """Learns from all rows where labelled holds and text and language are not null. If they have no letter, the model knows no language."""
     model = learned(docs, labelled, text_col, lang_col)
     mine = language_of(labelled, lang_col)
     calibrate(model, scored(docs.select(F.col(text_col).cast("string").alias("_text"), mine.alias("_own")).where("_own is not null"), model).select("_own", "_own_bits"))
@@ -267,10 +268,14 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
     """rows, which have columns _text and _own (a language or null), without _text, and lang_pred, score, bits, _symbols, _own_bits."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     number = {lang: k for k, lang in enumerate(model.languages)}
+    model_languages = bool(model.languages)
 
     def judged(texts: list[str | None], own: list[str | None]) -> tuple:
         known = scorer(shared)
         bits, symbols = known.entropies(texts)
+        if not model_languages:
+            nothing = pa.nulls(len(texts), pa.float64())
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), nothing, symbols, nothing
         every = np.arange(len(bits))
         best = bits.argmin(1)
         low = bits[every, best]
@@ -287,6 +292,8 @@ JUDGED = ["lang_pred", "score", "bits", "rejected"]
 
 
 def verdict(scores: DataFrame, model: Model, kept: list[str]) -> DataFrame:
+    if not model.languages:  # there is nothing to hold a text against
+        return scores.withColumn("rejected", F.col("_symbols") == 0).select(*kept, *JUDGED)
     limit = F.create_map(*[F.lit(x) for lang, bits in zip(model.languages, model.limit.tolist(), strict=True) for x in (lang, bits)])[F.col("lang_pred")]
     above = F.col("bits") > limit + NOISE / F.sqrt(F.greatest("_symbols", F.lit(1)))
     return scores.withColumn("rejected", F.coalesce(above, F.lit(True))).select(*kept, *JUDGED)
@@ -297,7 +304,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     A null text or one without a letter: und, score 0, bits null, rejected. Otherwise the language with the lowest cross-entropy
     (ties: the first by name); score is its share when each language weighs 2 ** -(bits of 16 characters). rejected: bits lie above
-    the language's calibrated limit (a short text's more, as chance has it). Columns of docs with these names are replaced.
+    the language's calibrated limit (a short text's more, as chance has it). A model that knows no language says und, score 0, bits
+    null, and rejects only texts without a letter. Columns of docs with these names are replaced; rows with a null or repeated id are
+    judged each by its text.
     """
     kept = [c for c in docs.columns if c not in JUDGED]
     return verdict(scored(docs.select(*kept, F.col(text_col).cast("string").alias("_text"), F.lit(None).cast("string").alias("_own")), model), model, kept)

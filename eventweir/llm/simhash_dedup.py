@@ -68,6 +68,10 @@ def block_keys(fp: Column) -> Column:
 class Near:
     """Fingerprints within DISTANCE bits; nothing is counted."""
 
+    @staticmethod
+    def prepare(x: dict) -> dict:
+        return x
+
     @staticmethod
     def pairs(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return np.bitwise_count((x["fp"][i] ^ x["fp"][j]).view(np.uint64)) <= DISTANCE
