@@ -62,20 +62,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     """The copies of all rows, in random order, with copy (int, from 0) and shuffle_key (string): columns of docs and these two.
 
     Rows that repeat an id in a source are copied equally often (their uniform number hashes id and seed). A null id counts as an
-    empty one. An empty table gives no rows. Clashing columns copy and shuffle_key of docs are replaced.
+    empty one; such rows are dealt out by their content. An empty table gives no rows. Clashing columns copy and shuffle_key of docs
+    are replaced.
     """
     docs = docs.drop("copy", "shuffle_key")
     table = rates(docs, source_col, weights)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
     table = table.select(F.col("source").alias("_source"), F.when(F.col("rate") > 0, parts).otherwise(0).alias("_parts"), distribution(F.col("rate") / parts).alias("_steps"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    inverted = lambda j: F.size(F.filter("_steps", lambda c: c <= uniform(F.lit(str(seed)), key, j.cast("string"))))
+    # an array of one: the hash is taken once a row, not once a step
+    inverted = lambda j: F.transform(F.array(uniform(F.lit(str(seed)), key, j.cast("string"))), lambda u: F.size(F.filter("_steps", lambda c: c <= u)))[0]
     copies = F.when(F.col("_parts") == 0, 0).when(F.col("_parts") == 1, inverted(F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest("_parts", F.lit(1))), F.lit(0), lambda acc, j: acc + inverted(j)))
     out = docs.join(sized(table), F.col(source_col).cast("string").eqNullSafe(F.col("_source"))).withColumn("_copies", copies).where("_copies > 0")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit("order"), F.lit(str(seed)), key, F.col("copy").cast("string"))))
     at = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.select(*docs.columns, "copy", "shuffle_key").repartition(at, "shuffle_key").sortWithinPartitions("shuffle_key")
+    spread = F.when(F.col(id_col).isNull(), F.xxhash64(*docs.columns)).otherwise(0)
+    out = out.select(*docs.columns, "copy", "shuffle_key", spread.alias("_spread")).repartition(at, "shuffle_key", "_spread")
+    return out.sortWithinPartitions("shuffle_key", "_spread").drop("_spread")
 
 
 #: DuckDB SQL for mix(documents) with the default weights and seed 0.
