@@ -265,11 +265,15 @@ def brute_bits(words, text, letters):
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
 
+    after = defaultdict(list)
+    for k in range(1, order + 1):
+        for g, n in counts[k].items():
+            after[g[:-1]].append(n)
+
     def p(gram):
         if not gram:
             return 1.0 / (langid.LETTERS + 3)
-        same = [n for g, n in counts[len(gram)].items() if g[:-1] == gram[:-1]]
-        lower = p(gram[1:])
+        same, lower = after.get(gram[:-1]), p(gram[1:])
         if not same:
             return lower
         return max(counts[len(gram)][gram] - d, 0) / sum(same) + d * len(same) / sum(same) * lower
