@@ -79,7 +79,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def joined_by_hubs(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+def joined_by_hubs(rows: DataFrame, table: DataFrame, key: list[str], total: int) -> DataFrame:
     """rows joined with table, a row per key with n, how many of rows have it; total: how many rows there are, at least.
 
     A key with more than total / HUBS rows would gather them in one task of a shuffle. There are fewer than HUBS such keys, so they are
@@ -89,7 +89,7 @@ def joined_by_hubs(rows: DataFrame, table: DataFrame, key: str, total: int) -> D
     if not hubs.limit(1).count():
         return rows.join(table, key)
     few = rows.join(F.broadcast(hubs), key)
-    many = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(table.where(F.col("n") <= limit), key)
+    many = rows.join(F.broadcast(hubs.select(*key)), key, "left_anti").join(table.where(F.col("n") <= limit), key)
     return few.unionByName(many)
 
 
@@ -109,10 +109,10 @@ def connected(edges: DataFrame, name: str = "links") -> DataFrame:
         before = now
         around = both(edges)
         least = lowest(around).select("a", F.least("a", "m").alias("m"), "n")
-        large = ordered(joined_by_hubs(around.where("b > a"), least, "a", 2 * now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = ordered(joined_by_hubs(around.where("b > a"), least, ["a"], 2 * now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")))
         large = written(large, name)
         least = lowest(large)
-        small = joined_by_hubs(large, least, "a", now[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        small = joined_by_hubs(large, least, ["a"], now[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = written(ordered(small), name)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
@@ -133,7 +133,7 @@ def within_buckets(rows: DataFrame, payload: DataFrame, test, name: str) -> tupl
     spark = rows.sparkSession
     full = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-sizes")
     total = full.agg(F.sum("n")).first()[0] or 0
-    rows = joined_by_hubs(rows, full, "bucket", total)
+    rows = joined_by_hubs(rows, full, ["bucket"], total)
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")).drop("n")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

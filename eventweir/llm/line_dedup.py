@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventweir.llm.common import chunks, written
+from eventweir.llm.common import chunks, joined_by_hubs, written
 
 #: Words of a gram, and of the shortest repeated run that is deleted.
 NOISE, GUARANTEE = 40, 50
@@ -159,12 +159,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("noise: above 0, at most guarantee")
     lines = written(hashed_lines(docs, id_col, text_col, noise, guarantee).dropDuplicates(["doc", "tie"]), "lines")
     grams = lines.select("doc", "tie", F.explode("grams").alias("g")).select("doc", "tie", "g.line", "g.gram")
-    several = grams.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram")
-    found = grams.join(several, "gram").groupBy("doc", "tie").agg(F.collect_list("line").alias("repeated"))
+    several = written(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "line-grams")
+    total = several.agg(F.sum("n")).first()[0] or 0
+    found = joined_by_hubs(grams, several, ["gram"], total).groupBy("doc", "tie").agg(F.collect_list("line").alias("repeated"))
     runs = written(runs_of(lines.drop("grams").join(found, ["doc", "tie"]), noise, guarantee), "line-runs")
     place = F.struct("doc", "tie", "first")
-    earliest = runs.groupBy("high", "low").agg(F.min(place).alias("earliest"), F.count("*").alias("places")).where("places > 1").drop("places")
-    later = runs.join(earliest, ["high", "low"]).where(place != F.col("earliest"))
+    earliest = written(runs.groupBy("high", "low").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).where("n > 1"), "line-earliest")
+    total = earliest.agg(F.sum("n")).first()[0] or 0
+    later = joined_by_hubs(runs, earliest, ["high", "low"], total).where(place != F.col("earliest"))
     # as many runs as the text has lines, twice
     of = later.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     return written(of.mapInArrow(flags, f"{KEY}, deleted array<boolean>"), "line-deletions")
