@@ -82,6 +82,80 @@ def compress(df: DataFrame, keys: Sequence[str], attributes: Sequence[str] = ())
     )
 
 
+def same_keys(keys: Sequence[str], prefix: str) -> Column:
+    """Keys equal those with the prefix, nulls included."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return same
+
+
+def merged_references(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows (keys, reftype, refs): the union of the references of each type, sorted; types without references are left out."""
+    pairs = df.select(*keys, F.explode("references").alias("reftype", "_refs")).select(*keys, "reftype", F.explode("_refs").alias("_ref"))
+    return pairs.groupBy(*keys, "reftype").agg(F.array_sort(F.collect_set("_ref")).alias("refs"))
+
+
+def compressible() -> Column:
+    """What may be compressed: raw and compressed events that were not forwarded."""
+    return F.col("type").isin("raw", "compressed") & ~F.col("forwarded")
+
+
+def compress_events(df: DataFrame, keys: Sequence[str], where: Column | None = None) -> DataFrame:
+    """df (rows of the event schema, maybe with further columns) with the rows that `where` selects compressed by key; keys: name first,
+    then whatever keeps events apart.
+
+    where: compressible() by default; add what else excludes an event, such as being in a context. Rows that it does not select, and an
+    event alone in its key, stay as they are. Of several events one is made: counts are summed, times the earliest, description, host,
+    status and local kept if all agree, of every attribute the value that all events that have it share (else the mark of several),
+    references the union by type. Its history is empty. Columns beyond the event schema are kept if all agree, else null.
+    """
+    chosen = F.coalesce(compressible() if where is None else where, F.lit(False))
+    rest, rows = df.where(~chosen), df.where(chosen)
+    own = [k for k in keys if k not in df.columns]
+    if own:
+        raise ValueError(f"no such columns: {own}")
+    fixed = {"id", "type", "count", "attributes", "references", "history", "forwarded", "creation", "arrival", "description", "host", "status", "local"}
+    others = [c for c in df.columns if c not in fixed | set(keys)]
+    grouped = rows.groupBy(*keys).agg(
+        F.count("*").alias("_rows"),
+        F.min(F.struct("creation", "id")).alias("_first"),
+        F.sum(effective_count()).cast("long").alias("_count"),
+        same_or("description", F.lit("")).alias("_description"),
+        *([] if "host" in keys else [same_or("host", F.lit(ENGINE_HOST)).alias("_host")]),
+        same_or("status", F.lit("active")).alias("_status"),
+        same_or("local", F.lit(False)).alias("_local"),
+        F.min("creation").alias("_creation"),
+        F.min("arrival").alias("_arrival"),
+        *[F.when(F.min(F.struct(c)).eqNullSafe(F.max(F.struct(c))), F.min(F.struct(c))[c]).alias(f"_o_{c}") for c in others],
+    )
+    several = grouped.where("_rows > 1")
+    marks = several.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    alone = rows.join(marks, same_keys(keys, "_k_"), "left_anti")
+    many = rows.join(marks, same_keys(keys, "_k_"), "left_semi")
+    name = lambda c: [F.col(k).alias(f"{c}{k}") for k in keys]
+    pairs = merged_attributes(many, keys).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("attribute", "value"))).alias("_attributes"))
+    refs = merged_references(many, keys).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("reftype", "refs"))).alias("_references"))
+    made = several.join(pairs.select(*name("_a_"), "_attributes"), same_keys(keys, "_a_"), "left").join(refs.select(*name("_r_"), "_references"), same_keys(keys, "_r_"), "left")
+    columns = {
+        "id": event_id(F.lit("compress"), *[F.col(k).cast("string") for k in keys], F.col("_arrival").cast("string")),
+        "type": F.lit("compressed"),
+        "count": F.col("_count"),
+        "creation": F.col("_creation"),
+        "arrival": F.col("_arrival"),
+        "description": F.col("_description"),
+        "host": F.col("host" if "host" in keys else "_host"),
+        "status": F.col("_status"),
+        "local": F.col("_local"),
+        "forwarded": F.lit(False),
+        "attributes": F.coalesce("_attributes", F.create_map().cast("map<string,string>")),
+        "references": F.coalesce("_references", F.create_map().cast("map<string,array<string>>")),
+        "history": F.array().cast(HISTORY),
+    }
+    new = made.select(*[(F.col(c) if c in keys else columns.get(c, F.col(f"_o_{c}"))).alias(c) for c in df.columns])
+    return rest.unionByName(alone).unionByName(new)
+
+
 def merged_attributes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows (keys, attribute, value) over whatever attributes there are: the value that all events that have it share, or the mark of
     several. The map is exploded, and each (key, attribute) aggregated map-side."""

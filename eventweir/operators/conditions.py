@@ -7,6 +7,7 @@ Columns. The sliding forms add a column and keep every row; several of them on o
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,39 @@ def sequence_all_by(df: DataFrame, queries: Sequence[Column], keys: Sequence[str
     return grouped.select(*keys, F.coalesce(hit, F.lit(False)).alias(name))
 
 
+def sequence_all_sliding(df: DataFrame, queries: Sequence[Column], keys: Sequence[str], age: int, time: str = "arrival", sort: str | None = None, name: str = "hit") -> DataFrame:
+    """Whether in the frame of each row each query's rows all come before the next one's, by the axis `sort` (default: the frame's)."""
+    if len(queries) <= 1:
+        return df.withColumn(name, F.lit(True))
+    f, at = Frames(df, keys, time, age), F.col(sort or time)
+    rows, hit = f.rows, F.lit(True)
+    for k, q in enumerate(queries):
+        rows = rows.withColumn(f"_low{k}", F.min(F.when(q, at)).over(f.frame())).withColumn(f"_high{k}", F.max(F.when(q, at)).over(f.frame()))
+        if k:
+            hit = hit & (F.col(f"_high{k - 1}") < F.col(f"_low{k}"))
+    return f.close(rows.withColumn(name, F.coalesce(hit, F.lit(False)))).drop(*[f"_{x}{k}" for x in ("low", "high") for k in range(len(queries))])
+
+
+def sequence_any_by(df: DataFrame, queries: Sequence[Column], keys: Sequence[str], time: str = "creation", name: str = "hit") -> DataFrame:
+    """Per key: whether there are times t1 < t2 < .. < tn, one of each query in order. Up to one query: true. An aggregation per query,
+    of the earliest time after the one before; a null key is a key."""
+    reached = df.select(*keys).distinct()
+    if len(queries) <= 1:
+        return reached.withColumn(name, F.lit(True))
+    kind = [F.coalesce(q, F.lit(False)).alias(f"_q{k}") for k, q in enumerate(queries)]
+    rows = df.select(*keys, F.col(time).alias("_t"), *kind).where(F.greatest(*[F.col(f"_q{k}") for k in range(len(queries))]))
+    own = [F.col(k).alias(f"_k_{k}") for k in keys]
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    found = rows.groupBy(*keys).agg(F.min(F.when(F.col("_q0"), F.col("_t"))).alias("_at"))
+    for k in range(1, len(queries)):
+        before = found.where("_at is not null").select(*own, "_at")
+        found = rows.where(f"_q{k}").join(before, same).where("_t > _at").groupBy(*keys).agg(F.min("_t").alias("_at"))
+    found = found.where("_at is not null").select(*own, F.lit(True).alias("_hit"))
+    return reached.join(found, same, "left").select(*keys, F.coalesce("_hit", F.lit(False)).alias(name))
+
+
 def within_all_by(df: DataFrame, queries: Sequence[Column], keys: Sequence[str], timeframe: int, time: str = "creation", name: str = "hit") -> DataFrame:
     """Per key: whether every query has rows and all of them lie within the timeframe. No query: true."""
     if not queries:
@@ -66,6 +100,21 @@ def within_all_by(df: DataFrame, queries: Sequence[Column], keys: Sequence[str],
     return df.groupBy(*keys).agg(F.coalesce(every & (span <= timeframe), F.lit(False)).alias(name))
 
 
+def within_all_sliding(df: DataFrame, queries: Sequence[Column], keys: Sequence[str], age: int, timeframe: int, time: str = "arrival", sort: str | None = None, name: str = "hit") -> DataFrame:
+    """Whether in the frame of each row every query has rows and all of them lie within the timeframe, by the axis `sort` (default: the
+    frame's). No query: true."""
+    if not queries:
+        return df.withColumn(name, F.lit(True))
+    f, at = Frames(df, keys, time, age), F.col(sort or time)
+    selected = reduce(lambda a, b: a | b, queries)
+    rows = f.rows.withColumn("_span", F.max(F.when(selected, at)).over(f.frame()) - F.min(F.when(selected, at)).over(f.frame()))
+    every = F.lit(True)
+    for k, q in enumerate(queries):
+        rows = rows.withColumn(f"_n{k}", F.count(F.when(q, 1)).over(f.frame()))
+        every = every & (F.col(f"_n{k}") > 0)
+    return f.close(rows.withColumn(name, F.coalesce(every & (F.col("_span") <= timeframe), F.lit(False)))).drop("_span", *[f"_n{k}" for k in range(len(queries))])
+
+
 def within_any_sliding(df: DataFrame, queries: Sequence[Column], keys: Sequence[str], timeframe: int, time: str = "creation", name: str = "hit") -> DataFrame:
     """Whether rows, one of each query, lie within the timeframe, the last of them at the row's time.
 
@@ -102,6 +151,94 @@ def joined_symbols(collected: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(collected), lambda x: x["sym"]), "")
 
 
+class Seen:
+    """What each row's query sees on two time axes: rows of its key that arrived by its time, and whose `source` time (arrival or
+    creation) lies at most `age` before it. The axis `sort`, which a condition goes by, may be another one.
+
+    No single frame has these rows, so a frame on arrival that holds them all is collected, and the source checked after. skew: with
+    source creation, by how much creation may lie after arrival.
+    """
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], age: int, sort: str = "creation", source: str = "arrival", skew: int = 0):
+        if source not in ("arrival", "creation"):
+            raise ValueError("source: arrival or creation")
+        self.age, self.sort, self.source = age, sort, source
+        self.frames = Frames(df, keys, "arrival", age + (skew if source == "creation" else 0))
+        self.rows, self.helpers = self.frames.rows, []
+
+    def collect(self, value: Column, name: str) -> None:
+        """A column with the array of the value (null: none) of the rows seen."""
+        own = F.when(value.isNotNull(), F.struct(F.col(self.source).alias("at"), value.alias("v")))
+        # a window function is not an argument of a higher-order one, so the collected column comes first
+        self.rows = self.rows.withColumn(f"{name}_all", F.collect_list(own).over(self.frames.frame()))
+        kept = F.filter(f"{name}_all", lambda x: x["at"] >= F.col("arrival") - self.age)
+        self.rows = self.rows.withColumn(name, F.transform(kept, lambda x: x["v"])).drop(f"{name}_all")
+        self.helpers.append(name)
+
+    def times(self, queries: Sequence[Column]) -> list[str]:
+        names = [f"_seen{k}" for k in range(len(queries))]
+        for name, q in zip(names, queries, strict=True):
+            self.collect(F.when(q, F.col(self.sort)), name)
+        return names
+
+    def close(self, **columns: Column) -> DataFrame:
+        rows = self.rows
+        for name, made in columns.items():
+            rows = rows.withColumn(name, made)
+        return self.frames.close(rows).drop(*self.helpers)
+
+
+def _above(limit: Column):
+    return lambda t: t > limit
+
+
+def sequence_two_axes(df: DataFrame, queries: Sequence[Column], keys: Sequence[str], age: int, match: str = "any", sort: str = "creation", source: str = "arrival", skew: int = 0, name: str = "hit") -> DataFrame:
+    """sequence any or all (match) over what each row sees on two axes (see Seen). Up to one query: true; a query without rows: false."""
+    if match not in ("any", "all"):
+        raise ValueError("match: any or all")
+    if len(queries) <= 1:
+        return df.withColumn(name, F.lit(True))
+    seen = Seen(df, keys, age, sort, source, skew)
+    first, *others = seen.times(queries)
+    if match == "any":
+        reached = F.array_min(first)
+        for k, times in enumerate(others):
+            seen.rows = seen.rows.withColumn(f"_reached{k}", reached)
+            seen.helpers.append(f"_reached{k}")
+            reached = F.array_min(F.filter(times, _above(F.col(f"_reached{k}"))))
+        return seen.close(**{name: reached.isNotNull()})
+    hit = F.lit(True)
+    for a, b in zip([first, *others], others, strict=False):
+        hit = hit & (F.array_max(a) < F.array_min(b))
+    return seen.close(**{name: F.coalesce(hit, F.lit(False))})
+
+
+def within_two_axes(df: DataFrame, queries: Sequence[Column], keys: Sequence[str], age: int, timeframe: int, match: str = "any", sort: str = "creation", source: str = "arrival", skew: int = 0, name: str = "hit") -> DataFrame:
+    """within any or all (match) over what each row sees on two axes (see Seen). No query: true; a query without rows: false."""
+    if match not in ("any", "all"):
+        raise ValueError("match: any or all")
+    if not queries:
+        return df.withColumn(name, F.lit(True))
+    seen = Seen(df, keys, age, sort, source, skew)
+    times = seen.times(queries)
+    seen.rows = seen.rows.withColumn("_seen", F.flatten(F.array(*times)))
+    seen.helpers.append("_seen")
+    if match == "all":
+        every = reduce(lambda a, b: a & b, [F.size(t) > 0 for t in times])
+        return seen.close(**{name: F.coalesce(every & (F.array_max("_seen") - F.array_min("_seen") <= timeframe), F.lit(False))})
+    begins = lambda t: reduce(lambda a, b: a & b, [F.exists(x, lambda y: y.between(t, t + timeframe)) for x in times])
+    return seen.close(**{name: F.exists("_seen", begins)})
+
+
+def pattern_two_axes(df: DataFrame, alphabet: Sequence[tuple[str, Column]], pattern: str, keys: Sequence[str], age: int, sort: str = "creation", source: str = "arrival", skew: int = 0, id_col: str = "id") -> DataFrame:
+    """Adds symbols and matched as pattern_sliding does, over what each row sees on two axes (see Seen)."""
+    seen = Seen(df, keys, age, sort, source, skew)
+    sym, number = symbol(alphabet)
+    seen.collect(F.when(sym.isNotNull(), F.struct(F.col(sort).alias("t"), number.alias("k"), F.col(id_col).alias("id"), sym.alias("sym"))), "_symbols")
+    seen.rows = seen.rows.withColumn("symbols", joined_symbols(F.col("_symbols")))
+    return seen.close(matched=F.col("symbols").rlike(pattern))
+
+
 def pattern_sliding(df: DataFrame, alphabet: Sequence[tuple[str, Column]], pattern: str, keys: Sequence[str], age: int, time: str = "arrival", id_col: str = "id") -> DataFrame:
     """Adds symbols, the frame's symbol string in time order (equal times: by query, then id), and matched (pattern found in it)."""
     f = Frames(df, keys, time, age)

@@ -93,7 +93,11 @@ def anchored(df: DataFrame, keys: Sequence[str], timeout: int, time: str = "arri
 def repeating(df: DataFrame, keys: Sequence[str], timeout: int, time: str = "arrival") -> DataFrame:
     """Rows with win_seq and win_start: windows follow each other without a break from the key's first time on."""
     first = df.groupBy(*keys).agg(F.min(time).alias("_first"))
-    out = df.join(first, list(keys))
+    first = first.select(*[F.col(k).alias(f"_{k}") for k in keys], "_first")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = df.join(first, same).drop(*[f"_{k}" for k in keys])
     seq = F.floor((F.col(time) - F.col("_first")) / (timeout + 1))
     return out.withColumn("win_seq", seq.cast("long")).withColumn("win_start", F.col("_first") + F.col("win_seq") * (timeout + 1)).drop("_first")
 
@@ -106,6 +110,19 @@ def sessions(df: DataFrame, keys: Sequence[str], timeout: int, time: str = "arri
     return _back(df, seconds.withColumn("win_start", F.min(time).over(W.partitionBy(*keys, "win_seq"))), keys, time)
 
 
+def associated(df: DataFrame, keys: Sequence[str], joins: Column, forgets: Column, time: str = "arrival", id_col: str = "id") -> DataFrame:
+    """One row per window (keys include it) with event_ids, sorted: the events that `joins` selects after the last one that `forgets`
+    does (which empties the list, then may join it itself). Aggregates only."""
+    at = F.struct(time, id_col)
+    last = df.groupBy(*keys).agg(F.max(F.when(forgets, at)).alias("_reset"))
+    last = last.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_reset")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    rows = df.join(last, same).withColumn("_kept", F.coalesce(joins, F.lit(False)) & (F.col("_reset").isNull() | (at >= F.col("_reset"))))
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(F.col("_kept"), F.col(id_col)))).alias("event_ids"))
+
+
 def counter(df: DataFrame, keys: Sequence[str], op: Column, value: Column, time: str = "arrival", id_col: str = "id", initial: int = 0) -> DataFrame:
     """Rows with counter: the running value after each row. keys include the window; op is set, inc, dec or null (no change).
 
@@ -160,8 +177,9 @@ def counter_at(df: DataFrame, opening: Column, counted: Column, keys: Sequence[s
     """Rows with counter (rows where `counted` holds since the context's start, the row included; null without a context) and hit."""
     rows = open_at(df, opening, keys, timeout, time)
     within = W.partitionBy(*keys, "context_start").orderBy(time).rangeBetween(W.unboundedPreceding, 0)
-    n = F.when(F.col("context_start").isNotNull(), F.count(F.when(counted & F.col("context_start").isNotNull(), 1)).over(within))
-    rows = rows.withColumn("counter", n)
+    # rows without a context are left where they are
+    inside = rows.where("context_start is not null").withColumn("counter", F.count(F.when(counted, 1)).over(within))
+    rows = inside.unionByName(rows.where("context_start is null").withColumn("counter", F.lit(None).cast("long")))
     return rows.withColumn("hit", F.coalesce(compared(F.col("counter"), threshold, op), F.lit(False)))
 
 

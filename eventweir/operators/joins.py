@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventweir.sources.scratch import written
+from eventweir.sources.scratch import sized, written
 
 
 def select_events(triggers: DataFrame, events: DataFrame, keys: Sequence[str], age: int, time_source: str = "arrival", skew: int = 0, id_col: str = "id") -> DataFrame:
@@ -39,8 +39,8 @@ def route(events: DataFrame, triggers: DataFrame, classes: DataFrame) -> DataFra
     rule = ["group", "group_order", "rule", "rule_order"]
     of = events.select("id", "name", "type")
     fits = (F.col("event_type") == "any") | (F.col("event_type") == F.col("type"))
-    named = of.join(F.broadcast(by_name.drop("kind").distinct()), "name").where(fits).select("id", *rule)
-    every = of.join(F.broadcast(kinds("any").drop("kind", "value")), fits).select("id", *rule)
+    named = of.join(sized(by_name.drop("kind").distinct()), "name").where(fits).select("id", *rule)
+    every = of.join(sized(kinds("any").drop("kind", "value")), fits).select("id", *rule)
     return named.unionByName(every).distinct()
 
 
@@ -68,9 +68,8 @@ def depths(edges: DataFrame, limit: int = 32) -> DataFrame:
     links = edges.groupBy("id").agg(F.min("ref_id").alias("up"))
     nodes = links.select("id").union(edges.select("ref_id")).distinct()
     state = nodes.join(links, "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"))
-    rounds = 0
+    rounds, state = 0, written(state, "depths")
     while True:
-        state = written(state, "depths")
         target = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
         jumped = state.join(target, "up").select("id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("_up") != F.col("up")).alias("moved"))
         rounds += 1
@@ -79,7 +78,7 @@ def depths(edges: DataFrame, limit: int = 32) -> DataFrame:
         jumped = written(jumped, "depths")
         if not jumped.where("moved").limit(1).count():
             return jumped.select("id", "depth", F.col("up").alias("root"))
-        state = jumped.drop("moved")
+        state = jumped.drop("moved")  # a written table
 
 
 def by_ids(events: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventweir.functions.schema import STATUSES, TYPES
+from eventweir.functions.schema import HISTORY, STATUSES, TYPES
 
 #: Types that trigger a rule that names none.
 DEFAULT_TYPES = ("raw", "compressed")
@@ -146,6 +146,73 @@ def when(condition: Column, actions: Sequence[Action], otherwise: Sequence[Actio
     return act
 
 
+def _seen(df: DataFrame, where: Column, query: Column, keys: Sequence[str], age: int) -> DataFrame:
+    """Rows (id): the events that the query of a firing row sees: of its key, at most `age` old at its time, not dropped."""
+    from eventweir.operators.joins import select_events
+
+    pairs = select_events(df.where(where).select("id", "arrival", *keys), df.where(query & ~F.col("dropped")).select("id", "arrival", "creation", *keys), keys, age)
+    return pairs.select(F.col("id").alias("_seen")).distinct()
+
+
+def on_selected(query: Column, keys: Sequence[str], age: int, actions: Sequence[Action]) -> Action:
+    """The actions on the events that the query of each firing row sees, each event once."""
+
+    def act(df: DataFrame, where: Column) -> DataFrame:
+        own = f"_selected{len(df.columns)}"  # blocks nest
+        seen = _seen(df, where, query, keys, age).withColumn(own, F.lit(True))
+        df = df.join(seen, F.col("id") == F.col("_seen"), "left").drop("_seen")
+        for action in actions:
+            df = action(df, F.coalesce(F.col(own), F.lit(False)))
+        return df.drop(own)
+
+    return act
+
+
+def _injected(df: DataFrame, made: DataFrame, inject: str) -> DataFrame:
+    """df and the made events: as input they trigger later rules, as output they only leave."""
+    if inject not in ("input", "output"):
+        raise ValueError("inject: input or output")
+    given = {"local": F.lit(False), "forwarded": F.lit(False), "dropped": F.lit(False), "live": F.lit(inject == "input")}
+    made = made.withColumns({k: v for k, v in given.items() if k in df.columns and k not in made.columns})
+    return df.unionByName(made.select(*[c for c in made.columns if c in df.columns]), allowMissingColumns=True)
+
+
+def create_event(name: str, attributes: dict[str, Column] | None = None, description: Column | str = "-", inject: str = "input") -> Action:
+    """A synthetic event for each firing row, at its time."""
+    from eventweir.operators import actions
+
+    return lambda df, where: _injected(df, actions.create(df.where(where), name, attributes or {}, description), inject)
+
+
+def aggregate_selected(name: str, query: Column, keys: Sequence[str], age: int, inject: str = "input") -> Action:
+    """An aggregated event for each firing row, its children the events that the query sees."""
+    from eventweir.operators import actions
+
+    return lambda df, where: _injected(df, actions.aggregate(df.where(where), df.where(query & ~F.col("dropped")), keys, age, name).drop("trigger_id"), inject)
+
+
+def suppress_selected(query: Column, keys: Sequence[str], age: int) -> Action:
+    """The events that the query sees become inactive. operators.actions.suppress() also notes who made them so."""
+    return on_selected(query, keys, age, [set_status("inactive")])
+
+
+def compress_selected(query: Column, keys: Sequence[str], age: int) -> Action:
+    """The events that the query of firing rows sees become, by name and keys, one compressed event each; the old ones are dropped."""
+    from eventweir.operators import actions
+
+    def act(df: DataFrame, where: Column) -> DataFrame:
+        seen = _seen(df, where, query & actions.compressible(), keys, age)
+        rows = df.join(seen, F.col("id") == F.col("_seen"), "left_semi")
+        rest = df.join(seen, F.col("id") == F.col("_seen"), "left_anti")
+        by = ["name", *[k for k in keys if k != "name"]]
+        full = rows.withColumns({c: F.create_map().cast(t) for c, t in (("references", "map<string,array<string>>"), ("attributes", "map<string,string>")) if c not in df.columns})
+        full = full if "history" in df.columns else full.withColumn("history", F.array().cast(HISTORY))
+        made = actions.compress_events(full, by, F.lit(True)).withColumns({"live": F.lit(True), "dropped": F.lit(False)}).select(*df.columns)
+        return rest.unionByName(made)
+
+    return act
+
+
 class Plugins:
     """Conditions and actions by name. A condition is made from its parameters when the plan is built, so bad ones fail there."""
 
@@ -199,8 +266,32 @@ def opaque(test: Callable, columns: Sequence[str]):
     return lambda df: (df, made(*[F.col(c) for c in columns]))
 
 
+def over_queries(test: Callable, queries: Sequence[Column], keys: Sequence[str], age: int, fields: Sequence[str] = ("id", "name", "host", "creation", "arrival")):
+    """Condition plugin around a Python function of the triggering rows and of what each query sees: it gets a pandas DataFrame of the
+    rows' fields and, for each query, a Series whose values are lists of events (dicts of the fields), and returns a boolean Series."""
+    import pandas as pd
+
+    from eventweir.operators.conditions import Seen
+
+    def judge(*series: pd.Series) -> pd.Series:
+        return test(pd.DataFrame(dict(zip(fields, series[: len(fields)], strict=True))), *series[len(fields) :]).astype(bool)
+
+    judge.__annotations__ = {"series": pd.Series, "return": pd.Series}
+    made = F.pandas_udf(judge, "boolean")
+
+    def condition(df: DataFrame) -> tuple[DataFrame, Column]:
+        seen = Seen(df, keys, age)
+        names = [f"_query{k}" for k in range(len(queries))]
+        for name, query in zip(names, queries, strict=True):
+            seen.collect(F.when(query, F.struct(*fields)), name)
+        seen.helpers.clear()  # the plan drops them after the condition
+        return seen.close(), made(*[F.col(f) for f in fields], *[F.col(n) for n in names])
+
+    return condition
+
+
 def default_plugins() -> Plugins:
     found = Plugins()
-    found.conditions |= {"weekday": weekday, "opaque": opaque}
+    found.conditions |= {"weekday": weekday, "opaque": opaque, "over_queries": over_queries}
     found.actions |= {"enrich_regexp": enrich, "set_status": set_status}
     return found

@@ -120,9 +120,12 @@ PARENTS = f"pa AS (SELECT id, up AS ref_id FROM (SELECT id, arrival, lag(id) OVE
 def parents(spark, d):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("host").orderBy("arrival")
-    rows = event_view(spark, d).withColumns({"up": F.lag("id").over(w), "before": F.lag("arrival").over(w)})
-    return rows.where(F.col("arrival") - F.col("before") < DAY // 2)
+    from eventweir.operators.frames import Frames
+
+    f = Frames(event_view(spark, d), ["host"], "arrival", DAY // 2 - 1)
+    before = Window.partitionBy(*f.by).orderBy("arrival").rangeBetween(-f.age, -1)
+    rows = f.close(f.rows.withColumn("_up", F.max(F.struct("arrival", "id")).over(before)))
+    return rows.withColumn("up", F.col("_up.id")).where("up is not null").drop("_up")
 
 
 @query(f"{E}, {PARENTS} SELECT id, 'parent' AS reftype, ref_id FROM pa UNION ALL SELECT id, 'cross', 'c' || id FROM pa")
@@ -168,3 +171,57 @@ def rule_stats_rollup(spark, d):
     from eventweir.operators.reports import rule_statistics
 
     return rule_statistics(cascade().firings(event_view(spark, d)))
+
+
+@query(f"{E} SELECT t.id, count(*) AS seen FROM e t JOIN e x ON x.name = t.name AND x.arrival <= t.arrival AND x.creation + 300 >= t.arrival WHERE t.name = 'ERROR' OR t.name = 'VIEW' GROUP BY t.id")
+def interval_join_creation_by_name(spark, d):
+    rows = event_view(spark, d)
+    return J.select_events(rows.where(q("ERROR") | q("VIEW")), rows, ["name"], 300, "creation").groupBy(F.col("trigger_id").alias("id")).agg(F.count("*").alias("seen"))
+
+
+@query(f"{E} SELECT id FROM e WHERE id NOT IN (SELECT arg_min(id, (creation, id)) FROM e GROUP BY host)")
+def complement_of_first(spark, d):
+    """The complement of what a query with a member other than a predicate selects: all but the first event of each host."""
+    rows = event_view(spark, d)
+    return J.not_among(rows, actions.unique_by(rows, F.col("host"))).select("id")
+
+
+ALERTS = f"""n AS (SELECT *, count(CASE WHEN name = 'ERROR' THEN 1 END) OVER (PARTITION BY host ORDER BY arrival RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS n_ FROM e),
+al AS (SELECT sha256('CE:ALERT/' || id || '/create') AS id, host, arrival, k FROM n WHERE name = 'ERROR' AND type = 'raw' AND status = 'active' AND n_ >= 2)"""
+
+
+@query(f"{E}, {ALERTS} SELECT id, arrival, k, CASE WHEN CAST(k AS BIGINT) >= 50 THEN 'high' ELSE '' END AS level, CASE WHEN CAST(k AS BIGINT) >= 50 THEN 'active' ELSE 'inactive' END AS status FROM al")
+def rule_inject(spark, d):
+    """A rule makes an alert; the alert triggers the next rule, which grades it."""
+    from eventweir.operators import conditions as C
+
+    def often(df):
+        return C.count_sliding(df, q("ERROR"), ["host"], DAY, name="_n"), F.col("_n") >= 2
+
+    plan = R.Plan(
+        [
+            R.Rule("alerts", "errors", [R.Trigger("event", "ERROR", ("raw",))], often, [R.create_event("CE:ALERT", {"k": P.attribute("k")})], order=0, creates=["CE:ALERT"]),
+            R.Rule("alerts", "grade", [R.Trigger("event", "CE:ALERT", ("synthetic",))], P.event_attribute("k", "50", "ge"), [R.set_attribute("level", "high")], [R.set_status("inactive")], order=1),
+        ]
+    )
+    out = plan.remaining(event_view(spark, d)).where(q("CE:ALERT"))
+    return out.select("id", "arrival", P.attribute("k").alias("k"), F.coalesce(P.attribute("level"), F.lit("")).alias("level"), "status")
+
+
+@query(f"{E} SELECT x.id, CASE WHEN EXISTS (SELECT 1 FROM e t WHERE t.name = 'SIGNUP' AND t.type = 'raw' AND t.status = 'active' AND t.host = x.host AND x.arrival BETWEEN t.arrival - {DAY} AND t.arrival) THEN 'inactive' ELSE x.status END AS status FROM e x WHERE x.name = 'ERROR'")
+def rule_selected_events(spark, d):
+    """A rule acts on the events that its query sees, not on the one that triggers it."""
+    rule = R.Rule("auth", "signed up", [R.Trigger("event", "SIGNUP", ("raw",))], None, [R.on_selected(q("ERROR"), ["host"], DAY, [R.set_status("inactive")])])
+    return R.Plan([rule]).remaining(event_view(spark, d)).where(q("ERROR")).select("id", "status")
+
+
+@query(
+    f"""{E}, s AS (SELECT DISTINCT x.* FROM e t JOIN e x ON x.host = t.host AND x.arrival BETWEEN t.arrival - {DAY} AND t.arrival WHERE t.name = 'PURCHASE' AND t.type = 'raw' AND t.status = 'active' AND x.name = 'VIEW' AND NOT x.forwarded),
+g AS (SELECT host, count(*) AS rows_, CAST(sum(CASE WHEN type = 'compressed' THEN count ELSE 1 END) AS BIGINT) AS n, min(creation) AS creation FROM s GROUP BY host)
+SELECT host, n, creation FROM g WHERE rows_ > 1 UNION ALL SELECT host, CASE WHEN type = 'compressed' THEN count ELSE 1 END, creation FROM e WHERE name = 'VIEW' AND id NOT IN (SELECT id FROM s JOIN g USING (host) WHERE rows_ > 1)"""
+)
+def rule_compress(spark, d):
+    """A rule compresses the events that its query sees, per host."""
+    rule = R.Rule("web", "purchases", [R.Trigger("event", "PURCHASE", ("raw",))], None, [R.compress_selected(q("VIEW"), ["host"], DAY)])
+    out = R.Plan([rule]).remaining(event_view(spark, d)).where(q("VIEW"))
+    return out.select("host", schema.effective_count().alias("n"), "creation")

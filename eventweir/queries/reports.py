@@ -54,6 +54,39 @@ def compress_attributes(spark, d):
     return actions.merged_attributes(event_view(spark, d).withColumn("attributes", more), ["host"])
 
 
+REFERRED = """r AS (SELECT *, 'u' || (n % 20) AS child, CASE WHEN n % 3 = 0 THEN 'c' || (n % 50) END AS cross_, CASE WHEN name = 'SIGNUP' AND n % 2 = 0 THEN 'd' ELSE '-' END AS description FROM e),
+c AS (SELECT * FROM r WHERE NOT forwarded AND n % 17 <> 0), g AS (SELECT name, host, count(*) AS rows_ FROM c GROUP BY ALL)"""
+
+
+def full_events(spark, d):
+    """The events with references, history and a few descriptions; every 17th one is in a context."""
+    n = F.col("id").cast("long")
+    rows = event_view(spark, d).withColumn("references", F.create_map(F.lit("child"), F.array(F.concat(F.lit("u"), (n % 20).cast("string"))), F.lit("cross"), F.when(n % 3 == 0, F.array(F.concat(F.lit("c"), (n % 50).cast("string")))).otherwise(F.array().cast("array<string>"))))
+    rows = rows.withColumn("history", F.array().cast(schema.HISTORY)).withColumn("description", F.when(P.event_name("SIGNUP") & (n % 2 == 0), "d").otherwise("-"))
+    return rows, actions.compressible() & (n % 17 != 0)
+
+
+@query(f"""{E}, {REFERRED}, m AS (SELECT name, host, list_sort(list(DISTINCT child)) AS child, list_sort(list(DISTINCT cross_) FILTER (cross_ IS NOT NULL)) AS cross_, CAST(sum(CASE WHEN type = 'compressed' THEN count ELSE 1 END) AS BIGINT) AS count,
+min(creation) AS creation, {AGREE.format("description", "''")} AS description, {AGREE.format("local", "false")} AS local FROM c GROUP BY ALL HAVING count(*) > 1)
+SELECT name, host, 'compressed' AS type, array_to_string(child, ',') AS child, coalesce(array_to_string(cross_, ','), '') AS cross_refs, count, creation, description, local FROM m
+UNION ALL SELECT name, host, type, child, coalesce(cross_, ''), coalesce(count, 0), creation, description, local FROM r WHERE forwarded OR n % 17 = 0
+UNION ALL SELECT name, host, type, child, coalesce(cross_, ''), coalesce(count, 0), creation, description, local FROM c JOIN g USING (name, host) WHERE rows_ = 1""")
+def compress_references(spark, d):
+    rows, where = full_events(spark, d)
+    out = actions.compress_events(rows, ["name", "host"], where)
+    refs = lambda t: F.coalesce(F.array_join(F.try_element_at("references", F.lit(t)), ","), F.lit(""))
+    return out.select("name", "host", "type", refs("child").alias("child"), refs("cross").alias("cross_refs"), F.coalesce("count", F.lit(0)).alias("count"), "creation", "description", "local")
+
+
+@query(f"""{E}, {REFERRED}, a AS (SELECT name, host, 'k' AS attribute, k AS v FROM c UNION ALL SELECT name, host, 'log', log FROM c UNION ALL SELECT name, host, 'odd', child FROM c WHERE n % 2 = 1)
+SELECT name, host, attribute, CASE WHEN min(v) = max(v) THEN min(v) ELSE '{MULTIPLE}' END AS value FROM a JOIN g USING (name, host) WHERE rows_ > 1 GROUP BY name, host, attribute""")
+def compress_all_attributes(spark, d):
+    rows, where = full_events(spark, d)
+    odd = F.when(F.col("id").cast("long") % 2 == 1, F.map_concat("attributes", F.create_map(F.lit("odd"), F.try_element_at("references", F.lit("child"))[0]))).otherwise(F.col("attributes"))
+    out = actions.compress_events(rows.withColumn("attributes", odd), ["name", "host"], where)
+    return out.where("type = 'compressed' and size(history) = 0 and not id rlike '^[0-9]+$'").select("name", "host", F.explode("attributes").alias("attribute", "value"))
+
+
 WEIGHT = "CAST(sum(CASE WHEN type = 'compressed' THEN count ELSE 1 END) AS BIGINT)"
 
 

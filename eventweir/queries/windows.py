@@ -82,6 +82,59 @@ def within_any_by_host(spark, d):
     return C.within_any_by(event_view(spark, d), [q("ERROR"), q("PURCHASE"), q("SIGNUP")], ["host"], 43200)
 
 
+SEEN = f"x.host = t.host AND x.arrival BETWEEN t.arrival - {DAY} AND t.arrival"
+
+
+@query(
+    f"""{E} SELECT t.id, coalesce(max(CASE WHEN x.name = 'VIEW' THEN x.creation END) < min(CASE WHEN x.name = 'CLICK' THEN x.creation END), false) AS hit
+FROM e t JOIN e x ON {SEEN} WHERE t.name = 'PURCHASE' GROUP BY t.id"""
+)
+def sequence_all_sliding(spark, d):
+    rows = C.sequence_all_sliding(event_view(spark, d), [q("VIEW"), q("CLICK")], ["host"], DAY, sort="creation")
+    return rows.where(q("PURCHASE")).select("id", "hit")
+
+
+@query(
+    f"""{E} SELECT t.id, coalesce(count(CASE WHEN x.name = 'VIEW' THEN 1 END) > 0 AND count(CASE WHEN x.name = 'CLICK' THEN 1 END) > 0
+AND max(CASE WHEN x.name IN ('VIEW', 'CLICK') THEN x.creation END) - min(CASE WHEN x.name IN ('VIEW', 'CLICK') THEN x.creation END) <= 21600, false) AS hit
+FROM e t JOIN e x ON {SEEN} WHERE t.name = 'PURCHASE' GROUP BY t.id"""
+)
+def within_all_sliding(spark, d):
+    rows = C.within_all_sliding(event_view(spark, d), [q("VIEW"), q("CLICK")], ["host"], DAY, 21600, sort="creation")
+    return rows.where(q("PURCHASE")).select("id", "hit")
+
+
+@query(
+    f"""{E} SELECT h.host, EXISTS (SELECT 1 FROM e a, e b, e c WHERE a.host = h.host AND b.host = h.host AND c.host = h.host AND a.name = 'ERROR' AND b.name = 'SIGNUP' AND c.name = 'ERROR'
+AND a.creation < b.creation AND b.creation < c.creation AND a.arrival // {30 * DAY} = h.month AND b.arrival // {30 * DAY} = h.month AND c.arrival // {30 * DAY} = h.month) AS hit, h.month FROM (SELECT DISTINCT host, arrival // {30 * DAY} AS month FROM e) h"""
+)
+def sequence_any_by_host(spark, d):
+    rows = event_view(spark, d).withColumn("month", F.floor(F.col("arrival") / (30 * DAY)))
+    return C.sequence_any_by(rows, [q("ERROR"), q("SIGNUP"), q("ERROR")], ["host", "month"])
+
+
+# minutes, and all hosts together: creation, up to 100 seconds before arrival, decides what is seen and in which order
+AXES = "x.status = t.status AND x.arrival <= t.arrival AND x.creation + {0} >= t.arrival"
+
+
+@query(
+    f"""{E} SELECT t.id, EXISTS (SELECT 1 FROM e x, e y WHERE {AXES.format(900)} AND {AXES.replace("x.", "y.").format(900)} AND x.name = 'VIEW' AND y.name = 'CLICK' AND x.creation < y.creation) AS hit
+FROM e t WHERE t.name = 'PURCHASE'"""
+)
+def sequence_two_axes(spark, d):
+    rows = C.sequence_two_axes(event_view(spark, d), [q("VIEW"), q("CLICK")], ["status"], 900, source="creation")
+    return rows.where(q("PURCHASE")).select("id", "hit")
+
+
+@query(
+    f"""{E} SELECT t.id, EXISTS (SELECT 1 FROM e x, e y WHERE {AXES.format(1800)} AND {AXES.replace("x.", "y.").format(1800)} AND x.name = 'VIEW' AND y.name = 'CLICK' AND abs(x.creation - y.creation) <= 120) AS hit
+FROM e t WHERE t.name = 'PURCHASE'"""
+)
+def within_two_axes(spark, d):
+    rows = C.within_two_axes(event_view(spark, d), [q("VIEW"), q("CLICK")], ["status"], 1800, 120, source="creation")
+    return rows.where(q("PURCHASE")).select("id", "hit")
+
+
 ALPHABET = (("p", "PURCHASE"), ("e", "ERROR"), ("s", "SIGNUP"), ("c", "CLICK"), ("v", "VIEW"))
 SYMBOL = "CASE name WHEN 'PURCHASE' THEN 'p' WHEN 'ERROR' THEN 'e' WHEN 'SIGNUP' THEN 's' WHEN 'CLICK' THEN 'c' ELSE 'v' END"
 NUMBER = "CASE name WHEN 'PURCHASE' THEN 0 WHEN 'ERROR' THEN 1 WHEN 'SIGNUP' THEN 2 WHEN 'CLICK' THEN 3 ELSE 4 END"
@@ -102,6 +155,15 @@ def pattern_match(spark, d):
     return rows.where(q("PURCHASE")).select("id", "symbols", "matched")
 
 
+@query(
+    f"""{E} SELECT t.id, coalesce(string_agg({SYMBOL.replace("name", "x.name")}, '' ORDER BY x.creation, {NUMBER.replace("name", "x.name")}, x.id), '') AS symbols, coalesce(regexp_matches(string_agg({SYMBOL.replace("name", "x.name")}, '' ORDER BY x.creation, {NUMBER.replace("name", "x.name")}, x.id), 'v.?c'), false) AS matched
+FROM e t LEFT JOIN e x ON {AXES.format(900)} WHERE t.name = 'PURCHASE' GROUP BY t.id"""
+)
+def pattern_two_axes(spark, d):
+    rows = C.pattern_two_axes(event_view(spark, d), [(s, q(n)) for s, n in ALPHABET], "v.?c", ["status"], 900, source="creation")
+    return rows.where(q("PURCHASE")).select("id", "symbols", "matched")
+
+
 def anchor_sql(keys: str, timeout: int, where: str = "true") -> str:
     """Windows (keys.., s) by recursion: the next one begins at the first event after s + timeout."""
     same = " AND ".join(f"x.{k} = a.{k}" for k in keys.split(", "))

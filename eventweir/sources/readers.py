@@ -70,6 +70,27 @@ def leaves(tree: Sequence[Match], above: Sequence[Match] = ()) -> list[list[Matc
     return [path for node in tree for path in (leaves(node.then, [*above, node]) if node.then else [[*above, node]])]
 
 
+def _first_path(tree: Sequence[Match], text: Column, numbers) -> Column:
+    """The number of the first path through the tree that the text takes, -1 if it ends in drop, null if there is none. A pattern is
+    tried once, and only where those above it are found."""
+    tried = []
+    for node in tree:
+        end = _first_path(node.then, text, numbers) if node.then else F.lit(-1 if (next(numbers), node.drop)[1] else numbers.last)
+        tried.append(F.when(text.rlike(java_pattern(node.pattern)), end))
+    return F.coalesce(*tried)
+
+
+class count:
+    """0, 1, 2, ..; last is the number that came last."""
+
+    def __init__(self):
+        self.last = -1
+
+    def __next__(self) -> int:
+        self.last += 1
+        return self.last
+
+
 def parse_lines(df: DataFrame, tree: Sequence[Match], default_host: str, now: Column, line: str = "value") -> DataFrame:
     """Columns of df and name, host, description, creation, attributes for each line that a path of the tree turns into an event.
 
@@ -78,13 +99,8 @@ def parse_lines(df: DataFrame, tree: Sequence[Match], default_host: str, now: Co
     """
     text = F.col(line)
     paths = leaves(tree)
-    choice = F.lit(None).cast("int")
-    for k, path in reversed(list(enumerate(paths))):
-        hit = F.lit(True)
-        for node in path:
-            hit = hit & text.rlike(java_pattern(node.pattern))
-        choice = F.when(hit, F.lit(-1 if path[-1].drop else k)).otherwise(choice)
-    rows = df.withColumn("_path", choice).where("_path >= 0")
+    # explode evaluates the choice once a row; a filter on it would be pushed down and repeat it
+    rows = df.select("*", F.explode(F.filter(F.array(_first_path(tree, text, count())), lambda k: k >= 0)).alias("_path"))
     fields: dict[str, Column] = {}
     times: dict[str, Column] = {}
     names = sorted({f for p in paths for n in p for f in n.set} | {n.time[0] for p in paths for n in p if n.time})
@@ -114,9 +130,10 @@ def parse_lines(df: DataFrame, tree: Sequence[Match], default_host: str, now: Co
     )
 
 
-def csv_dump(spark: SparkSession, path: str, load_time: int | None = None) -> DataFrame:
-    """Events from CSV files with a header. load_time: overwrite the arrival with it."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def csv_dump(spark: SparkSession, path: str, load_time: int | None = None, multi_line: bool = False) -> DataFrame:
+    """Events from CSV files with a header. load_time: overwrite the arrival with it. multi_line: fields may hold line breaks; then a
+    file is read by one task, else it is split."""
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     if missing := set(CSV_REQUIRED) - set(raw.columns):
         raise ValueError(f"columns missing: {sorted(missing)}")
     return from_csv_rows(raw, load_time)
@@ -173,8 +190,10 @@ XML_SCHEMA = T.StructType(
 
 def from_xml_rows(x: DataFrame) -> DataFrame:
     """Events from rows in XML_SCHEMA. A row whose creation or count is not a number has null there; validation rejects it."""
-    entries = F.coalesce(F.col("attributes.attribute"), F.array())
-    attributes = F.map_from_entries(F.transform(entries, lambda a: F.struct(a["_key"], F.coalesce(a["_VALUE"], F.lit("")))))
+    # of attributes with one key the last counts
+    entries = F.filter(F.coalesce(F.col("attributes.attribute"), F.array()), lambda a: a["_key"].isNotNull())
+    keys = F.array_distinct(F.transform(entries, lambda a: a["_key"]))
+    attributes = F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(F.element_at(F.filter(entries, lambda a: a["_key"] == k), -1)["_VALUE"], F.lit(""))))
     refs = F.coalesce(F.col("references.reference"), F.array())
     kinds = F.array_sort(F.array_distinct(F.transform(refs, lambda r: r["_type"])))
     references = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.transform(F.filter(refs, lambda r: r["_type"] == k), lambda r: r["_VALUE"])))
