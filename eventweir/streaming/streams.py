@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -44,107 +44,166 @@ def session_counts(stream: DataFrame, keys: Sequence[str], timeout: int, late: i
     return grouped.agg(F.count("*").alias("n")).select(*keys, F.unix_seconds("w.start").alias("start"), "n")
 
 
-class Contexts(StatefulProcessor):
-    """Anchored contexts of one key: the first row opens one, rows inside count, a timer ends it and emits it.
+class Ordered(StatefulProcessor):
+    """Rows of one key in the order of (arrival, id), in whatever order they come: a row waits in state until the watermark has passed
+    its second, so the result is that of the complete, sorted input as long as no row is later than the watermark allows."""
 
-    State is the open context alone (start, count). Rows of a batch may come in any order: those of a context are told by their
-    time, and rows before the open context's start (late ones) open it earlier only if no row was counted out.
-    """
-
-    def __init__(self, timeout: int):
-        self.timeout = timeout
+    def __init__(self, fields: Sequence[StructField]):
+        self.fields = fields
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", StructType([StructField("start", LongType()), StructField("count", LongType())]))
+        self.waiting = handle.getListState("waiting", StructType(list(self.fields)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted(t for frame in rows for t in frame["arrival"].tolist())
-        start, count = self.open.get() if self.open.exists() else (None, 0)
-        out = []
-        for t in times:
-            if start is not None and t > start + self.timeout:
-                out.append((*key, start, start + self.timeout + 1, count))
-                start, count = None, 0
-            if start is None:
-                start = t
-            count += 1
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        if start is not None:
-            self.open.update((start, count))
-            self.handle.registerTimer((start + self.timeout + 1) * 1000)
-        if out:
-            yield pd.DataFrame(out)
+        for frame in rows:
+            new = [tuple(None if pd.isna(x) else x for x in row) for row in frame[[f.name for f in self.fields]].astype(object).itertuples(index=False)]
+            self.waiting.appendList(new)
+            for second in {row[0] for row in new}:
+                self.handle.registerTimer(int(second) * 1000)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            start, count = self.open.get()
-            if start + self.timeout + 1 <= expiredTimerInfo.getExpiryTimeInMs() // 1000:
-                self.open.clear()
-                yield pd.DataFrame([(*key, start, start + self.timeout + 1, count)])
+        # all rows up to the watermark are here, and a timer set now would wait for the next batch
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) // 1000
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((tuple(r) for r in held if r[0] <= now), key=lambda r: (r[0], str(r[1])))
+        rest = [tuple(r) for r in held if r[0] > now]
+        if rest:
+            self.waiting.put(rest)
+        elif held:
+            self.waiting.clear()
+        yield from self.advance(key, ready, now)
+
+    def advance(self, key, rows: list[tuple], now: int) -> Iterator[pd.DataFrame]:
+        """What the rows (arrival, id, ..) up to this second make of the key."""
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-def _keyed(rows: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
-    for frame in rows:
-        frame.columns = names
-        yield frame
+class Contexts(Ordered):
+    """The context of one key: a row opens one unless one is open; rows inside count and are associated; a timer or a row ends it."""
+
+    FIELDS = (*[StructField(n, LongType()) for n in ("arrival",)], StructField("id", StringType()), *[StructField(n, BooleanType()) for n in ("opens", "joins", "forgets", "restarts", "deletes")], StructField("op", StringType()), StructField("value", LongType()))
 
+    def __init__(self, timeout: int, names: list[str], repeat: bool, initial: int):
+        super().__init__(self.FIELDS)
+        self.timeout, self.names, self.repeat, self.initial = timeout, names, repeat, initial
 
-def contexts(stream: DataFrame, key: str, timeout: int, late: int) -> DataFrame:
-    """Rows (key, start, fires, counter) of contexts, when they time out. Needs the RocksDB state store."""
-    names = [key, "start", "fires", "counter"]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getValueState("open", StructType([StructField("start", LongType()), StructField("since", LongType()), StructField("counter", LongType()), StructField("events", LongType()), StructField("ids", ArrayType(StringType()))]))
+
+    def advance(self, key, rows: list[tuple], now: int) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        current = list(self.open.get()) if self.open.exists() else None  # start, since when the timer runs, counter, events, ids
+
+        def expire(second: int) -> None:
+            nonlocal current
+            if current is not None and second > current[1] + self.timeout:
+                if current[3] or not self.repeat:
+                    out.append((*key, current[0], current[1] + self.timeout + 1, current[2], sorted(current[4]), "timeout"))
+                # a repeating context starts again at once; periods without an event give no row
+                periods = (second - current[1]) // (self.timeout + 1)
+                again = current[1] + periods * (self.timeout + 1)
+                current = [again, again, self.initial, 0, []] if self.repeat else None
+
+        for arrival, event, opens, joins, forgets, restarts, deletes, op, value in rows:
+            expire(arrival)
+            if current is None and opens:
+                current = [arrival, arrival, self.initial, 0, []]
+            if current is None:
+                continue
+            current[3] += 1
+            if deletes:
+                out.append((*key, current[0], arrival, current[2], sorted(current[4]), "deleted"))
+                current = None
+                continue
+            if restarts:
+                current[1] = arrival
+            if forgets:
+                current[4] = []
+            current[2] = value if op == "set" else current[2] + (value if op == "inc" else -value if op == "dec" else 0)
+            if joins:
+                current[4] = [*current[4], event]
+        expire(now)
+        if current is None:
+            self.open.clear()
+        else:
+            self.open.update(tuple(current))
+            self.handle.registerTimer((current[1] + self.timeout + 1) * 1000)
+        if out:
+            yield pd.DataFrame(out, columns=self.names)
 
-    class Named(Contexts):
-        def handleInputRows(self, key, rows, timerValues):
-            yield from _keyed(super().handleInputRows(key, rows, timerValues), names)
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            yield from _keyed(super().handleExpiredTimer(key, timerValues, expiredTimerInfo), names)
+def contexts(stream: DataFrame, key: str, timeout: int, late: int, opening: Column | None = None, op: Column | None = None, value: Column | None = None, joins: Column | None = None, forgets: Column | None = None, restarts: Column | None = None, deletes: Column | None = None, repeat: bool = False, initial: int = 0, version: str = "") -> DataFrame:
+    """Rows (key, start, fires, counter, event_ids, ended) of contexts, when they end (by timeout, or deleted).
 
-    schema = StructType([StructField(key, StringType()), StructField("start", LongType()), StructField("fires", LongType()), StructField("counter", LongType())])
-    return watermarked(stream, late).groupBy(key).transformWithStateInPandas(Named(timeout), outputStructType=schema, outputMode="append", timeMode="eventTime")
+    opening: rows that open a context (default: all); op and value: set, inc or dec of the counter (default: inc by 1); joins: rows
+    that are associated (default: all), their ids are what a deleted context releases; forgets: rows that empty the association first;
+    restarts: rows that restart the timer; deletes: rows that end the context; repeat: it starts again when it has timed out. version
+    names the rules behind it: a stream restarted from its checkpoint with another version begins with no contexts, those of streams
+    whose version stayed go on. Needs the RocksDB state store.
+    """
+    names = ["version", key, "start", "fires", "counter", "event_ids", "ended"]
+    types = [StringType(), StringType(), LongType(), LongType(), LongType(), ArrayType(StringType()), StringType()]
+    given = {"opens": opening, "joins": joins, "forgets": forgets, "restarts": restarts, "deletes": deletes}
+    flags = {k: F.lit(k in ("opens", "joins")) if v is None else F.coalesce(v, F.lit(False)) for k, v in given.items()}
+    more = {"version": F.lit(version), "op": F.lit("inc") if op is None else op, "value": (F.lit(1) if value is None else value).cast("long")}
+    rows = watermarked(stream, late).withColumns(flags | more).withColumn(key, F.col(key).cast("string"))
+    made = rows.groupBy("version", key).transformWithStateInPandas(Contexts(timeout, names, repeat, initial), outputStructType=StructType([StructField(n, t) for n, t in zip(names, types, strict=True)]), outputMode="append", timeMode="eventTime")
+    return made.where(F.col("version") == version).drop("version")
 
 
-class Recent(StatefulProcessor):
-    """Exact sliding counts: keeps a key's selected times as long as a frame can reach them."""
+class Recent(Ordered):
+    """Exact sliding counts: keeps a key's selected times as long as a frame of a row to come can reach them."""
 
     def __init__(self, age: int, names: list[str]):
+        super().__init__([StructField("arrival", LongType()), StructField("id", StringType()), StructField("selected", BooleanType())])
         self.age, self.names = age, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.times = handle.getListState("times", StructType([StructField("t", LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))
+    def advance(self, key, rows: list[tuple], now: int) -> Iterator[pd.DataFrame]:
+        if not rows:
+            return
         known = [x[0] for x in self.times.get()] if self.times.exists() else []
-        times = sorted(known + frame.loc[frame["selected"], "arrival"].tolist())
-        series = pd.Series(times, dtype="int64")
-        upto = series.searchsorted(frame["arrival"].to_numpy(), "right")
-        low = series.searchsorted(frame["arrival"].to_numpy() - self.age, "left")
-        newest = max([*times, *frame["arrival"].tolist()])
-        kept = [(t,) for t in times if t >= newest - 2 * self.age]
+        times = pd.Series(sorted(known + [r[0] for r in rows if r[2]]), dtype="int64")
+        arrival = [r[0] for r in rows]
+        n = times.searchsorted(arrival, "right") - times.searchsorted([t - self.age for t in arrival], "left")
+        kept = [(int(t),) for t in times if t >= now - self.age]
         if kept:
             self.times.put(kept)
         elif known:
             self.times.clear()
-        yield pd.DataFrame(dict(zip(self.names, (frame["id"], key[0], frame["arrival"], upto - low), strict=True)))
-
-    def close(self) -> None:
-        pass
+        yield pd.DataFrame(dict(zip(self.names, ([r[1] for r in rows], key[0], arrival, n), strict=True)))
 
 
 def sliding_counts(stream: DataFrame, query: Column, key: str, age: int, late: int) -> DataFrame:
     """Rows (id, key, arrival, n): how many rows the query selects in [arrival - age, arrival] of the key, for every row.
 
-    Counts what has come by the end of the row's batch. State holds times of two ages, and only those that the query selects.
+    A row is counted, and emitted, when the watermark has passed its second: rows may come in any order as long as they are at most
+    `late` seconds late. State holds the rows that wait, and the selected times of one age. Needs the RocksDB state store.
     """
     schema = StructType([StructField("id", StringType()), StructField(key, StringType()), StructField("arrival", LongType()), StructField("n", LongType())])
-    rows = watermarked(stream.withColumn("selected", query), late)
-    return rows.groupBy(key).transformWithStateInPandas(Recent(age, ["id", key, "arrival", "n"]), outputStructType=schema, outputMode="append", timeMode="none")
+    rows = watermarked(stream.withColumn("selected", F.coalesce(query, F.lit(False))), late)
+    return rows.groupBy(key).transformWithStateInPandas(Recent(age, ["id", key, "arrival", "n"]), outputStructType=schema, outputMode="append", timeMode="eventTime")
+
+
+def drained(complete: DataFrame, emitted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What is left to forward when a stream has ended: rows of the batch form over its input that the stream has not emitted (those
+    that the watermark never passed)."""
+    return complete.join(emitted.select(*keys), list(keys), "left_anti")
+
+
+def released(ended: DataFrame, held: DataFrame) -> DataFrame:
+    """The held events that contexts release when they end: rows of held whose id an ended context lists, with the time of release."""
+    freed = ended.select(F.explode("event_ids").alias("id"), F.col("fires").alias("released")).groupBy("id").agg(F.min("released").alias("released"))
+    return held.join(freed, "id")
 
 
 def forwarded(delayed: DataFrame, late: int) -> DataFrame:

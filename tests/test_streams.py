@@ -1,6 +1,7 @@
 """Streams run to the end of what is there, against the batch forms."""
 
 import random
+import time
 
 import pytest
 from helpers import events
@@ -73,18 +74,107 @@ def rocksdb(spark):
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
-def test_contexts(spark, stream, batch, tmp_path, rocksdb):
-    got = ran(spark, streams.contexts(stream, "host", 100, 3600), tmp_path)
-    wanted = X.anchored(batch, ["host"], 100).groupBy("host", F.col("win_start").alias("start"), (F.col("win_start") + 101).alias("fires")).agg(F.count("*").alias("counter"))
-    assert rows(got, "host", "start", "fires", "counter") == rows(wanted, "host", "start", "fires", "counter")
+@pytest.fixture(scope="module")
+def shuffled(spark, table, tmp_path_factory):
+    """The same rows in files that each hold times from the whole log: a row may come after any other, up to 3000 seconds late."""
+    df = spark.read.parquet(table)
+    path = str(tmp_path_factory.mktemp("shuffled") / "events")
+    for k in range(3):
+        df.where((F.crc32(F.col("id")) % 3 == k) & (F.col("name") != "END")).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are read in the order of their times
+    df.where("name = 'END'").coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
-def test_sliding_counts(spark, stream, batch, tmp_path, rocksdb):
-    got = ran(spark, streams.sliding_counts(stream, P.event_name("A"), "host", 200, 3600), tmp_path)
+@pytest.fixture(params=["in order", "shuffled"])
+def either(request, spark, table, shuffled):
+    path = table if request.param == "in order" else shuffled
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_contexts(spark, either, batch, tmp_path, rocksdb):
+    got = ran(spark, streams.contexts(either, "host", 100, 3600), tmp_path)
+    wanted = X.contexts(X.anchored(batch, ["host"], 100), ["host"], 100).select("host", "start", (F.col("end") + 1).alias("fires"), "counter", F.array_join("event_ids", ",").alias("ids"))
+    assert rows(got.withColumn("ids", F.array_join("event_ids", ",")), "host", "start", "fires", "counter", "ids") == rows(wanted, "host", "start", "fires", "counter", "ids")
+
+
+def test_contexts_in_full(spark, either, batch, tmp_path, rocksdb):
+    """Opening, counter operations, association with resets, restarts of the timer, deletion: against a plain loop over the sorted rows."""
+    name = F.col("name")
+    third = F.crc32(F.col("id")) % 3
+    got = ran(spark, streams.contexts(either, "host", 90, 3600, opening=name == "A", op=F.when(name == "B", "set").when(name == "C", "dec").otherwise("inc"), value=F.when(name == "B", 10).otherwise(2), joins=name != "C", forgets=(name == "C") & (third == 0), restarts=(name == "B") & (third == 0), deletes=(name == "C") & (third == 1), initial=5), tmp_path)
+    wanted = []
+    by_host = {}
+    for r in batch.withColumn("third", third).orderBy("arrival", "id").collect():
+        by_host.setdefault(r["host"], []).append(r)
+    for host, events_ in by_host.items():
+        now = None
+        for r in [*events_, None]:
+            t = r["arrival"] if r else 10**9
+            if now and t > now["timer"] + 90:
+                wanted.append((host, now["start"], now["timer"] + 91, now["n"], ",".join(sorted(now["ids"])), "timeout"))
+                now = None
+            if r is None:
+                break
+            if now is None and r["name"] == "A":
+                now = {"start": t, "timer": t, "n": 5, "ids": []}
+            if now is None:
+                continue
+            if r["name"] == "C" and r["third"] == 1:
+                wanted.append((host, now["start"], t, now["n"], ",".join(sorted(now["ids"])), "deleted"))
+                now = None
+                continue
+            if r["name"] == "B" and r["third"] == 0:
+                now["timer"] = t
+            if r["name"] == "C" and r["third"] == 0:
+                now["ids"] = []
+            now["n"] = 10 if r["name"] == "B" else now["n"] - 2 if r["name"] == "C" else now["n"] + 2
+            if r["name"] != "C":
+                now["ids"].append(r["id"])
+    found = got.withColumn("ids", F.array_join("event_ids", ","))
+    assert rows(found, "host", "start", "fires", "counter", "ids", "ended") == sorted(w for w in wanted if w[0] != "end")
+    deleted = got.where("ended = 'deleted'")
+    assert deleted.count() > 0
+    freed = streams.released(deleted, batch)
+    assert sorted(r["id"] for r in freed.collect()) == sorted({i for w in wanted if w[5] == "deleted" and w[4] for i in w[4].split(",")})
+
+
+def test_repeating_contexts(spark, either, batch, tmp_path, rocksdb):
+    got = ran(spark, streams.contexts(either, "host", 100, 3600, repeat=True), tmp_path)
+    wanted = X.repeating(batch, ["host"], 100).groupBy("host", F.col("win_start").alias("start")).agg(F.count("*").alias("counter"))
+    assert rows(got, "host", "start", "counter") == rows(wanted, "host", "start", "counter")
+
+
+def test_rule_change(spark, stream, batch, tmp_path, rocksdb):
+    """A stream restarted from its checkpoint keeps open contexts if its version stayed, and begins without any if it changed."""
+    path, one = str(tmp_path / "in"), str(tmp_path / "check")
+    write = lambda rows_: events(spark, rows_).select(*COLUMNS).coalesce(1).write.mode("append").parquet(path)
+    schema = batch.schema
+    run = lambda version, out: streams.run_available(streams.contexts(spark.readStream.schema(schema).parquet(path), "host", 1000, 10, version=version), path=str(tmp_path / out), checkpoint=one)
+    write([{"id": "1", "name": "A", "host": "x", "arrival": 100}, {"id": "2", "name": "A", "host": "y", "arrival": 200}])
+    run("v1", "first")
+    write([{"id": "3", "name": "A", "host": "x", "arrival": 300}])
+    run("v1", "second")
+    write([{"id": "4", "name": "A", "host": "x", "arrival": 400}, {"id": "e", "name": "END", "host": "end", "arrival": 10**6}])
+    run("v2", "third")
+    write([{"id": "f", "name": "END", "host": "end", "arrival": 2 * 10**6}])
+    run("v2", "fourth")
+    ended = spark.read.parquet(str(tmp_path / "third"), str(tmp_path / "fourth")).where("host <> 'end'").collect()
+    assert [(r["host"], r["start"], r["event_ids"]) for r in ended] == [("x", 400, ["4"])]
+
+
+def test_sliding_counts(spark, either, batch, tmp_path, rocksdb):
+    got = ran(spark, streams.sliding_counts(either, P.event_name("A"), "host", 200, 3600), tmp_path)
     wanted = conditions.count_sliding(batch, P.event_name("A"), ["host"], 200)
     assert rows(got, "id", "n") == rows(wanted.select("id", "n", "host"), "id", "n")
 
 
+def test_drain(spark, batch, tmp_path):
+    """Rows that the watermark has not passed at the end are flushed from the batch form."""
+    done = batch.where("arrival < 1500").select("id")
+    assert streams.drained(batch, done, ["id"]).count() == batch.where("arrival >= 1500").count() > 0
+
+
 def test_forwarding(spark, stream, batch, tmp_path):
     got = ran(spark, streams.forwarded(stream.withColumn("delay_time", F.col("arrival") + 50), 10), tmp_path)
     assert rows(got, "id", "delay_time") == rows(batch.withColumn("delay_time", F.col("arrival") + 50), "id", "delay_time")
