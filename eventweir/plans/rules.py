@@ -172,7 +172,8 @@ def _injected(df: DataFrame, made: DataFrame, inject: str) -> DataFrame:
     """df and the made events: as input they trigger later rules, as output they only leave."""
     if inject not in ("input", "output"):
         raise ValueError("inject: input or output")
-    given = {"local": F.lit(False), "forwarded": F.lit(False), "dropped": F.lit(False), "live": F.lit(inject == "input")}
+    given = {"local": F.lit(False), "forwarded": F.lit(False), "dropped": F.lit(False), "live": F.lit(inject == "input"), "description": F.lit("-")}
+    given |= {"attributes": F.create_map().cast("map<string,string>"), "references": F.create_map().cast("map<string,array<string>>"), "history": F.array().cast(HISTORY)}
     made = made.withColumns({k: v for k, v in given.items() if k in df.columns and k not in made.columns})
     return df.unionByName(made.select(*[c for c in made.columns if c in df.columns]), allowMissingColumns=True)
 
