@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventweir.sources.scratch import scratch_path, shared_dir, written  # noqa: F401
+from eventweir.sources.scratch import scratch_path, shared_dir, sized, written  # noqa: F401
 
 #: Members of a bucket that meet in one task are at most twice this many; larger buckets are dealt out as pairs of blocks. In a task
 #: they are compared in tiles.
@@ -19,17 +19,10 @@ BLOCK, TILE = 2048, 128
 HUBS = 10_000
 #: Groups up to this size are first searched for any link at all, many groups at once.
 SMALL = 16
-#: A side is broadcast only if it was counted and has at most so many rows.
-BROADCAST_ROWS = 10_000
 #: Texts that are turned into Python strings at once.
 CHUNK = 256
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if a count shows that it has at most so many rows; else unchanged."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
