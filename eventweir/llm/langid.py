@@ -103,7 +103,7 @@ class Model:
 def packed(codes: np.ndarray) -> np.ndarray:
     out = np.ones(len(codes), np.uint64)  # a leading one tells lengths apart
     for k in range(codes.shape[1]):
-        out = (out << np.uint64(8)) | codes[:, k]
+        out = (out << np.uint64(8)) | codes[:, k].astype(np.uint64)
     return out
 
 
@@ -125,27 +125,44 @@ def grams_of(words: dict[str, int]) -> dict[str, int]:
 def fit(words: pd.DataFrame) -> Model:
     """A model from rows (lang, word, n): how often each language has each word."""
     rows = [(lang, g, n) for lang, own in words.groupby("lang") for g, n in grams_of(own.groupby("word")["n"].sum().to_dict()).items()]
-    return fit_grams(pd.DataFrame(rows, columns=["lang", "gram", "n"]))
+    lang, gram, n = zip(*rows, strict=True) if rows else ((), (), ())
+    return fit_grams(pa.table({"lang": pa.array(lang, pa.string()), "gram": pa.array([spelled(g) for g in gram], pa.binary()), "n": pa.array(n, pa.int64())}))
 
 
-def fit_grams(grams: pd.DataFrame) -> Model:
-    """A model from rows (lang, gram, n): how often each language has each gram of ORDER characters. No rows: no languages."""
-    if not len(grams):
+def spelled(gram: str) -> bytes:
+    """A gram as its code points, four bytes each."""
+    return gram.encode("utf-32-le", "surrogatepass")
+
+
+def fit_grams(grams: pa.Table) -> Model:
+    """A model from rows (lang, gram, n): how often each language has each gram of ORDER characters, spelled. No rows: no languages.
+
+    Works on arrays of numbers only: no row becomes a Python object."""
+    if not grams.num_rows:
         return Model([], {})
-    languages = sorted(grams["lang"].unique().tolist())
-    points, at = np.unique(np.array(grams["gram"].tolist(), f"<U{ORDER}").view(np.uint32), return_inverse=True)
-    at = at.reshape(-1, ORDER)
-    letters = {chr(c): n for c, n in zip(points.tolist(), np.bincount(at[:, -1], grams["n"], len(points)).tolist(), strict=True) if chr(c) not in (BEFORE, AFTER)}
+    coded = grams.column("lang").combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    languages = sorted(names)
+    lang = np.array([languages.index(x) for x in names])[coded.indices.to_numpy()]
+    gram = grams.column("gram").combine_chunks()
+    points = np.frombuffer(gram.buffers()[2], "<u4")[gram.offset * ORDER : (gram.offset + len(gram)) * ORDER].reshape(-1, ORDER)
+    times = grams.column("n").to_numpy()
+    every, at = np.unique(points[:, -1], return_inverse=True)
+    letters = {chr(c): n for c, n in zip(every.tolist(), np.bincount(at, times, len(every)).tolist(), strict=True) if chr(c) not in (BEFORE, AFTER)}
     order = sorted(letters, key=lambda c: (-letters[c], c))[:LETTERS]
     model = Model(languages, {c: k + 3 for k, c in enumerate(order)})
     number = {BEFORE: 0, AFTER: END} | model.number
-    codes = np.array([number.get(chr(c), OTHER) for c in points.tolist()], np.uint64)[at]
+    of = np.full(int(points.max()) + 1, OTHER, np.uint8)
+    for c, k in number.items():
+        if ord(c) < len(of):
+            of[ord(c)] = k
+    codes = of[points]
     counts: list[dict] = [None] * len(languages)  # by language, by order: grams and their (continuation) counts
-    for i, lang in enumerate(languages):
-        own = (grams["lang"] == lang).to_numpy()
+    for i in range(len(languages)):
+        own = lang == i
         by_order = {}
         unique, at = np.unique(packed(codes[own]), return_inverse=True)
-        by_order[ORDER] = (unique, np.bincount(at, grams["n"].to_numpy()[own]))
+        by_order[ORDER] = (unique, np.bincount(at, times[own]))
         for k in range(ORDER - 1, 0, -1):
             higher = by_order[k + 1][0]  # distinct longer grams: each is one context of its tail
             tail = (higher & np.uint64((1 << 8 * k) - 1)) | np.uint64(1 << 8 * k)
@@ -224,7 +241,7 @@ def language_of(labelled: Column, lang_col: str) -> Column:
 def learned(docs: DataFrame, labelled: Column, text_col: str, lang_col: str) -> Model:
     """A model without limits, from the grams of all labelled rows."""
     rows = docs.select(language_of(labelled, lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("gram", pa.binary()), ("n", pa.int64())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, Counter] = {}
@@ -232,7 +249,7 @@ def learned(docs: DataFrame, labelled: Column, text_col: str, lang_col: str) ->
         def passed_on() -> Iterator[pa.RecordBatch]:
             for lang, total in totals.items():
                 grams = grams_of(total)
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": list(grams), "n": list(grams.values())}, schema=schema)
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": [spelled(g) for g in grams], "n": list(grams.values())}, schema=schema)
             totals.clear()
 
         for batch in chunks(batches):
@@ -243,7 +260,7 @@ def learned(docs: DataFrame, labelled: Column, text_col: str, lang_col: str) ->
         yield from passed_on()
 
     # a row per language and distinct gram of five characters
-    grams = rows.mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    grams = rows.mapInArrow(counted, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     return fit_grams(grams)
 
 
