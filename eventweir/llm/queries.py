@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweir.llm import chat_format, embed_dedup, html_extract, langid, line_dedup, mixing, packing, quality, simhash_dedup, token_file
+from eventweir.llm import chat_format, embed_dedup, exact_dedup, html_extract, langid, line_dedup, mixing, packing, quality, simhash_dedup, token_file
 from eventweir.llm.common import tables
 
 
@@ -66,9 +66,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(tables(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classes(tables(spark, sf_dir, "documents"), keep="largest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.SQL}
+    return {"op10_mixing": mixing.SQL, "op11_exact_dedup": exact_dedup.SQL}
