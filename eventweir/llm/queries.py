@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweir.llm import chat_format, embed_dedup, exact_dedup, html_extract, langid, line_dedup, mixing, packing, quality, simhash_dedup, token_file
+from eventweir.llm import chat_format, embed_dedup, exact_dedup, html_extract, langid, line_dedup, mixing, packing, prefix_trie, quality, simhash_dedup, token_file, turn_repair
 from eventweir.llm.common import tables
 
 
@@ -70,6 +70,14 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(tables(spark, sf_dir, "documents"), keep="largest")
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.audit_damaged(tables(spark, sf_dir, "conversations"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.hundreds(tables(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
