@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventweir.functions.schema import ENGINE_HOST, HISTORY, MULTIPLE, effective_count, event_id
 from eventweir.operators.joins import select_events
+from eventweir.sources.scratch import written
 
 
 def entry(group: str, rule: str, at: Column, fields: Sequence[str] = (), reason: str = "", host: str = ENGINE_HOST) -> Column:
@@ -111,13 +112,19 @@ def compress_events(df: DataFrame, keys: Sequence[str], where: Column | None = N
     references the union by type. Its history is empty. Columns beyond the event schema are kept if all agree, else null.
     """
     chosen = F.coalesce(compressible() if where is None else where, F.lit(False))
-    rest, rows = df.where(~chosen), df.where(chosen)
     own = [k for k in keys if k not in df.columns]
     if own:
         raise ValueError(f"no such columns: {own}")
+    rows = written(df.where(chosen), "compress")
+    new, marks = merged_events(rows, keys)
+    return df.where(~chosen).unionByName(rows.join(marks, same_keys(keys, "_k_"), "left_anti")).unionByName(new)
+
+
+def merged_events(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(an event for each key of df with several rows, those keys as columns _k_<key>). df is read several times: a written table."""
     fixed = {"id", "type", "count", "attributes", "references", "history", "forwarded", "creation", "arrival", "description", "host", "status", "local"}
     others = [c for c in df.columns if c not in fixed | set(keys)]
-    grouped = rows.groupBy(*keys).agg(
+    grouped = df.groupBy(*keys).agg(
         F.count("*").alias("_rows"),
         F.min(F.struct("creation", "id")).alias("_first"),
         F.sum(effective_count()).cast("long").alias("_count"),
@@ -131,8 +138,7 @@ def compress_events(df: DataFrame, keys: Sequence[str], where: Column | None = N
     )
     several = grouped.where("_rows > 1")
     marks = several.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
-    alone = rows.join(marks, same_keys(keys, "_k_"), "left_anti")
-    many = rows.join(marks, same_keys(keys, "_k_"), "left_semi")
+    many = df.join(marks, same_keys(keys, "_k_"), "left_semi")
     name = lambda c: [F.col(k).alias(f"{c}{k}") for k in keys]
     pairs = merged_attributes(many, keys).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("attribute", "value"))).alias("_attributes"))
     refs = merged_references(many, keys).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("reftype", "refs"))).alias("_references"))
@@ -152,8 +158,7 @@ def compress_events(df: DataFrame, keys: Sequence[str], where: Column | None = N
         "references": F.coalesce("_references", F.create_map().cast("map<string,array<string>>")),
         "history": F.array().cast(HISTORY),
     }
-    new = made.select(*[(F.col(c) if c in keys else columns.get(c, F.col(f"_o_{c}"))).alias(c) for c in df.columns])
-    return rest.unionByName(alone).unionByName(new)
+    return made.select(*[(F.col(c) if c in keys else columns.get(c, F.col(f"_o_{c}"))).alias(c) for c in df.columns]), marks
 
 
 def merged_attributes(df: DataFrame, keys: Sequence[str]) -> DataFrame:

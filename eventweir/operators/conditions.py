@@ -10,8 +10,11 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventweir.operators import sweeps
+from eventweir.operators.automata import Automaton
 from eventweir.operators.frames import Frames, compared
 
 
@@ -175,12 +178,6 @@ class Seen:
         self.rows = self.rows.withColumn(name, F.transform(kept, lambda x: x["v"])).drop(f"{name}_all")
         self.helpers.append(name)
 
-    def times(self, queries: Sequence[Column]) -> list[str]:
-        names = [f"_seen{k}" for k in range(len(queries))]
-        for name, q in zip(names, queries, strict=True):
-            self.collect(F.when(q, F.col(self.sort)), name)
-        return names
-
     def close(self, **columns: Column) -> DataFrame:
         rows = self.rows
         for name, made in columns.items():
@@ -188,46 +185,58 @@ class Seen:
         return self.frames.close(rows).drop(*self.helpers)
 
 
-def _above(limit: Column):
-    return lambda t: t > limit
-
-
 def sequence_two_axes(df: DataFrame, queries: Sequence[Column], keys: Sequence[str], age: int, match: str = "any", sort: str = "creation", source: str = "arrival", skew: int = 0, name: str = "hit") -> DataFrame:
-    """sequence any or all (match) over what each row sees on two axes (see Seen). Up to one query: true; a query without rows: false."""
+    """sequence any or all (match) over what each row sees on two axes (see Seen), by a sweep that holds the times of one frame. Up to one
+    query: true; a query without rows: false."""
     if match not in ("any", "all"):
         raise ValueError("match: any or all")
     if len(queries) <= 1:
         return df.withColumn(name, F.lit(True))
-    seen = Seen(df, keys, age, sort, source, skew)
-    first, *others = seen.times(queries)
-    if match == "any":
-        reached = F.array_min(first)
-        for k, times in enumerate(others):
-            seen.rows = seen.rows.withColumn(f"_reached{k}", reached)
-            seen.helpers.append(f"_reached{k}")
-            reached = F.array_min(F.filter(times, _above(F.col(f"_reached{k}"))))
-        return seen.close(**{name: reached.isNotNull()})
-    hit = F.lit(True)
-    for a, b in zip([first, *others], others, strict=False):
-        hit = hit & (F.array_max(a) < F.array_min(b))
-    return seen.close(**{name: F.coalesce(hit, F.lit(False))})
+    kind, n = sweeps.SequenceAny if match == "any" else sweeps.SequenceAll, len(queries)
+    return sweeps.times(df, queries, keys, age, lambda: kind(n), name, sort, source, skew)
 
 
 def within_two_axes(df: DataFrame, queries: Sequence[Column], keys: Sequence[str], age: int, timeframe: int, match: str = "any", sort: str = "creation", source: str = "arrival", skew: int = 0, name: str = "hit") -> DataFrame:
-    """within any or all (match) over what each row sees on two axes (see Seen). No query: true; a query without rows: false."""
+    """within any or all (match) over what each row sees on two axes (see Seen), by a sweep that holds the times of one frame. No query:
+    true; a query without rows: false."""
     if match not in ("any", "all"):
         raise ValueError("match: any or all")
     if not queries:
         return df.withColumn(name, F.lit(True))
-    seen = Seen(df, keys, age, sort, source, skew)
-    times = seen.times(queries)
-    seen.rows = seen.rows.withColumn("_seen", F.flatten(F.array(*times)))
-    seen.helpers.append("_seen")
-    if match == "all":
-        every = reduce(lambda a, b: a & b, [F.size(t) > 0 for t in times])
-        return seen.close(**{name: F.coalesce(every & (F.array_max("_seen") - F.array_min("_seen") <= timeframe), F.lit(False))})
-    begins = lambda t: reduce(lambda a, b: a & b, [F.exists(x, lambda y: y.between(t, t + timeframe)) for x in times])
-    return seen.close(**{name: F.exists("_seen", begins)})
+    kind, n = sweeps.WithinAny if match == "any" else sweeps.WithinAll, len(queries)
+    return sweeps.times(df, queries, keys, age, lambda: kind(n, timeframe), name, sort, source, skew)
+
+
+def pattern_dfa(df: DataFrame, alphabet: Sequence[tuple[str, Column]], pattern: str, keys: Sequence[str], age: int, sort: str = "arrival", source: str = "arrival", skew: int = 0, id_col: str = "id", name: str = "matched") -> DataFrame:
+    """Adds matched as pattern_sliding (or, with another axis, pattern_two_axes) does, without a row's string: the pattern is an automaton,
+    a symbol one of its steps, and a frame the composition of its rows' steps. Patterns are regular: letters, classes, groups, choices,
+    repetitions and anchors."""
+    sym, number = symbol(alphabet)
+    made = Automaton(pattern, [letter for letter, _ in alphabet])  # bad patterns fail here
+    if sort == source == "arrival":
+        rows = df.withColumns({"_number": number, "_id": F.col(id_col)})
+        out = sweeps.swept(rows, keys, age, [F.col("arrival").cast("long"), sym], lambda: sweeps.Symbols(made), name, order=["_number", "_id"])
+        return out.drop("_number", "_id")
+    columns = [F.col(source).cast("long"), F.col(sort).cast("long"), number, F.col(id_col).cast("string"), sym]
+    return sweeps.swept(df, keys, age, columns, lambda: sweeps.SortedSymbols(made), name, source, skew)
+
+
+def count_unique_sliding(df: DataFrame, query: Column, value: Column, keys: Sequence[str], age: int, time: str = "arrival", name: str = "n") -> DataFrame:
+    """How many distinct values the selected rows in the frame of each row have (absent: the empty text).
+
+    A row stands for its value from its time until the value comes again or the frame has left it behind; it adds one at the former and takes
+    one away at the latter, so the count is a running sum, and no set of values is held.
+    """
+    f = Frames(df, keys, time, age)
+    at = F.col(time)
+    rows = f.rows.withColumns({"_chosen": F.coalesce(query, F.lit(False)), "_value": F.coalesce(value.cast("string"), F.lit(""))}).repartition(*f.by)
+    again = F.lead(time).over(W.partitionBy(*f.by, "_chosen", "_value").orderBy(time))
+    rows = rows.withColumn("_end", F.when(F.col("_chosen"), F.least(at + age + 1, F.coalesce(again, at + age + 1))))
+    marks = F.array(F.struct(at.cast("long").alias("t"), F.when(F.col("_chosen"), 1).otherwise(0).alias("d"), F.lit(True).alias("row")), F.struct(F.col("_end").cast("long").alias("t"), F.lit(-1).alias("d"), F.lit(False).alias("row")))
+    rows = rows.withColumn("_mark", F.explode(F.filter(marks, lambda m: m["row"] | m["t"].isNotNull())))
+    upto = W.partitionBy(*f.by).orderBy("_mark.t").rangeBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn(name, F.sum("_mark.d").over(upto).cast("long")).where("_mark.row")
+    return f.close(rows.drop("_chosen", "_value", "_end", "_mark"))
 
 
 def pattern_two_axes(df: DataFrame, alphabet: Sequence[tuple[str, Column]], pattern: str, keys: Sequence[str], age: int, sort: str = "creation", source: str = "arrival", skew: int = 0, id_col: str = "id") -> DataFrame:

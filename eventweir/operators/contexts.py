@@ -34,8 +34,8 @@ def anchors(times: np.ndarray, timeout: int) -> np.ndarray:
     return np.cumsum(out)
 
 
-def _seconds(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
-    return df.select(*keys, F.col(time).cast("long").alias(time)).where(F.col(time).isNotNull()).distinct()
+def _seconds(df: DataFrame, keys: Sequence[str], time: str, *more: str) -> DataFrame:
+    return df.select(*keys, *[F.col(c).cast("long").alias(c) for c in (time, *more)]).where(F.col(time).isNotNull()).distinct()
 
 
 def _back(df: DataFrame, windows: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
@@ -46,17 +46,22 @@ def _back(df: DataFrame, windows: DataFrame, keys: Sequence[str], time: str) ->
     return df.join(windows, same).drop("_time", *[f"_{k}" for k in keys])
 
 
-def anchored(df: DataFrame, keys: Sequence[str], timeout: int, time: str = "arrival") -> DataFrame:
+def anchored(df: DataFrame, keys: Sequence[str], timeout: int, time: str = "arrival", due: str | None = None) -> DataFrame:
     """Rows with win_seq (from 0, per key) and win_start. Rows without a time are left out.
 
+    due: a column that says when a row asks to be let in, if not at its time (it may not fall as time goes on in a key, and is one per key
+    and second): a window takes rows that are due by win_start + timeout; win_start is the time of its first row.
+
     A gap above the timeout always begins a window, so gaps cut a key's seconds into independent segments. Segments shorter than the
     timeout are one window; the others are scanned in Arrow batches that carry the open window over, jumping from anchor to anchor.
     """
     by = W.partitionBy(*keys).orderBy(time)
-    seconds = _seconds(df, keys, time).withColumn("_new", F.coalesce((F.col(time) - F.lag(time).over(by) > timeout).cast("long"), F.lit(0)))
+    seconds = _seconds(df, keys, time, *([due] if due else []))
+    due = due or time
+    seconds = seconds.withColumn("_new", F.coalesce((F.col(due) - F.lag(time).over(by) > timeout).cast("long"), F.lit(0)))
     seconds = seconds.withColumn("_segment", F.sum("_new").over(by)).drop("_new")
     inside = W.partitionBy(*keys, "_segment")
-    seconds = seconds.withColumn("_first", F.min(time).over(inside)).withColumn("_last", F.max(time).over(inside))
+    seconds = seconds.withColumn("_first", F.min(time).over(inside)).withColumn("_last", F.max(due).over(inside))
     short = F.col("_last") - F.col("_first") <= timeout
     one = seconds.where(short).withColumn("win_start", F.col("_first"))
     long = seconds.where(~short)
@@ -68,7 +73,7 @@ def anchored(df: DataFrame, keys: Sequence[str], timeout: int, time: str = "arri
         for batch in batches:
             if not batch.num_rows:
                 continue
-            times = batch.column(time).to_numpy()
+            times, dues = batch.column(time).to_numpy(), batch.column(due).to_numpy()
             parts = [batch.column(k).to_pylist() for k in (*keys, "_segment")]
             rows = list(zip(*parts, strict=True))
             starts = np.zeros(len(rows), np.int64)
@@ -78,15 +83,16 @@ def anchored(df: DataFrame, keys: Sequence[str], timeout: int, time: str = "arri
                     key, anchor = rows[a], int(times[a])
                 k = a
                 while k < b:
-                    if times[k] > anchor + timeout:
+                    if dues[k] > anchor + timeout:
                         anchor = int(times[k])
-                    stop = a + int(np.searchsorted(times[a:b], anchor + timeout, "right"))
+                    stop = max(a + int(np.searchsorted(dues[a:b], anchor + timeout, "right")), k + 1)
                     starts[k:stop] = anchor
                     k = stop
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts)], schema=batch.schema.append(pa.field("win_start", pa.int64())))
 
     schema = T.StructType([*long.schema.fields, T.StructField("win_start", T.LongType())])
-    windows = one.unionByName(long.mapInArrow(scan, schema)).withColumn("win_seq", F.dense_rank().over(W.partitionBy(*keys).orderBy("win_start")) - 1)
+    windows = one.unionByName(long.mapInArrow(scan, schema))
+    windows = windows.withColumn("win_seq", F.dense_rank().over(W.partitionBy(*keys).orderBy("win_start")) - 1)
     return _back(df, windows, keys, time)
 
 

@@ -28,7 +28,7 @@ class Frames:
         late = F.col(time) >= (at + 1) * width - age
         buckets = F.when(late, F.array(at, at + 1)).otherwise(F.array(at))
         self.rows = df.withColumn("_buckets", buckets).select("*", F.explode("_buckets").alias("_bucket")).drop("_buckets")
-        self.own = F.floor(F.col(time) / width) == F.col("_bucket")
+        self.own = F.floor(F.col(time) / width).eqNullSafe(F.col("_bucket"))  # rows without a time stay
         self.by = [*keys, "_bucket"]
 
     def frame(self) -> WindowSpec:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventweir.functions.schema import TYPES
 from eventweir.sources.scratch import sized, written
 
 
@@ -15,7 +16,8 @@ def select_events(triggers: DataFrame, events: DataFrame, keys: Sequence[str], a
 
     Seen are events that arrived by the trigger's time, with time_source + age not before it. Both sides are cut into buckets of
     max(age, 1) seconds: an event of bucket b can only be seen from b and the next one, so a trigger is joined with two buckets by
-    equality, and the exact bounds are checked after. skew: with time_source creation, by how much creation may lie after arrival.
+    equality, and the exact bounds are checked after. skew: with time_source creation, by how much creation may lie after arrival. A null
+    key is a key.
     """
     width = max(age + (skew if time_source == "creation" else 0), 1)
     t = triggers.select(F.col(id_col).alias("trigger_id"), F.col("arrival").alias("trigger_time"), *[F.col(k).alias(f"_t_{k}") for k in keys])
@@ -23,7 +25,7 @@ def select_events(triggers: DataFrame, events: DataFrame, keys: Sequence[str], a
     e = events.withColumn("_e_bucket", F.floor(F.col("arrival") / width))
     same = F.col("_bucket") == F.col("_e_bucket")
     for k in keys:
-        same = same & (F.col(f"_t_{k}") == F.col(k))
+        same = same & F.col(f"_t_{k}").eqNullSafe(F.col(k))
     seen = (F.col("arrival") <= F.col("trigger_time")) & (F.col(time_source) + age >= F.col("trigger_time"))
     return t.join(e, same & seen).drop("_bucket", "_e_bucket", *[f"_t_{k}" for k in keys])
 
@@ -40,7 +42,11 @@ def route(events: DataFrame, triggers: DataFrame, classes: DataFrame) -> DataFra
     of = events.select("id", "name", "type")
     fits = (F.col("event_type") == "any") | (F.col("event_type") == F.col("type"))
     named = of.join(sized(by_name.drop("kind").distinct()), "name").where(fits).select("id", *rule)
-    every = of.join(sized(kinds("any").drop("kind", "value")), fits).select("id", *rule)
+    # rules for any name meet a type's events by equality: those for any type are listed under every type, null standing for unknown ones
+    of_types, any_rules = F.array(*[F.lit(t) for t in TYPES], F.lit(None)), kinds("any").drop("kind", "value")
+    any_rules = any_rules.withColumn("_type", F.explode(F.when(F.col("event_type") == "any", of_types).otherwise(F.array("event_type")))).drop("event_type")
+    known = of.select("id", F.when(F.col("type").isin(*TYPES), F.col("type")).alias("type"))
+    every = known.join(sized(any_rules.distinct()), F.col("type").eqNullSafe(F.col("_type"))).select("id", *rule)
     return named.unionByName(every).distinct()
 
 

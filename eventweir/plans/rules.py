@@ -1,8 +1,14 @@
 """Rules as plans: ordered stages over one event table.
 
-Within a stage queries look at the stage's input; its actions make the next stage's table. Stages run in the order of group and rule. A
-row that an earlier rule dropped, compressed or made inactive triggers no later rule, nor does one that was inactive from the start;
-queries see it all the same.
+A rule's condition looks at the table that the rules before it have left; its actions make the next rule's table. A query of an action
+looks at the table as the rule's earlier actions left it. Stages run in the order of group and rule. A row that an earlier rule dropped,
+compressed or made inactive triggers no later rule, nor does one that was inactive from the start; queries see it all the same, unless it
+was dropped or compressed.
+
+Rules that only change the rows that trigger them are columns of one plan, and no table is written for them. Before the first rule whose
+actions look for other events or add some, the events are written once; after each such rule one table of changes is written: of each row
+that any rule has touched the fields that rules may change, and all of each row that rules have added. The next rule's table is the
+events joined with these changes, so a plan of many rules reads two tables, however many came before.
 """
 
 from __future__ import annotations
@@ -15,13 +21,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventweir.functions.schema import HISTORY, STATUSES, TYPES
+from eventweir.sources.scratch import sized, written
 
 #: Types that trigger a rule that names none.
 DEFAULT_TYPES = ("raw", "compressed")
 
+#: Fields of an event that no action changes.
+FIXED = ("id", "name", "host", "description", "type", "count", "creation", "arrival")
+#: What a plan notes of a row: touched by a rule, compressed away, added by a rule.
+MARKS = ("_touched", "_gone", "_added")
+
 Action = Callable[[DataFrame, Column], DataFrame]
 
 
+def selecting(action: Action) -> Action:
+    """Marks an action that looks for other events or adds some."""
+    action.selects = True
+    return action
+
+
+class Stages:
+    """A plan's table between rules: the events as written once, and one written table of changes."""
+
+    def __init__(self, df: DataFrame):
+        self.base = written(df.withColumn("_row", F.monotonically_increasing_id()), "plan-events")
+        self.changes: DataFrame | None = None
+
+    def view(self) -> DataFrame:
+        if self.changes is None:
+            return self.base
+        kept = [c for c in self.changes.columns if c in FIXED]
+        own = [c for c in self.changes.columns if c not in (*kept, "_row")]
+        old = self.changes.where("not _added").select(F.col("_row").alias("_at"), *[F.col(c).alias(f"_new_{c}") for c in own])
+        rows = self.base.join(sized(old), F.col("_row") == F.col("_at"), "left")
+        hit, before = F.col("_at").isNotNull(), set(self.base.columns)
+        now = {c: F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)) if c in before else F.col(f"_new_{c}") for c in own}
+        rows = rows.select("_row", *kept, *[x.alias(c) for c, x in now.items()])
+        return rows.unionByName(self.changes.where("_added")).where("not _gone")
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """The table after a rule, from what its actions made of the one before."""
+        kept = [c for c in FIXED if c in df.columns]
+        own = [c for c in df.columns if c not in (*kept, "_row")]
+        rows = df.where("_touched or _added").where("not (_added and _gone)")
+        rows = rows.select("_row", *own, *[F.when(F.col("_added"), F.col(c)).alias(c) for c in kept])
+        if self.changes is not None:  # the view no longer has what went before
+            rows = rows.unionByName(self.changes.where("_gone"), allowMissingColumns=True)
+        self.changes = written(rows, "plan-changes")
+        return self.view()
+
+
 @dataclass(frozen=True)
 class Trigger:
     """kind any, class or event; value: the class or name; types: those of its events ("any" for all)."""
@@ -81,8 +130,13 @@ class Plan:
     def run(self, events: DataFrame) -> DataFrame:
         """The table after all rules, with live (whether later rules would still be triggered) and one boolean column fired_<n> per
         rule (null: not triggered). Dropped rows are there, with dropped set; see remaining()."""
-        df = events.withColumn("live", F.col("status") == "active").withColumn("dropped", F.lit(False))
+        df = events.withColumns({"live": F.col("status") == "active", "dropped": F.lit(False)} | {c: F.lit(False) for c in MARKS})
+        stages: Stages | None = None
         for n, rule in enumerate(self.ordered()):
+            selects = any(getattr(a, "selects", False) for a in (*rule.actions, *rule.otherwise))
+            if selects and stages is None:
+                stages = Stages(df)
+                df = stages.view()
             before = df.columns
             condition = F.lit(True) if rule.condition is None else rule.condition
             if callable(condition) and not isinstance(condition, Column):
@@ -90,12 +144,15 @@ class Plan:
             triggered = F.col("live") & reduce(lambda a, b: a | b, [t.matches(self.classes) for t in rule.triggers], F.lit(False))
             fired = f"fired_{n}"
             df = df.withColumn(fired, F.when(triggered, F.coalesce(condition, F.lit(False))))
-            df = df.select(*before, fired)
+            df = df.select(*before, fired).withColumn("_touched", F.col("_touched") | F.col(fired).isNotNull())
             for chosen, actions in ((F.col(fired), rule.actions), (~F.col(fired), rule.otherwise)):
                 for action in actions:
                     df = action(df, F.coalesce(chosen, F.lit(False)))
             df = df.withColumn("live", F.col("live") & (F.col("status") == "active") & ~F.col("dropped"))
-        return df
+            if selects:
+                df = stages.cut(df)
+        fired = [c for c in df.columns if c.startswith("fired_")]
+        return df.where("not _gone").select(*events.columns, "live", "dropped", *fired)
 
     def remaining(self, events: DataFrame) -> DataFrame:
         return self.run(events).where(~F.col("dropped")).select(*events.columns)
@@ -140,18 +197,28 @@ def when(condition: Column, actions: Sequence[Action], otherwise: Sequence[Actio
         df = df.withColumn(own, where).withColumn(test, F.coalesce(condition, F.lit(False)))
         for chosen, some in ((F.col(own) & F.col(test), actions), (F.col(own) & ~F.col(test), otherwise)):
             for action in some:
-                df = action(df, chosen)
+                df = action(df, F.coalesce(chosen, F.lit(False)))
         return df.drop(own, test)
 
-    return act
+    return selecting(act) if any(getattr(a, "selects", False) for a in (*actions, *otherwise)) else act
+
+
+def there(df: DataFrame) -> Column:
+    """Rows that queries see: not dropped, nor compressed away."""
+    return ~F.col("dropped") & ~F.col("_gone")
 
 
 def _seen(df: DataFrame, where: Column, query: Column, keys: Sequence[str], age: int) -> DataFrame:
-    """Rows (id): the events that the query of a firing row sees: of its key, at most `age` old at its time, not dropped."""
-    from eventweir.operators.joins import select_events
+    """Rows (id, name, arrival, keys, _due): the events that the queries of firing rows see (those of its key, at most `age` old at its
+    time), with the time of the first firing that sees them. A frame forward in time, so a firing is not paired with its events."""
+    from eventweir.operators.frames import Frames
 
-    pairs = select_events(df.where(where).select("id", "arrival", *keys), df.where(query & ~F.col("dropped")).select("id", "arrival", "creation", *keys), keys, age)
-    return pairs.select(F.col("id").alias("_seen")).distinct()
+    own = list(dict.fromkeys(["id", "name", "arrival", *keys]))
+    marked = df.select(*own, F.when(where & ~F.col("_gone"), F.col("arrival")).alias("_fires"), F.coalesce(query & there(df), F.lit(False)).alias("_wanted"))
+    marked = marked.where(F.col("_wanted") | F.col("_fires").isNotNull()).withColumn("_turned", -F.col("arrival"))
+    f = Frames(marked, keys, "_turned", age)
+    rows = f.close(f.rows.withColumn("_due", F.min("_fires").over(f.frame())))
+    return rows.where("_wanted and _due is not null").select(*own, "_due")
 
 
 def on_selected(query: Column, keys: Sequence[str], age: int, actions: Sequence[Action]) -> Action:
@@ -159,37 +226,45 @@ def on_selected(query: Column, keys: Sequence[str], age: int, actions: Sequence[
 
     def act(df: DataFrame, where: Column) -> DataFrame:
         own = f"_selected{len(df.columns)}"  # blocks nest
-        seen = _seen(df, where, query, keys, age).withColumn(own, F.lit(True))
-        df = df.join(seen, F.col("id") == F.col("_seen"), "left").drop("_seen")
+        seen = written(_seen(df, where, query, keys, age).select(F.col("id").alias("_seen"), F.lit(True).alias(own)).distinct(), "plan-seen")
+        df = df.join(sized(seen), F.col("id") == F.col("_seen"), "left").drop("_seen").withColumn(own, F.coalesce(own, F.lit(False)))
+        df = df.withColumn("_touched", F.col("_touched") | F.col(own))
         for action in actions:
             df = action(df, F.coalesce(F.col(own), F.lit(False)))
         return df.drop(own)
 
-    return act
+    return selecting(act)
+
+
+def _with(df: DataFrame, made: DataFrame, live: bool) -> DataFrame:
+    """df and the made events, which are written first: df stays a table that is read once."""
+    given = {"local": F.lit(False), "forwarded": F.lit(False), "description": F.lit("-")}
+    given |= {"attributes": F.create_map().cast("map<string,string>"), "references": F.create_map().cast("map<string,array<string>>"), "history": F.array().cast(HISTORY)}
+    made = made.withColumns({k: v for k, v in given.items() if k in df.columns and k not in made.columns})
+    made = written(made.select(*[c for c in made.columns if c in df.columns]), "plan-made")
+    marks = {"dropped": F.lit(False), "live": F.lit(live), "_touched": F.lit(True), "_gone": F.lit(False), "_added": F.lit(True)}
+    return df.unionByName(made.withColumns(marks), allowMissingColumns=True)
 
 
 def _injected(df: DataFrame, made: DataFrame, inject: str) -> DataFrame:
     """df and the made events: as input they trigger later rules, as output they only leave."""
     if inject not in ("input", "output"):
         raise ValueError("inject: input or output")
-    given = {"local": F.lit(False), "forwarded": F.lit(False), "dropped": F.lit(False), "live": F.lit(inject == "input"), "description": F.lit("-")}
-    given |= {"attributes": F.create_map().cast("map<string,string>"), "references": F.create_map().cast("map<string,array<string>>"), "history": F.array().cast(HISTORY)}
-    made = made.withColumns({k: v for k, v in given.items() if k in df.columns and k not in made.columns})
-    return df.unionByName(made.select(*[c for c in made.columns if c in df.columns]), allowMissingColumns=True)
+    return _with(df, made, inject == "input")
 
 
 def create_event(name: str, attributes: dict[str, Column] | None = None, description: Column | str = "-", inject: str = "input") -> Action:
     """A synthetic event for each firing row, at its time."""
     from eventweir.operators import actions
 
-    return lambda df, where: _injected(df, actions.create(df.where(where), name, attributes or {}, description), inject)
+    return selecting(lambda df, where: _injected(df, actions.create(df.where(where), name, attributes or {}, description), inject))
 
 
 def aggregate_selected(name: str, query: Column, keys: Sequence[str], age: int, inject: str = "input") -> Action:
     """An aggregated event for each firing row, its children the events that the query sees."""
     from eventweir.operators import actions
 
-    return lambda df, where: _injected(df, actions.aggregate(df.where(where), df.where(query & ~F.col("dropped")), keys, age, name).drop("trigger_id"), inject)
+    return selecting(lambda df, where: _injected(df, actions.aggregate(df.where(where), df.where(query & there(df)), keys, age, name).drop("trigger_id"), inject))
 
 
 def suppress_selected(query: Column, keys: Sequence[str], age: int) -> Action:
@@ -198,20 +273,32 @@ def suppress_selected(query: Column, keys: Sequence[str], age: int) -> Action:
 
 
 def compress_selected(query: Column, keys: Sequence[str], age: int) -> Action:
-    """The events that the query of firing rows sees become, by name and keys, one compressed event each; the old ones are dropped."""
-    from eventweir.operators import actions
+    """Each firing compresses what its query then sees of each name into one event, and the next one sees that event in place of those it
+    holds, at their earliest time; the old ones are gone. The new event triggers no rule, but queries see it.
+
+    An event is first seen by the first firing at or after its arrival, if that comes within `age`. What a firing sees of earlier
+    firings is one event at most per name, and it is seen as long as its earliest time is: so a group takes events whose first firing
+    comes by its first event's arrival + age, and the next event begins a group. That is an anchored window whose rows are due at their first
+    firing, so the groups of a key with many events are not one task's work.
+    """
+    from eventweir.operators import actions, contexts
 
     def act(df: DataFrame, where: Column) -> DataFrame:
-        seen = _seen(df, where, query & actions.compressible(), keys, age)
-        rows = df.join(seen, F.col("id") == F.col("_seen"), "left_semi")
-        rest = df.join(seen, F.col("id") == F.col("_seen"), "left_anti")
         by = ["name", *[k for k in keys if k != "name"]]
-        full = rows.withColumns({c: F.create_map().cast(t) for c, t in (("references", "map<string,array<string>>"), ("attributes", "map<string,string>")) if c not in df.columns})
-        full = full if "history" in df.columns else full.withColumn("history", F.array().cast(HISTORY))
-        made = actions.compress_events(full, by, F.lit(True)).withColumns({"live": F.lit(True), "dropped": F.lit(False)}).select(*df.columns)
-        return rest.unionByName(made)
-
-    return act
+        rows = written(_seen(df, where, query & actions.compressible(), keys, age), "plan-seen")
+        groups = contexts.anchored(rows, by, age, due="_due").select(F.col("id").alias("_seen"), F.col("win_start").alias("_group"))
+        plain = [c for c in df.columns if not c.startswith(("_", "fired_")) and c not in ("live", "dropped")]
+        full = df.select(*plain).join(groups, F.col("id") == F.col("_seen")).drop("_seen")
+        more = {"references": F.create_map().cast("map<string,array<string>>"), "attributes": F.create_map().cast("map<string,string>"), "history": F.array().cast(HISTORY)}
+        full = written(full.withColumns({c: x for c, x in more.items() if c not in plain}), "plan-members")
+        made, marks = actions.merged_events(full, [*by, "_group"])
+        gone = written(full.join(marks, actions.same_keys([*by, "_group"], "_k_"), "left_semi").select(F.col("id").alias("_seen")), "plan-gone")
+        df = df.join(sized(gone.withColumn("_hit", F.lit(True))), F.col("id") == F.col("_seen"), "left")
+        hit = F.coalesce("_hit", F.lit(False))
+        df = df.withColumns({"_gone": F.col("_gone") | hit, "_touched": F.col("_touched") | hit}).drop("_seen", "_hit")
+        return _with(df, made.drop("_group"), False)
+
+    return selecting(act)
 
 
 class Plugins:

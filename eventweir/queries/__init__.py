@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("filters", "windows", "joins", "reports")
+MODULES = ("filters", "windows", "joins", "selections", "reports")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

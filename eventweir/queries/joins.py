@@ -215,13 +215,65 @@ def rule_selected_events(spark, d):
     return R.Plan([rule]).remaining(event_view(spark, d)).where(q("ERROR")).select("id", "status")
 
 
-@query(
-    f"""{E}, s AS (SELECT DISTINCT x.* FROM e t JOIN e x ON x.host = t.host AND x.arrival BETWEEN t.arrival - {DAY} AND t.arrival WHERE t.name = 'PURCHASE' AND t.type = 'raw' AND t.status = 'active' AND x.name = 'VIEW' AND NOT x.forwarded),
-g AS (SELECT host, count(*) AS rows_, CAST(sum(CASE WHEN type = 'compressed' THEN count ELSE 1 END) AS BIGINT) AS n, min(creation) AS creation FROM s GROUP BY host)
-SELECT host, n, creation FROM g WHERE rows_ > 1 UNION ALL SELECT host, CASE WHEN type = 'compressed' THEN count ELSE 1 END, creation FROM e WHERE name = 'VIEW' AND id NOT IN (SELECT id FROM s JOIN g USING (host) WHERE rows_ > 1)"""
-)
+def firing_sql(trigger: str, names: tuple[str, ...], age: int) -> str:
+    """Common table expressions that follow each firing of a rule that compresses: m has every event a firing sees, with the time g of its
+    group's first event. f: firings in order; x: events with the number of the first firing at or after them; y: what a firing sees that
+    is new; st: the group that is open after each firing."""
+    wanted = ", ".join(f"'{n}'" for n in names)
+    return f"""f AS (SELECT name, host, t, row_number() OVER (PARTITION BY name, host ORDER BY t) AS i FROM (SELECT DISTINCT n_.name, host, arrival AS t FROM e, (SELECT unnest([{wanted}]) AS name) n_ WHERE e.name = '{trigger}' AND type = 'raw' AND status = 'active')),
+x AS (SELECT v.*, (SELECT min(f.i) FROM f WHERE f.host = v.host AND f.name = v.name AND f.t >= v.arrival) AS i FROM e v WHERE v.name IN ({wanted}) AND NOT v.forwarded),
+y AS (SELECT x.name, x.host, x.i, min(x.arrival) AS first FROM x JOIN f ON f.name = x.name AND f.host = x.host AND f.i = x.i WHERE x.arrival + {age} >= f.t GROUP BY ALL),
+st(name, host, i, t, g) AS (SELECT f.name, f.host, f.i, f.t, y.first FROM f LEFT JOIN y ON y.name = f.name AND y.host = f.host AND y.i = f.i WHERE f.i = 1
+  UNION ALL SELECT f.name, f.host, f.i, f.t, CASE WHEN st.g + {age} >= f.t THEN st.g ELSE y.first END FROM st JOIN f ON f.name = st.name AND f.host = st.host AND f.i = st.i + 1 LEFT JOIN y ON y.name = f.name AND y.host = f.host AND y.i = f.i),
+m AS (SELECT x.*, st.g FROM x JOIN st ON st.name = x.name AND st.host = x.host AND st.i = x.i WHERE x.arrival + {age} >= st.t),
+g AS (SELECT name, host, g, count(*) AS rows_, CAST(sum(CASE WHEN type = 'compressed' THEN count ELSE 1 END) AS BIGINT) AS n, min(creation) AS creation, min(arrival) AS arrival, CASE WHEN count(DISTINCT status) = 1 THEN min(status) ELSE 'active' END AS status FROM m GROUP BY name, host, g),
+rest AS (SELECT * FROM e WHERE name IN ({wanted}) AND id NOT IN (SELECT m.id FROM m JOIN g ON g.name = m.name AND g.host = m.host AND g.g = m.g WHERE rows_ > 1))"""
+
+
+@query(f"{E}, {firing_sql('PURCHASE', ('VIEW',), DAY)} SELECT host, n, creation FROM g WHERE rows_ > 1 UNION ALL SELECT host, CASE WHEN type = 'compressed' THEN count ELSE 1 END, creation FROM rest")
 def rule_compress(spark, d):
-    """A rule compresses the events that its query sees, per host."""
+    """A rule compresses the events that its query sees, per host, firing by firing."""
     rule = R.Rule("web", "purchases", [R.Trigger("event", "PURCHASE", ("raw",))], None, [R.compress_selected(q("VIEW"), ["host"], DAY)])
     out = R.Plan([rule]).remaining(event_view(spark, d)).where(q("VIEW"))
     return out.select("host", schema.effective_count().alias("n"), "creation")
+
+
+@query(f"{E}, {firing_sql('ERROR', ('CLICK', 'VIEW'), 3 * DAY)} SELECT name, host, n, creation, arrival, status FROM g WHERE rows_ > 1 UNION ALL SELECT name, host, CASE WHEN type = 'compressed' THEN count ELSE 1 END, creation, arrival, status FROM rest")
+def rule_compress_chain(spark, d):
+    """Firings that see what earlier ones have compressed: groups of a name are chains of firings, some long, some cut by the age."""
+    rule = R.Rule("web", "errors", [R.Trigger("event", "ERROR", ("raw",))], None, [R.compress_selected(q("VIEW") | q("CLICK"), ["host"], 3 * DAY)])
+    out = R.Plan([rule]).remaining(event_view(spark, d)).where(q("VIEW") | q("CLICK"))
+    return out.select("name", "host", schema.effective_count().alias("n"), "creation", "arrival", "status")
+
+
+NAMES = ("ERROR", "SIGNUP", "PURCHASE", "CLICK", "VIEW")
+HOUR = 3600
+
+
+def ten() -> R.Plan:
+    """Ten rules, nine of which act on events other than the one that triggers them, the last one on new ones."""
+    made = []
+    for i in range(9):
+        wanted, age = q(NAMES[(i + 1 + i % 2) % 5]), (i + 2) * 4 * HOUR
+        act = R.on_selected(wanted, ["host"], age, [R.set_attribute(f"t{i}", "1")]) if i % 2 else R.suppress_selected(wanted, ["host"], age)
+        made.append(R.Rule("ten", f"rule {i}", [R.Trigger("event", NAMES[i % 5], ("raw",))], P.event_attribute("k", str(5 * i), "ge"), [act], order=i))
+    return R.Plan([*made, R.Rule("ten", "rule 9", [R.Trigger("event", "VIEW", ("raw",))], None, [R.create_event("CE:TEN")], order=9)])
+
+
+def ten_sql() -> str:
+    """Stage by stage: s<i> is the table that rule i finds."""
+    stages = ["s0 AS MATERIALIZED (SELECT id, name, host, type, arrival, status, CAST(k AS BIGINT) AS kn, '' AS tags, status = 'active' AS live FROM e)"]
+    for i in range(9):
+        hit = f"(x.name = '{NAMES[(i + 1 + i % 2) % 5]}' AND EXISTS (SELECT 1 FROM s{i} t WHERE t.live AND t.type = 'raw' AND t.name = '{NAMES[i % 5]}' AND t.kn >= {5 * i} AND t.host = x.host AND x.arrival BETWEEN t.arrival - {(i + 2) * 4 * HOUR} AND t.arrival))"
+        status = "status" if i % 2 else f"CASE WHEN {hit} THEN 'inactive' ELSE status END"
+        tags = f"CASE WHEN {hit} THEN tags || 't{i}' ELSE tags END" if i % 2 else "tags"
+        stages.append(f"s{i + 1} AS MATERIALIZED (SELECT * REPLACE ({status} AS status, {tags} AS tags, live AND {status} = 'active' AS live) FROM s{i} x)")
+    return ", ".join(stages)
+
+
+@query(f"{E}, {ten_sql()} SELECT id, name, status, tags FROM s9 UNION ALL SELECT sha256('CE:TEN/' || id || '/create'), 'CE:TEN', 'active', '' FROM s9 WHERE live AND name = 'VIEW' AND type = 'raw'")
+def rule_plan_ten(spark, d):
+    """Each rule sees what the ones before it have left: rows made inactive trigger no more."""
+    out = ten().remaining(event_view(spark, d))
+    tags = F.concat(*[F.when(F.map_contains_key("attributes", f"t{i}"), f"t{i}").otherwise("") for i in range(1, 9, 2)])
+    return out.select("id", "name", "status", tags.alias("tags"))

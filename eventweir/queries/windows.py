@@ -164,6 +164,39 @@ def pattern_two_axes(spark, d):
     return rows.where(q("PURCHASE")).select("id", "symbols", "matched")
 
 
+SYMBOLS = f"""string_agg({SYMBOL.replace("name", "x.name")}, '' ORDER BY x.{{0}}, {NUMBER.replace("name", "x.name")}, x.id)"""
+
+
+@query(f"""{E} SELECT t.id, regexp_matches({SYMBOLS.format("arrival")}, 'e[cv]+(s|p)') AS matched FROM e t JOIN e x ON x.host = t.host AND x.arrival BETWEEN t.arrival - {DAY} AND t.arrival GROUP BY t.id""")
+def pattern_dfa(spark, d):
+    """Every row's frame against a pattern, without a row's string."""
+    return C.pattern_dfa(event_view(spark, d), [(s, q(n)) for s, n in ALPHABET], "e[cv]+(s|p)", ["host"], DAY).select("id", "matched")
+
+
+@query(f"""{E} SELECT t.id, coalesce(regexp_matches({SYMBOLS.format("creation")}, 'v.?c$'), false) AS matched FROM e t LEFT JOIN e x ON {AXES.format(900)} GROUP BY t.id""")
+def pattern_dfa_two_axes(spark, d):
+    return C.pattern_dfa(event_view(spark, d), [(s, q(n)) for s, n in ALPHABET], "v.?c$", ["status"], 900, sort="creation", source="creation").select("id", "matched")
+
+
+@query(f"{E} SELECT t.id, count(DISTINCT x.k) AS n FROM e t JOIN e x ON x.host = t.host AND x.arrival BETWEEN t.arrival - {3 * DAY} AND t.arrival AND x.name IN ('VIEW', 'CLICK') GROUP BY t.id UNION ALL SELECT t.id, 0 FROM e t WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.host = t.host AND x.arrival BETWEEN t.arrival - {3 * DAY} AND t.arrival AND x.name IN ('VIEW', 'CLICK'))")
+def count_unique_sliding(spark, d):
+    """How many distinct k the views and clicks of each row's frame have."""
+    rows = C.count_unique_sliding(event_view(spark, d), q("VIEW") | q("CLICK"), P.attribute("k"), ["host"], 3 * DAY)
+    return rows.select("id", "n")
+
+
+@query(f"""{E} SELECT t.id, coalesce(max(CASE WHEN x.name = 'ERROR' THEN x.creation END) < min(CASE WHEN x.name = 'SIGNUP' THEN x.creation END), false) AS hit FROM e t LEFT JOIN e x ON {AXES.format(900)} GROUP BY t.id""")
+def sequence_all_two_axes(spark, d):
+    rows = C.sequence_two_axes(event_view(spark, d), [q("ERROR"), q("SIGNUP")], ["status"], 900, "all", source="creation")
+    return rows.select("id", "hit")
+
+
+@query(f"""{E} SELECT t.id, coalesce(count(CASE WHEN x.name = 'ERROR' THEN 1 END) > 0 AND count(CASE WHEN x.name = 'SIGNUP' THEN 1 END) > 0 AND max(x.creation) - min(x.creation) <= 600, false) AS hit FROM e t LEFT JOIN e x ON {AXES.format(1800)} AND x.name IN ('ERROR', 'SIGNUP') GROUP BY t.id""")
+def within_all_two_axes(spark, d):
+    rows = C.within_two_axes(event_view(spark, d), [q("ERROR"), q("SIGNUP")], ["status"], 1800, 600, "all", source="creation")
+    return rows.select("id", "hit")
+
+
 def anchor_sql(keys: str, timeout: int, where: str = "true") -> str:
     """Windows (keys.., s) by recursion: the next one begins at the first event after s + timeout."""
     same = " AND ".join(f"x.{k} = a.{k}" for k in keys.split(", "))
