@@ -27,6 +27,13 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table dealt out anew if it lies in fewer files than there are cores (the listing of files tells): a small table in one file may
+    be one task's work else. A table of many files is read as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 _held: dict = {}
 
 

@@ -8,9 +8,13 @@
 3. Each page is extracted again from the elements on its host's path. A page that has none, or whose host has no winner, falls back
    to its own best container.
 
-Elements that are boilerplate by tag, role or being hidden are left out. Classes and ids are weaker evidence: an element that has a
-word such as "share" or "comments" in one is left out unless it holds most of the page's running text (and no article or main element
-stands outside it) or lies on the host's path.
+Elements that are boilerplate by tag, role or being hidden are left out. Classes and ids are weaker evidence, and so is being a form:
+
+- A word such as "share" is ambiguous. Inside an article or main element, an element with one stays if it holds most of the running text
+  there (headings are not running text); elsewhere, if no such text is beyond doubt and it holds most of the page's. Elements
+  on one path, such as the pieces of a page builder, are also weighed together. An element on the host's path stays.
+- A word such as "comments" names what is never the article, however long it is. Such an element stays only if it wraps an article,
+  a main element or a first heading, or if next to nothing stands outside it.
 
 A page is read in one pass; its cost is linear in its length whatever it holds, and so is memory.
 """
@@ -33,13 +37,17 @@ from eventweir.llm.common import chunks, sized, with_columns, written
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-BOILERPLATE_TAGS = frozenset("nav header footer aside form button select option dialog menu head svg canvas audio video object script style textarea title noscript template iframe noembed noframes xmp math input datalist fieldset".split())
+BOILERPLATE_TAGS = frozenset("nav header footer aside button select option dialog menu head svg canvas audio video object script style textarea title noscript template iframe noembed noframes xmp math input datalist".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer "
     "foot header hidden masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion "
     "related recommended share sharing sidebar social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Of these, names of what is never the article; the others are ambiguous.
+NEVER_WORDS = frozenset("comment comments disqus cookie cookies consent newsletter".split())
+#: Elements that may hold a page's controls or the whole page.
+WRAPPERS = frozenset("form fieldset".split())
 #: Closing rules: opening one of these ends an open paragraph; and which siblings end each other.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -50,8 +58,13 @@ HEADINGS_AND_PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: Elements that siblings do not end each other across.
 SCOPES = frozenset("ul ol dl table tbody thead select article body div main section".split())
 
-#: Share of a page's running text that a step down keeps, and that an element of doubtful name must hold to stay.
+#: Share of a page's running text that a step down keeps and elements of doubtful name on one path must hold to stay, and the share that
+#: one of them must hold.
 KEPT, TRUSTED = 0.9, 0.75
+#: Running text, in characters, that stands for an article of its own.
+ARTICLE = 250
+AMBIGUOUS, NEVER = 1, 2
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _BEGIN = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -63,13 +76,13 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def described(tag: str, raw: str) -> tuple[str, bool, bool]:
-    """The generalised name of an element, whether it is boilerplate for certain, and whether its class or id makes it doubtful."""
+def described(tag: str, raw: str) -> tuple[str, bool, int]:
+    """The generalised name of an element, whether it is boilerplate for certain, and how its name makes it doubtful (0: not)."""
     return _described(tag, raw) if len(raw) < 256 else _described.__wrapped__(tag, raw)
 
 
 @lru_cache(maxsize=20_000)
-def _described(tag: str, raw: str) -> tuple[str, bool, bool]:
+def _described(tag: str, raw: str) -> tuple[str, bool, int]:
     skip = tag in BOILERPLATE_TAGS
     found: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(raw):
@@ -78,7 +91,10 @@ def _described(tag: str, raw: str) -> tuple[str, bool, bool]:
     skip |= found.get("role", "").lower() in BOILERPLATE_ROLES or found.get("aria-hidden", "").lower() == "true" or "hidden" in found
     skip |= bool(_HIDDEN.search(found.get("style", "")))
     names = [*classes, found.get("id", "")]
-    doubtful = tag not in ("html", "body", "main", "article") and any(w in BOILERPLATE_WORDS for n in names for w in _WORD.findall(_CASE.sub(" ", n).lower()))
+    words = {w for n in names for w in _WORD.findall(_CASE.sub(" ", n).lower())}
+    doubtful = NEVER if words & NEVER_WORDS else AMBIGUOUS if words & BOILERPLATE_WORDS or tag in WRAPPERS else 0
+    if tag in ("html", "body", "main", "article"):
+        doubtful = 0
     return ".".join([tag, *sorted({_DIGITS.sub("#", c).replace("/", "_") for c in classes})]), skip, doubtful
 
 
@@ -100,8 +116,9 @@ class Page:
     def __init__(self, html: str):
         self.names, self.parent = [""], [-1]  # of paths
         self.child: dict[tuple[int, str], int] = {}
-        self.doubt_parent, self.doubt_path = [-1], [0]  # of doubtful elements; 0 is none
+        self.doubt_parent, self.doubt_path, self.doubt_kind = [-1], [0], [0]  # of doubtful elements; 0 is none
         self.blocks: list[tuple[int, int, int, bool, str]] = []  # path, doubtful element, weight, heading or paragraph, text
+        self.tags: list[str] = []  # of the blocks
         self._parts: list[str] = []
         self._linked = 0
         self._at = (0, 0, "")
@@ -119,6 +136,7 @@ class Page:
                 path, doubt, tag = self._at
                 linked = min(self._linked, len(text))
                 self.blocks.append((path, doubt, len(text) - linked + linked // 8, tag in HEADINGS_AND_PARAGRAPHS and linked < len(text), text))
+                self.tags.append(tag)
             self._parts.clear()
             self._linked = 0
 
@@ -195,6 +213,7 @@ class Page:
             doubt = len(self.doubt_parent)
             self.doubt_parent.append(up.doubt)
             self.doubt_path.append(path)
+            self.doubt_kind.append(doubtful)
         if not (raw.endswith("/") and tag in ("svg", "math")):
             self._push(Open(tag, path, skip or up.skip, up.link or tag == "a", doubt, inline))
 
@@ -264,11 +283,6 @@ class Page:
 
     def trusted(self, host_path: int | None = None) -> list[bool]:
         """By doubtful element: whether its text stays."""
-        weight = [0] * len(self.doubt_parent)
-        for _, doubt, n, _, _ in self.blocks:
-            weight[doubt] += n
-        for k in range(len(weight) - 1, 0, -1):
-            weight[max(self.doubt_parent[k], 0)] += weight[k]
         above = set()
         while host_path is not None and host_path > 0:
             above.add(host_path)
@@ -276,10 +290,52 @@ class Page:
         semantic = [False] * len(self.names)
         for k in range(1, len(semantic)):
             semantic[k] = semantic[self.parent[k]] or self.names[k].partition(".")[0] in ("article", "main")
-        told = any(semantic[path] and not doubt for path, doubt, *_ in self.blocks)  # what the page marks as main leaves no doubt
-        out = [True] * len(weight)
-        for k in range(1, len(weight)):
-            out[k] = out[max(self.doubt_parent[k], 0)] and (weight[k] >= TRUSTED * weight[0] and not told or self.doubt_path[k] in above)
+        n, up = len(self.doubt_parent), [max(k, 0) for k in self.doubt_parent]
+
+        def summed(per_block) -> list[int]:
+            total = [0] * n
+            for (_, doubt, *_), x in zip(self.blocks, per_block, strict=True):
+                total[doubt] += x
+            for k in range(n - 1, 0, -1):
+                total[up[k]] += total[k]
+            return total
+
+        out = [True] * n
+        if NEVER in self.doubt_kind:
+            weight = summed(b[2] for b in self.blocks)
+            marked = summed(int(b[3]) for b in self.blocks)
+            main = summed(int(semantic[b[0]] or tag == "h1") for b, tag in zip(self.blocks, self.tags, strict=True))
+            never = [False] * n  # is, or lies in, such an element
+            for k in range(1, n):
+                never[k] = never[up[k]] or self.doubt_kind[k] == NEVER
+            tops = [k for k in range(1, n) if never[k] and not never[up[k]]]
+            outside, marks = weight[0] - sum(weight[k] for k in tops), marked[0] - sum(marked[k] for k in tops)
+            alone = outside < min(ARTICLE, (1 - KEPT) * weight[0]) and not marks
+            for k in range(1, n):
+                if self.doubt_kind[k] == NEVER:
+                    out[k] = out[up[k]] and not semantic[self.parent[self.doubt_path[k]]] and bool(main[k] and main[k] == main[0] or alone and not never[up[k]] or self.doubt_path[k] in above)
+                else:
+                    out[k] = out[up[k]]
+        kept = [b[2] if out[b[1]] else 0 for b in self.blocks]
+        weight = summed(kept)
+        running = [x if semantic[b[0]] and tag not in HEADINGS else 0 for b, x, tag in zip(self.blocks, kept, self.tags, strict=True)]
+        region = summed(running)  # running text of main elements
+        clear = [0] * n  # that part of it which hangs on no other doubt
+        for b, x in zip(self.blocks, running, strict=True):
+            clear[b[1]] += x
+        by_path: dict[int, list[int]] = {}
+        for k in range(1, n):
+            both = by_path.setdefault(self.doubt_path[k], [0, 0])
+            both[0] += weight[k]
+            both[1] += region[k]
+        for k in range(1, n):
+            path = self.doubt_path[k]
+            if out[k] and self.doubt_kind[k] == AMBIGUOUS and path not in above:
+                inside = semantic[path]
+                own, whole = (region[k], region[up[k]]) if inside else (weight[k], weight[0])
+                out[k] = (inside or not clear[up[k]]) and (own >= TRUSTED * whole or by_path[path][inside] >= KEPT * whole)
+            out[k] = out[k] and out[up[k]]
+            clear[k] += clear[up[k]]
         return out
 
     def best(self) -> int | None:

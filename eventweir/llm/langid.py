@@ -41,8 +41,8 @@ ACCURACY = 100_000
 NOISE = 7.5
 #: Letters with a number of their own; rarer ones share OTHER. 0 stands before a word, END after it.
 LETTERS, END, OTHER = 252, 1, 2
-#: Words whose scores a worker remembers; beyond it, it starts again.
-REMEMBERED = 300_000
+#: Words whose scores a worker remembers; beyond it, it starts again. Longer ones than LONGEST letters are not remembered.
+REMEMBERED, LONGEST = 300_000, 64
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -87,18 +87,27 @@ class Model:
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + begin[word]
         return seq[at[:, None] + np.arange(ORDER)], word
 
-    def word_bits(self, words: list[str]) -> np.ndarray:
-        """(words, languages): the bits that each model needs for each word with its end."""
-        grams, word = self.codes(words)
+    def symbol_bits(self, grams: np.ndarray) -> np.ndarray:
+        """(symbols, languages): the bits that each model needs for the last symbol of each gram."""
         p = np.full((len(grams), len(self.languages)), 1.0 / (LETTERS + 3))
         for k in range(1, ORDER + 1):
             context = packed(grams[:, ORDER - k : ORDER - 1])
             gram = (context << np.uint64(8)) | grams[:, ORDER - 1]
             p = found(self.contexts[k - 1], self.weight[k - 1], hashed(context), 1.0) * p + found(self.keys[k - 1], self.share[k - 1], hashed(gram), 0.0)
+        return -np.log2(p)
+
+    def word_bits(self, words: list[str]) -> np.ndarray:
+        """(words, languages): the bits that each model needs for each word with its end."""
+        grams, word = self.codes(words)
         out = np.zeros((len(words), len(self.languages)))
-        np.add.at(out, word, -np.log2(p))
+        np.add.at(out, word, self.symbol_bits(grams))
         return out
 
+    def long_bits(self, word: str) -> np.ndarray:
+        """The same for one word of any length."""
+        grams = self.codes([word])[0]
+        return sum(self.symbol_bits(grams[a : a + 20_000]).sum(0) for a in range(0, len(grams), 20_000))
+
 
 def packed(codes: np.ndarray) -> np.ndarray:
     out = np.ones(len(codes), np.uint64)  # a leading one tells lengths apart
@@ -197,23 +206,29 @@ class Scorer:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.bits = np.zeros((0, len(self.model.languages)))
+        self.bits = np.zeros((1 << 12, len(self.model.languages)))
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) bits per symbol, and the number of symbols; 0 symbols: no letter."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        known, fresh, rows = self.known, [], []
+        known, fresh, rows, long = self.known, [], [], []
         for text in texts:
             counted = Counter(words_of(text or ""))
+            # a run of letters may be a whole sentence of a script without spaces: such runs are not remembered
+            apart = [w for w in counted if len(w) > LONGEST]
+            long.append([(w, counted.pop(w)) for w in apart])
             new = [w for w in counted if w not in known]
             at = len(known)
             known.update(zip(new, range(at, at + len(new)), strict=True))
             fresh += new
             rows.append(counted)
+        begin = len(known) - len(fresh)
+        while len(known) > len(self.bits):
+            self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
         for at in range(0, len(fresh) if self.model.languages else 0, 20_000):
-            more = self.model.word_bits(fresh[at : at + 20_000])
-            self.bits = np.concatenate([self.bits, more])
+            some = fresh[at : at + 20_000]
+            self.bits[begin + at : begin + at + len(some)] = self.model.word_bits(some)
         out, symbols = np.zeros((len(texts), len(self.model.languages))), np.zeros(len(texts), np.int64)
         for k, counted in enumerate(rows):
             if counted:
@@ -222,7 +237,13 @@ class Scorer:
                 symbols[k] = sum(map(len, counted)) if times.max() == 1 else sum(n * len(w) for w, n in counted.items())
                 symbols[k] += times.sum()
                 if self.model.languages:
-                    out[k] = times @ self.bits[at] / symbols[k]
+                    out[k] = times @ self.bits[at]
+            for w, n in long[k]:
+                symbols[k] += n * (len(w) + 1)
+                if self.model.languages:
+                    out[k] += n * self.model.long_bits(w)
+            if symbols[k]:
+                out[k] /= symbols[k]
         return out, symbols
 
 

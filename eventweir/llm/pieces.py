@@ -3,23 +3,32 @@
 Both vocabularies cut a text before their merges work, and never join what a single space or line break separates. So a text whose
 white space is single spaces and line breaks between words is the sequence of its words. A word of Latin letters, with or without
 punctuation after it, is cut into these two pieces, and the library's model is asked for each distinct piece; other new words are
-encoded together. Pieces and words are remembered up to a limit. Every other text is encoded as it is. All of it gives the ids that
-the library gives for the text.
+encoded together. Pieces and words are remembered up to a limit of bytes. Every other text is encoded as it is, so is one with a very long
+word: what stands between white space may be a sentence of a script without spaces, or a picture in base64, and is not worth remembering.
+All of it gives the ids that the library gives for the text. Texts are taken up to a number of characters at a time, so what a worker
+holds is bounded by these limits and its longest text.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import batched, chain, groupby, pairwise
 
 import numpy as np
 
 from eventweir.llm.common import held, ragged
 
-#: Words that a worker remembers; beyond it, it starts again.
-REMEMBERED = 800_000
+#: Bytes, about, that a worker spends on remembered words and their ids; beyond it, it starts again. Words longer than LONGEST characters
+#: are not remembered.
+REMEMBERED, LONGEST = 192 << 20, 64
+#: What a word costs beside its characters and ids: its entry, number, place and length.
+_ENTRY = 120
+#: Characters that are encoded at once.
+_BLOCK = 1 << 22
 #: Words that are encoded together: short strings are quicker.
 _TOGETHER = 32
 # letters of Latin-1, then ASCII punctuation but for the apostrophe, which opens contractions
@@ -98,11 +107,20 @@ class Pieces:
     def forget(self) -> None:
         self.known, self.words = Known(), Store()
         self.parts, self.pieces = Known(), Store()
+        self.spent = 0
+
+    def _note(self, fresh: list[str]) -> None:
+        self.spent += sum(map(sys.getsizeof, fresh)) + _ENTRY * len(fresh)
+
+    def held_bytes(self) -> int:
+        """What is remembered, about."""
+        return self.spent + 4 * (self.words.used + self.pieces.used)
 
     def _learn(self) -> None:
         """Encodes the fresh words."""
         fresh, part, space = self.known.fresh, self.parts.__getitem__, " " if self.byte_level else ""
         first = len(self.known) - len(fresh)
+        self._note(fresh)
         cut = list(map(_SIMPLE.fullmatch, fresh))
         self.known.fresh = []
         if found := [m.groups() for m in cut if m]:
@@ -120,6 +138,7 @@ class Pieces:
         """Asks the model for the fresh pieces, each of which the library would not cut any further."""
         ask, shown, space = self.own.model.tokenize, self.shown, self.shown[32]
         fresh, self.parts.fresh = self.parts.fresh, []
+        self._note(fresh)
         written = [x.translate(shown) if x == "\n" or not x.isascii() else space + x[1:] if x[:1] == " " else x for x in fresh]
         found = [[t.id for t in ask(x)] if x else [] for x in written]
         self.pieces.put(np.arange(len(self.parts) - len(fresh), len(self.parts)), np.array(list(chain.from_iterable(found)), np.int32), np.array(list(map(len, found))))
@@ -143,7 +162,24 @@ class Pieces:
 
     def encode_flat(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other (int32), end_id after each if it is given; and how many each text has."""
-        if len(self.known) > REMEMBERED:
+        if len(texts) <= 1 or sum(map(len, filter(None, texts))) <= _BLOCK:
+            return self._block(texts, end_id)
+        ends = np.cumsum([len(t or "") for t in texts]) // _BLOCK
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+        made = [self._block(texts[a:b], end_id) for a, b in pairwise(cuts) if a < b]
+        return np.concatenate([ids for ids, _ in made]), np.concatenate([n for _, n in made])
+
+    def _whole(self, texts: list[str]) -> Iterator[list[int]]:
+        """Texts as they are; long ones by themselves, since the library notes much about each id."""
+        for many, some in groupby(texts, lambda t: len(t) < 1 << 14):
+            if many:
+                for few in batched(some, _TOGETHER):
+                    yield from (x.ids for x in self.own.encode_batch(list(few), add_special_tokens=False))
+            else:
+                yield from (self.own.encode(t, add_special_tokens=False).ids for t in some)
+
+    def _block(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        if self.held_bytes() > REMEMBERED:
             self.forget()
         number, rows, numbers, whole = self.known.__getitem__, [], [], []
         ending = end_id is not None
@@ -165,6 +201,9 @@ class Pieces:
                 whole.append(k)
                 continue
             words = (("\n" + text).replace("\n", " \n")[1:] if self.byte_level else plain).split(" ")
+            if len(max(words, key=len)) > LONGEST:
+                whole.append(k)
+                continue
             at = np.empty(len(words) + ending, np.int64)
             at[: len(words)] = np.fromiter(map(number, words), np.int64, len(words))
             if ending:
@@ -187,7 +226,7 @@ class Pieces:
             lengths[rows] = np.add.reduceat(size, first)
         if not whole:
             return ids, lengths
-        own = [np.array([*x.ids, *([end_id] if ending else [])], np.int32) for x in self.own.encode_batch([texts[k] for k in whole], add_special_tokens=False)]
+        own = [np.array([*x, *([end_id] if ending else [])], np.int32) for x in self._whole([texts[k] for k in whole])]
         lengths[whole] = [len(x) for x in own]
         out = np.empty(int(lengths.sum()), np.int32)
         begin = np.cumsum(lengths) - lengths

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweir.llm import chat_format, embed_dedup, exact_dedup, html_extract, langid, line_dedup, mixing, packing, prefix_trie, quality, simhash_dedup, token_file, turn_repair
-from eventweir.llm.common import tables
+from eventweir.llm.common import spread, tables
 
 
 def vocabulary(name: str) -> str:
@@ -19,15 +19,15 @@ def vocabulary(name: str) -> str:
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_file.round_trip(tables(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return token_file.round_trip(spread(tables(spark, sf_dir, "documents")), vocabulary("byte_bpe_50k.json"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_repeated_lines(tables(spark, sf_dir, "documents"))
+    return line_dedup.drop_repeated_lines(spread(tables(spark, sf_dir, "documents")))
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables(spark, sf_dir, "documents")
+    docs = spread(tables(spark, sf_dir, "documents"))
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     return langid.judge(docs.select("doc_id", (fold == 1).alias("held_out"), "text", "lang"), ~F.col("held_out"), ["doc_id", "held_out"])
 
@@ -41,7 +41,7 @@ def op5_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_extract.extract(tables(spark, sf_dir, "pages"))
+    found = html_extract.extract(spread(tables(spark, sf_dir, "pages")))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -53,13 +53,13 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables(spark, sf_dir, "documents")
+    docs = spread(tables(spark, sf_dir, "documents"))
     ratio = quality.train(docs, tables(spark, sf_dir, "labels"), F.col("quality") == 1, F.col("quality") == 0)
     return quality.judge(docs.select("doc_id", "text"), ratio).drop("text")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.near_duplicates(tables(spark, sf_dir, "documents"))
+    return simhash_dedup.near_duplicates(spread(tables(spark, sf_dir, "documents")))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,17 +100,19 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
             ids, n = encoder.encode_flat([x or "" for x in batch.column("text").to_pylist()], end_id)
             counts += np.bincount(ids, minlength=size)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n), binaries(ids.astype(width).view(np.uint8), np.cumsum(n) * width.itemsize), pa.nulls(len(n), pa.binary())], TOKENS.names)
-        if counts.any():  # the task's counts of ids are a row of their own
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, TOKENS.field(k).type) for k in range(4)], pa.array([counts.tobytes()], pa.binary())], TOKENS.names)
+        if counts.any():  # the ids that occur in the task's texts and their counts are a row of their own
+            ids = np.flatnonzero(counts)
+            found = np.zeros(len(ids), COUNTS)
+            found["id"], found["n"] = ids, counts[ids]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, TOKENS.field(k).type) for k in range(4)], pa.array([found.tobytes()], pa.binary())], TOKENS.names)
 
     table = written(rows.mapInArrow(tokens, "doc_id long, tie long, n_tokens long, ids binary, counts binary"), "tokens")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                counts = np.frombuffer(raw, np.int64)
-                ids = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids])], ["id", "n"])
+                counts = np.frombuffer(raw, COUNTS)
+                yield pa.RecordBatch.from_arrays([pa.array(counts["id"].astype(np.int64)), pa.array(counts["n"].copy())], ["id", "n"])
 
     # one row per token of the vocabulary, so its size bounds what comes to the driver
     ranks = table.where("counts is not null").select("counts").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
@@ -138,6 +140,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
     spark.createDataFrame(parts if len(parts) else [], "part int, n long, before long").coalesce(1).write.parquet(f"{path}/parts")
 
 
+#: An id and how often it occurs.
+COUNTS = np.dtype([("id", "<u4"), ("n", "<i8")])
 TOKENS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 DOCUMENTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])
 

@@ -494,7 +494,46 @@ def test_html_templates(spark):
     assert {r["host"]: r["path"] for r in html_extract.votes(df).collect()}["tie"] == "/body/div.b"
 
 
-@pytest.mark.parametrize("piece", ["<a", "<div>", "<", "</", '<p title="a>x</p>', '<a x=">"', "<div></span>", "<b><i></b>", "<!--", "<script>", "<i><p></p>", "<ul><b><li>", "&amp", "<td>x"])
+DOUBTFUL = {  # pages whose article stands under a doubtful name, or beside more comments than article: what stands around "{}", and what comes out before it
+    "story in main": ("<body><main><h1>Title here</h1><div class='related-story'>{}</div></main></body>", "Title here "),
+    "piece of a builder": ("<body><article><h1>Title</h1><div class='elementor-widget-container'>{}</div></article></body>", "Title "),
+    "class about a subject": ("<body><article><h1>Title</h1><p>Lead.</p><div class='body social-science'>{}</div></article></body>", "Title Lead. "),
+    "long comments": ("<body><div class='post'>{}</div><div class='comments'>" + "<p>A reader who goes on about it.</p>" * 200 + "</div></body>", ""),
+    "long comments in main": ("<body><main><div class='post'>{}</div><div class='comment-list'>" + "<p>A reader who goes on about it.</p>" * 200 + "</div></main></body>", ""),
+    "comments inside widgets": ("<body><div class='content-widget'>{}</div><div id='comments'>" + "<div class='widget'>A reader who goes on about it.</div>" * 200 + "</div></body>", ""),
+    "class that says comments are open": ("<body><div class='post comments-open'><h1>Title</h1>{}</div><div>Copyright</div></body>", "Title "),
+    "class that says so, alone": ("<body><div class='post comments-open'>{}</div><div>Copyright</div></body>", ""),
+    "page-wide form": ("<body><form id=aspnetForm><input type=hidden><div class=header>Site</div><div id=content>{}</div><div class=sidebar>Side</div></form></body>", ""),
+    "article in a page-wide form": ("<body><form id=aspnetForm><nav>Menu</nav><article><h1>Title</h1>{}<div class=share>Share this</div></article></form></body>", "Title "),
+    "fieldset": ("<body><fieldset><button>Go</button>{}</fieldset></body>", ""),
+    "newsletter and search form": ("<body><article><h1>Title</h1><div class=newsletter>Get our letter</div>{}<form>Search <input></form></article></body>", "Title "),
+}
+
+
+@pytest.mark.parametrize("alone", [True, False], ids=["a page a host", "many pages a host"])
+@pytest.mark.parametrize("body", ["many", "one", "plain"])
+def test_html_doubtful_names(spark, alone, body):
+    """The article comes out whole, whatever the class of what it stands in, and comments do not, however long."""
+    rows, wanted = [], {}
+    for host, (template, before) in enumerate(DOUBTFUL.values()):
+        for n in range(1 if alone else 8):
+            said = [f"This is sentence {k} of the text on page {n} and it says things." for k in range(12 + n)]
+            shown = "".join(f"<p>{x}</p>" for x in said) if body == "many" else f"<p>{' '.join(said)}</p>" if body == "one" else " ".join(said)
+            wanted[len(rows)] = before + " ".join(said)
+            rows.append((len(rows), f"http://h{host}.example/{n}", template.replace("{}", shown)))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    names = list(DOUBTFUL)
+    wrong = {names[int(rows[k][1][8:].split(".")[0])]: (got[k][:90], len(got[k]), len(w)) for k, w in wanted.items() if got[k] != w}
+    assert not wrong
+
+
+def test_html_pieces_of_a_builder_are_weighed_together():
+    pieces = "".join(f"<div class='elementor-widget'><p>Paragraph {k} is a piece of its own, and no piece is most of it.</p></div>" for k in range(8))
+    html = f"<body><main><h1>Title</h1>{pieces}<div class='related'><p>Another story.</p></div></main></body>"
+    assert html_extract.main_text(html, html_extract.best_path(html)) == "Title " + " ".join(f"Paragraph {k} is a piece of its own, and no piece is most of it." for k in range(8))
+
+
+@pytest.mark.parametrize("piece", ["<a", "<div>", "<", "</", '<p title="a>x</p>', '<a x=">"', "<div></span>", "<b><i></b>", "<!--", "<script>", "<i><p></p>", "<ul><b><li>", "&amp", "<td>x", "<div class=comments>x", "<form><p>x", "<div class=share>x</div>"])
 def test_hostile_html_is_linear(piece):
     """Twice the page, about twice the time: a page of a quarter of a megabyte takes seconds at most."""
     import time

@@ -109,5 +109,5 @@ def test_whole_run(spark, stages, empty, tmp_path):
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {n[: n.index("_") + 1] for n in names if n.startswith("op") and n[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {n[: n.index("_") + 1] for n in names if n.startswith("op") and n[2].isdigit()}
     assert "pipeline" in names and set(entry.oracle_sql()) <= names
