@@ -50,6 +50,10 @@ class State:
     def answer(self):
         raise NotImplementedError
 
+    def matters(self, row: tuple) -> bool:
+        """Whether later answers may depend on the row."""
+        return all(x is not None for x in row)
+
 
 def swept(df: DataFrame, keys: Sequence[str], age: int, columns: Sequence[Column], make: Callable[[], State], name: str, source: str = "arrival", skew: int = 0, order: Sequence[str] = ()) -> DataFrame:
     """df with the state's answer for each row, a boolean. columns: what add() gets of a row; rows of a second come in the order given.
@@ -123,6 +127,9 @@ class Times(State):
                 if mask >> k & 1:
                     del run[bisect_left(run, (sort, source))]
 
+    def matters(self, row: tuple) -> bool:
+        return bool(row[2]) and row[0] is not None and row[1] is not None
+
     def add(self, row: tuple, limit: int) -> None:
         source, sort, mask = row
         if not mask or source is None or sort is None or source < limit:
@@ -133,6 +140,45 @@ class Times(State):
                 insort(run, (sort, source))
 
 
+class Counted(State):
+    """How many rows are seen. Rows: (time,), null for those that do not count."""
+
+    def __init__(self) -> None:
+        self.times: deque[int] = deque()
+
+    def expire(self, limit: int) -> None:
+        while self.times and self.times[0] < limit:
+            self.times.popleft()
+
+    def add(self, row: tuple, limit: int) -> None:
+        if row[0] is not None and row[0] >= limit:
+            self.times.append(row[0])
+
+    def answer(self) -> int:
+        return len(self.times)
+
+
+class Whole(State):
+    """The rows that are seen, as dicts of the fields. Rows: (time, fields ..), time null for those that are not looked for."""
+
+    def __init__(self, fields: Sequence[str]):
+        self.fields, self.rows = list(fields), deque()
+
+    def expire(self, limit: int) -> None:
+        while self.rows and self.rows[0][0] < limit:
+            self.rows.popleft()
+
+    def add(self, row: tuple, limit: int) -> None:
+        if row[0] is not None and row[0] >= limit:
+            self.rows.append(row)
+
+    def answer(self) -> list[dict]:
+        return [dict(zip(self.fields, r[1:], strict=True)) for r in self.rows]
+
+    def matters(self, row: tuple) -> bool:
+        return row[0] is not None
+
+
 class SequenceAny(Times):
     """Times t1 < t2 < .. < tn, one of each query: the earliest that is later than the one before."""
 
