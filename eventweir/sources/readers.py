@@ -18,7 +18,7 @@ CSV_REQUIRED = ("SHORT_NAME", "NAME", "LOG_DATE", "DB_DATE", "MESSAGE")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (value, file, line): text files line by line; line is the position among the file's rows as read."""
+    """Rows (value, file, line): text files line by line; line ascends in a file, with gaps between its splits."""
     return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
 
 
@@ -27,7 +27,7 @@ def line_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def socket_stream(spark: SparkSession, host: str, port: int) -> DataFrame:
-    """Lines over TCP. For development: the socket source does not survive a restart; production reads a replayable log."""
+    """Lines over TCP. For development: it does not survive a restart; sources.sockets has offsets."""
     return spark.readStream.format("socket").option("host", host).option("port", port).load()
 
 
