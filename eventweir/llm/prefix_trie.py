@@ -271,3 +271,29 @@ def hundreds(turns: DataFrame) -> DataFrame:
     """trie() with conversation c rebuilt on c - c % 100, by crc32 of its decimal id modulo 6 turns."""
     conv = F.col("conv")
     return trie(turns, conv - F.pmod(conv, F.lit(GROUP)), F.crc32(conv.cast("string").cast("binary")) % (LONGEST + 1), LONGEST)
+
+
+#: CRC-32 in DuckDB SQL: its table as a list, by rule, and the sum of an ASCII text.
+CRC_TABLE = "crc(t) AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)))"
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text of ASCII characters; crc is among the tables."""
+    return f"xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)"
+
+
+#: DuckDB SQL for hundreds(conversations). Prefixes are lists of turns, which stand for themselves.
+SQL = f"""WITH {CRC_TABLE},
+tu AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, unhex(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+hd AS (SELECT c, c - c % {GROUP} AS b, {crc_sql("CAST(c AS VARCHAR)")} % {LONGEST + 1} AS h FROM (SELECT DISTINCT c FROM tu), crc),
+hb AS (SELECT c, b, h, (SELECT count(*) FROM tu WHERE tu.c = hd.b AND pos <= h) AS hb FROM hd),
+re AS (SELECT hb.c, pos AS d, role, text FROM hb JOIN tu ON tu.c = hb.b AND pos <= h UNION ALL SELECT hb.c, hb.hb + pos - h, role, text FROM hb JOIN tu ON tu.c = hb.c AND pos > h),
+me AS (SELECT c, d, list([role, text]) OVER (PARTITION BY c ORDER BY d) AS p, length(text) AS points FROM re UNION ALL SELECT c, 0, [], 0 FROM hb),
+ed AS (SELECT c, max(d) AS d FROM me GROUP BY c),
+en AS (SELECT p, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends FROM me JOIN ed USING (c, d) GROUP BY p),
+no AS MATERIALIZED (SELECT p, d, min(c) AS conv_id, count(*) AS n, max(points) AS points FROM me GROUP BY p, d),
+ch AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM no WHERE d > 0 GROUP BY 1),
+va AS (SELECT no.p, no.d, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, CASE WHEN no.d = 0 THEN 0 ELSE (n - 1) * points END AS saved FROM no LEFT JOIN ch ON ch.p = no.p),
+up AS (SELECT p[1:k] AS p, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(d + 1)) AS k FROM va) GROUP BY 1)
+SELECT no.conv_id, CAST(no.d AS BIGINT) AS depth, a.conv_id AS parent_conv_id, no.n AS n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM no LEFT JOIN no a ON no.d > 0 AND a.d = no.d - 1 AND a.p = no.p[1:no.d - 1] LEFT JOIN ch ON ch.p = no.p LEFT JOIN en ON en.p = no.p JOIN up ON up.p = no.p"""

@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.SQL, "op11_exact_dedup": exact_dedup.SQL}
+    return {"op10_mixing": mixing.SQL, "op11_exact_dedup": exact_dedup.SQL, "op12_turn_repair": turn_repair.SQL, "op13_prefix_trie": prefix_trie.SQL}

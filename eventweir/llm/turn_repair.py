@@ -364,3 +364,44 @@ def audit_damaged(turns: DataFrame) -> DataFrame:
     out = every.join(found.withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
     given = {c: F.coalesce(F.col(c), F.lit(0)) for c in COUNTS} | {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))}
     return out.select("conv_id", *[x.alias(c) for c, x in given.items()])
+
+
+def repair_sql() -> str:
+    """DuckDB SQL for audit_damaged(conversations): from the last row backwards, for each state the cheapest costs (c), the ASCII-least word
+    (w) and what is left (r) of the rows from there on."""
+    from eventweir.llm.prefix_trie import CRC_TABLE, crc_sql
+
+    made = lambda c, w, r: f"{{'c': CAST({c} AS BIGINT), 'w': {w}, 'r': {r}}}"
+    least = lambda *ways: f"list_min(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))"
+    late = f"CASE WHEN fault = 3 THEN {TRUNCATED} ELSE 0 END"
+
+    def ways(s: int) -> str:
+        t, role = NEXT[s], ROLE[s]
+        keep = f"CASE WHEN fault IN (0, 3) AND initial = '{role[0]}' THEN {made(f'n{t}.c + {late}', f"'K' || n{t}.w", f"chr(10) || role || ':' || text || n{t}.r")} END"
+        more = [f"CASE WHEN fault IN (0, 3) AND initial = 's' THEN {made(f'n1.c + {late}', "'K' || n1.w", "chr(10) || role || ':' || text || n1.r")} END"] if s == 0 else []
+        again = f"CASE WHEN fault IN (0, 3) THEN {made(f'n{t}.c + {REROLE} + {late}', f"'R' || n{t}.w", f"chr(10) || '{role}:' || text || n{t}.r")} END"
+        return least(made(f"n{s}.c + {DELETE}", f"'D' || n{s}.w", f"n{s}.r"), keep, *more, again)
+
+    def inserted(s: int, of: str) -> str:
+        t = f"{of}{NEXT[s]}"
+        return made(f"{t}.c + {INSERT}", f"'I' || {t}.w", f"chr(10) || '{ROLE[s]}:' || {t}.r")
+
+    end = {0: made(0, "''", "''"), 3: made(0, "''", "''"), 2: made(INSERT, "'I'", "chr(10) || 'assistant:'"), 1: made(2 * INSERT, "'II'", "chr(10) || 'user:' || chr(10) || 'assistant:'")}
+    each = lambda f: ", ".join(f(s) for s in range(4))
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    place = "turn NULLS FIRST, unhex(sha256(strlen(role) || ':' || role || text))"
+    space = " || ".join(f"chr({ord(x)})" for x in SPACE)
+    return f"""WITH RECURSIVE {CRC_TABLE},
+ra AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql(key)} % 20 AS k FROM conversations, crc),
+da AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM ra WHERE k <> 0),
+so AS (SELECT conv_id, turn, role, text, left(role, 1) AS initial, rtrim(text, {space}) AS shorn, row_number() OVER (PARTITION BY conv_id ORDER BY {place}) AS i FROM da),
+fa AS MATERIALIZED (SELECT *, CASE WHEN shorn = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(shorn, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS two FROM so),
+be(conv_id, i, n0, n1, n2, n3) AS (SELECT conv_id, max(i) + 1, {each(end.get)} FROM fa GROUP BY conv_id
+  UNION ALL SELECT conv_id, i, {each(lambda s: least(f"p{s}", inserted(s, "q")))} FROM (SELECT *, {each(lambda s: f"{least(f'p{s}', inserted(s, 'p'))} AS q{s}")} FROM
+  (SELECT fa.conv_id, fa.i, {each(lambda s: f"{ways(s)} AS p{s}")} FROM be JOIN fa ON fa.conv_id IS NOT DISTINCT FROM be.conv_id AND fa.i = be.i - 1))),
+co AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM fa GROUP BY conv_id)
+SELECT a.conv_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in COUNTS[:-1])}, coalesce(n0.c, 0) AS cost, coalesce(n0.w, '') AS audit, sha256(coalesce(n0.r[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN co ON co.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN be ON be.conv_id IS NOT DISTINCT FROM a.conv_id AND be.i = 1"""
+
+
+SQL = repair_sql()
