@@ -129,17 +129,27 @@ def associated(df: DataFrame, keys: Sequence[str], joins: Column, forgets: Colum
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(F.col("_kept"), F.col(id_col)))).alias("event_ids"))
 
 
-def counter(df: DataFrame, keys: Sequence[str], op: Column, value: Column, time: str = "arrival", id_col: str = "id", initial: int = 0) -> DataFrame:
+def counter(df: DataFrame, keys: Sequence[str], op: Column, value: Column, time: str = "arrival", id_col: str = "id", initial: int = 0, width: int = 3600) -> DataFrame:
     """Rows with counter: the running value after each row. keys include the window; op is set, inc, dec or null (no change).
 
-    A set begins a new run; within a run the changes are summed.
+    A set begins a new run; within a run the changes are summed. A key's rows are counted in blocks of `width` seconds, and what a block begins
+    with follows from the ends of the blocks before it, so a long window is not one task's work.
     """
-    order = W.partitionBy(*keys).orderBy(time, id_col).rowsBetween(W.unboundedPreceding, 0)
-    rows = df.withColumn("_set", (op == "set").cast("int")).withColumn("_run", F.coalesce(F.sum("_set").over(order), F.lit(0)))
-    step = F.when(op.isin("set", "inc"), value).when(op == "dec", -value).otherwise(0)
-    run = W.partitionBy(*keys, "_run").orderBy(time, id_col).rowsBetween(W.unboundedPreceding, 0)
-    base = F.when(F.col("_run") == 0, F.lit(initial)).otherwise(0)
-    return rows.withColumn("counter", (base + F.sum(step).over(run)).cast("long")).drop("_set", "_run")
+    step = F.coalesce(F.when(op.isin("set", "inc"), value).when(op == "dec", -value), F.lit(0)).cast("long")
+    rows = df.withColumns({"_block": F.floor(F.col(time) / width), "_set": F.coalesce((op == "set").cast("int"), F.lit(0)), "_step": step})
+    by, upto = [*keys, "_block"], (W.unboundedPreceding, 0)
+    rows = rows.withColumn("_run", F.sum("_set").over(W.partitionBy(*by).orderBy(time, id_col).rowsBetween(*upto)))
+    rows = rows.withColumn("_own", F.sum("_step").over(W.partitionBy(*by, "_run").orderBy(time, id_col).rowsBetween(*upto)))
+    blocks = rows.groupBy(*by).agg(F.max("_set").alias("_had"), F.max_by("_own", F.struct(time, id_col)).alias("_end"))
+    blocks = blocks.withColumn("_since", F.sum("_had").over(W.partitionBy(*keys).orderBy("_block").rowsBetween(*upto)))
+    after = F.sum("_end").over(W.partitionBy(*keys, "_since").orderBy("_block").rowsBetween(*upto)) + F.when(F.col("_since") == 0, F.lit(initial)).otherwise(0)
+    blocks = blocks.withColumn("_after", after).withColumn("_before", F.coalesce(F.lag("_after").over(W.partitionBy(*keys).orderBy("_block")), F.lit(initial)))
+    blocks = blocks.select(*[F.col(k).alias(f"_k_{k}") for k in by], "_before")
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = rows.join(blocks, same).withColumn("counter", (F.col("_own") + F.when(F.col("_run") == 0, F.col("_before")).otherwise(0)).cast("long"))
+    return out.drop("_block", "_set", "_step", "_run", "_own", "_before", *[f"_k_{k}" for k in by])
 
 
 def contexts(df: DataFrame, keys: Sequence[str], timeout: int, time: str = "arrival", id_col: str = "id") -> DataFrame:

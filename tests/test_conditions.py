@@ -133,6 +133,20 @@ def test_counter(spark):
     assert [r["counter"] for r in out.orderBy("arrival").collect()] == [6, 7, 10, 9, 9]
 
 
+@pytest.mark.parametrize("width", [1, 7, 50, 10_000])
+def test_counter_in_blocks(spark, width):
+    """The blocks that a key is counted in do not show, nor do null keys, null operations, ties and rows without a time."""
+    rng = random.Random(width)
+    rows = [(f"{k:03}", rng.choice(["x", "x", None]), rng.randrange(300), rng.choice(["inc", "inc", "dec", "set", None]), rng.choice([1, 2, 9])) for k in range(250)]
+    df = spark.createDataFrame(rows, "id string, host string, arrival long, op string, v long")
+    got = {r["id"]: r["counter"] for r in X.counter(df, ["host"], F.col("op"), F.col("v"), initial=3, width=width).collect()}
+    want, now = {}, {}
+    for i, host, _, op, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        before = now.get(host, 3)
+        now[host] = want[i] = v if op == "set" else before + v if op == "inc" else before - v if op == "dec" else before
+    assert got == want
+
+
 @pytest.mark.parametrize("source", ["arrival", "creation"])
 def test_interval_join_equals_all_pairs(spark, source):
     rng = random.Random(5)
