@@ -216,9 +216,10 @@ class Scorer:
         for text in texts:
             counted = Counter(words_of(text or ""))
             # a run of letters may be a whole sentence of a script without spaces: such runs are not remembered
-            apart = [w for w in counted if len(w) > LONGEST]
-            long.append([(w, counted.pop(w)) for w in apart])
             new = [w for w in counted if w not in known]
+            if apart := [w for w in new if len(w) > LONGEST]:
+                new = [w for w in new if len(w) <= LONGEST]
+            long.append([(w, counted.pop(w)) for w in apart])
             at = len(known)
             known.update(zip(new, range(at, at + len(new)), strict=True))
             fresh += new

@@ -35,13 +35,19 @@ _TOGETHER = 32
 _SIMPLE = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+class TooLong(Exception):
+    """A word that is not remembered."""
+
+
 class Known(dict):
-    """Numbers of words; a new word gets the next one and is noted as fresh."""
+    """Numbers of words; a new word gets the next one and is noted as fresh. Long ones are refused, so they are always new."""
 
     def __init__(self):
         self.fresh: list[str] = []
 
     def __missing__(self, word: str) -> int:
+        if len(word) > LONGEST:
+            raise TooLong
         self[word] = n = len(self)
         self.fresh.append(word)
         return n
@@ -201,11 +207,12 @@ class Pieces:
                 whole.append(k)
                 continue
             words = (("\n" + text).replace("\n", " \n")[1:] if self.byte_level else plain).split(" ")
-            if len(max(words, key=len)) > LONGEST:
+            at = np.empty(len(words) + ending, np.int64)
+            try:
+                at[: len(words)] = np.fromiter(map(number, words), np.int64, len(words))
+            except TooLong:
                 whole.append(k)
                 continue
-            at = np.empty(len(words) + ending, np.int64)
-            at[: len(words)] = np.fromiter(map(number, words), np.int64, len(words))
             if ending:
                 at[-1] = end
             rows.append(k)
