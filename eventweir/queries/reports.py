@@ -106,7 +106,7 @@ FATE = "CASE WHEN n % 10 = 0 THEN 'dropped' WHEN n % 7 = 0 THEN 'compressed' WHE
 @query(
     f"""{E}, b AS (SELECT 'input' AS disposition, {FATE} AS fate FROM e UNION ALL SELECT DISTINCT 'new', 'output' FROM e GROUP BY name)
 SELECT count(CASE WHEN disposition = 'input' THEN 1 END) AS input, count(CASE WHEN disposition = 'new' THEN 1 END) AS new, count(CASE WHEN fate = 'waiting' THEN 1 END) AS waiting, count(CASE WHEN fate = 'delayed' THEN 1 END) AS delayed,
-count(CASE WHEN fate = 'dropped' THEN 1 END) AS dropped, count(CASE WHEN fate = 'compressed' THEN 1 END) AS compressed, count(CASE WHEN fate = 'output' THEN 1 END) AS output, CAST(0 AS BIGINT) AS difference FROM (SELECT * FROM b)""".replace("SELECT DISTINCT 'new', 'output' FROM e GROUP BY name", "SELECT 'new', 'output' FROM (SELECT name FROM e WHERE n % 7 = 0 AND n % 10 <> 0 GROUP BY name)")
+count(CASE WHEN fate = 'dropped' THEN 1 END) AS dropped, count(CASE WHEN fate = 'compressed' THEN 1 END) AS compressed, count(CASE WHEN fate = 'output' THEN 1 END) AS output, count(CASE WHEN disposition IN ('input', 'new') THEN 1 END) - count(CASE WHEN fate IN ('waiting', 'delayed', 'dropped', 'compressed', 'output') THEN 1 END) AS difference FROM (SELECT * FROM b)""".replace("SELECT DISTINCT 'new', 'output' FROM e GROUP BY name", "SELECT 'new', 'output' FROM (SELECT name FROM e WHERE n % 7 = 0 AND n % 10 <> 0 GROUP BY name)")
 )
 def event_balance(spark, d):
     n = F.col("id").cast("long")

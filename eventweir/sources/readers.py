@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from eventweir.functions.schema import EVENT_SCHEMA, with_defaults
 from eventweir.functions.scalar import to_epoch
 
+# Columns that a dump must have.
 CSV_REQUIRED = ("SHORT_NAME", "NAME", "LOG_DATE", "DB_DATE", "MESSAGE")
 
 
