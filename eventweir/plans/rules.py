@@ -261,10 +261,22 @@ def create_event(name: str, attributes: dict[str, Column] | None = None, descrip
 
 
 def aggregate_selected(name: str, query: Column, keys: Sequence[str], age: int, inject: str = "input") -> Action:
-    """An aggregated event for each firing row, its children the events that the query sees."""
+    """An aggregated event for each firing row, its children the events that the query sees. These get it as a parent, if the events have
+    references."""
     from eventweir.operators import actions
 
-    return selecting(lambda df, where: _injected(df, actions.aggregate(df.where(where), df.where(query & there(df)), keys, age, name).drop("trigger_id"), inject))
+    def act(df: DataFrame, where: Column) -> DataFrame:
+        made = written(actions.aggregate(df.where(where), df.where(query & there(df)), keys, age, name).drop("trigger_id"), "plan-aggregated")
+        if "references" in df.columns:
+            found = actions.parents_of(made).select(F.col("id").alias("_child"), F.col("parents").alias("_parents"))
+            df = df.join(sized(written(found, "plan-parents")), F.col("id") == F.col("_child"), "left")
+            old = F.coalesce(F.try_element_at("references", F.lit("parent")), F.array().cast("array<string>"))
+            more = F.map_concat(F.map_filter("references", lambda k, _: k != "parent"), F.create_map(F.lit("parent"), F.array_union(old, F.col("_parents"))))
+            hit = F.col("_child").isNotNull()
+            df = df.withColumns({"references": F.when(hit, more).otherwise(F.col("references")), "_touched": F.col("_touched") | hit}).drop("_child", "_parents")
+        return _injected(df, made, inject)
+
+    return selecting(act)
 
 
 def suppress_selected(query: Column, keys: Sequence[str], age: int) -> Action:

@@ -500,6 +500,28 @@ def split_late(df: DataFrame, watermark: int) -> tuple[DataFrame, DataFrame]:
     return df.where(~late), df.where(late)
 
 
+class LateRows:
+    """For foreachBatch: gives sink(in_time, late, number) each batch in two parts. Late are rows more than `late` seconds before the
+    latest arrival of all earlier batches.
+
+    Each batch's latest arrival is a file of its own in the folder, so the mark is known without the caller's help, never falls, survives
+    a restart, and a batch that is run again is split alike. Nothing is late in the first batch. An empty batch, or one whose arrivals
+    are all null, moves no mark; rows without an arrival are in time."""
+
+    def __init__(self, folder: str, late: int, sink: Callable[[DataFrame, DataFrame, int], None]):
+        self.folder, self.late, self.sink = folder.rstrip("/"), late, sink
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = batch.agg(F.max(F.col("arrival").cast("long")).alias("latest"))
+        own.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
+        marks = spark.read.schema("latest long, batch long").option("basePath", self.folder).parquet(self.folder)
+        # a row per batch; the files' own column tells which
+        latest = marks.where(F.col("batch") < number).agg(F.max("latest")).first()[0]
+        rows = batch.withColumn("_late", F.lit(False) if latest is None else F.coalesce(F.col("arrival") < latest - self.late, F.lit(False)))
+        self.sink(rows.where(~F.col("_late")).drop("_late"), rows.where("_late").drop("_late"), number)
+
+
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None = None, path: str | None = None, checkpoint: str = "", mode: str = "append") -> None:
     """Works off what is there, then ends: rows go to sink (foreachBatch) or to a Parquet folder."""
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode(mode)

@@ -95,6 +95,15 @@ def test_rows_that_no_rule_touches_stay_as_they_are(spark):
     assert made["name"] == "N" and made["arrival"] == 5 and made["extra"] is None
 
 
+def test_aggregated_events_become_parents(spark):
+    rows = [{"id": "1", "name": "A", "arrival": 1, "references": {"parent": ["p"], "cross": ["c"]}}, {"id": "2", "name": "A", "arrival": 5}, {"id": "3", "name": "T", "arrival": 6}, {"id": "4", "name": "T", "arrival": 12}]
+    out = {r["id"]: r for r in R.Plan([R.Rule("g", "r", [R.Trigger("event", "T")], None, [R.aggregate_selected("G", P.event_name("A"), ["host"], 8)])]).remaining(events(spark, rows)).collect()}
+    made = {r["arrival"]: r for k, r in out.items() if len(k) > 1}
+    assert {t: r["references"]["child"] for t, r in made.items()} == {6: ["1", "2"], 12: ["2"]}
+    assert out["1"]["references"] == {"cross": ["c"], "parent": ["p", made[6]["id"]]}
+    assert sorted(out["2"]["references"]["parent"]) == sorted(r["id"] for r in made.values()) and out["3"]["references"] == {}
+
+
 def test_windows_of_rows_that_are_due_later(spark):
     """A window takes rows that are due by its first row's time and the timeout; a row's due time is one per second."""
     rng = random.Random(5)

@@ -196,3 +196,29 @@ def test_several_sinks_and_late_rows(spark, stream, tmp_path):
     streams.run_available(stream, writers.fan_out([lambda df, k: df.write.mode("append").parquet(first), late]), checkpoint=str(tmp_path / "check"))
     assert spark.read.parquet(first).count() == 121
     assert spark.read.parquet(second).where("arrival >= 1000").count() == 0 < spark.read.parquet(second).count()
+
+
+def test_late_rows_by_the_streams_own_mark(spark, shuffled, tmp_path):
+    """The mark follows the batches; a batch that is run again is split alike, and every row is in one of the parts."""
+    rows, parts, seen = spark.read.parquet(shuffled), [], []
+
+    def sink(in_time, late, number):
+        parts.append((number, [r["arrival"] for r in in_time.select("arrival").collect()], [r["arrival"] for r in late.select("arrival").collect()]))
+
+    splitter = streams.LateRows(str(tmp_path / "marks"), 500, sink)
+
+    def both(df, number):
+        splitter(df, number)
+        if number == 1:
+            splitter(df, number)
+            assert [sorted(x) for x in parts.pop()[1:]] == [sorted(x) for x in parts[-1][1:]]
+
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(shuffled)
+    streams.run_available(source, both, checkpoint=str(tmp_path / "check"))
+    for number, in_time, late in sorted(parts):
+        mark = max(seen, default=None)
+        assert all(mark is not None and t < mark - 500 for t in late) and all(mark is None or t >= mark - 500 for t in in_time)
+        seen += in_time + late
+    assert len(seen) == rows.count() and any(late for _, _, late in parts)
+    streams.LateRows(str(tmp_path / "none"), 1, lambda a, b, n: parts.append((a.count(), b.count())))(rows.limit(0), 0)
+    assert parts[-1] == (0, 0)
