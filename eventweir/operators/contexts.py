@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from eventweir.functions.schema import ENGINE_HOST, event_id
 from eventweir.operators.frames import Frames, compared
+from eventweir.sources.scratch import written
 
 
 def anchors(times: np.ndarray, timeout: int) -> np.ndarray:
@@ -46,7 +47,38 @@ def _back(df: DataFrame, windows: DataFrame, keys: Sequence[str], time: str) ->
     return df.join(windows, same).drop("_time", *[f"_{k}" for k in keys])
 
 
-def anchored(df: DataFrame, keys: Sequence[str], timeout: int, time: str = "arrival", due: str | None = None) -> DataFrame:
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return same
+
+
+def _joined(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with the other columns of the table, a row per key; null is a key."""
+    named = table.select(*[F.col(k).alias(f"_j_{k}") for k in keys], *[c for c in table.columns if c not in keys])
+    return rows.join(named, _same(keys, "_j_")).drop(*[f"_j_{k}" for k in keys])
+
+
+def _segments(seconds: DataFrame, keys: Sequence[str], time: str, due: str, timeout: int, block: int) -> DataFrame:
+    """seconds with _segment, its first time, and _first and _last of it, worked out in blocks of time: what lies before a block is told by a
+    row per block, so no task has all seconds of a key."""
+    by = [*keys, "_block"]
+    rows = written(seconds.withColumn("_block", F.floor(F.col(time) / block)), "seconds")
+    ends = rows.groupBy(*by).agg(F.max(time).alias("_end"))
+    ends = ends.withColumn("_prev", F.lag("_end").over(W.partitionBy(*keys).orderBy("_block"))).drop("_end")
+    before = F.coalesce(F.lag(time).over(W.partitionBy(*by).orderBy(time)), F.col("_prev"))
+    rows = _joined(rows, ends, by).withColumn("_start", F.when(F.coalesce(F.col(due) - before > timeout, F.lit(True)), F.col(time)))
+    rows = written(rows.drop("_prev"), "seconds-starts")
+    carry = F.max("_latest").over(W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)).alias("_carry")
+    latest = rows.groupBy(*by).agg(F.max("_start").alias("_latest")).select(*by, carry)
+    inside = F.max("_start").over(W.partitionBy(*by).orderBy(time).rowsBetween(W.unboundedPreceding, 0))
+    rows = _joined(rows, latest, by).withColumn("_segment", F.coalesce(inside, F.col("_carry"))).drop("_block", "_start", "_carry")
+    limits = rows.groupBy(*keys, "_segment").agg(F.min(time).alias("_first"), F.max(due).alias("_last"))
+    return _joined(rows, limits, [*keys, "_segment"])
+
+
+def anchored(df: DataFrame, keys: Sequence[str], timeout: int, time: str = "arrival", due: str | None = None, block: int | None = None) -> DataFrame:
     """Rows with win_seq (from 0, per key) and win_start. Rows without a time are left out.
 
     due: a column that says when a row asks to be let in, if not at its time (it may not fall as time goes on in a key, and is one per key
@@ -54,14 +86,24 @@ def anchored(df: DataFrame, keys: Sequence[str], timeout: int, time: str = "arri
 
     A gap above the timeout always begins a window, so gaps cut a key's seconds into independent segments. Segments shorter than the
     timeout are one window; the others are scanned in Arrow batches that carry the open window over, jumping from anchor to anchor.
+
+    block: with very few keys, or one that has most of the log, look for gaps and number windows in blocks of so many seconds, so that a
+    task has a block's seconds or a segment's; else a task has a key's.
     """
     by = W.partitionBy(*keys).orderBy(time)
     seconds = _seconds(df, keys, time, *([due] if due else []))
     due = due or time
+    if block:
+        return _windows(df, _segments(seconds, keys, time, due, timeout, block), keys, timeout, time, due, True)
     seconds = seconds.withColumn("_new", F.coalesce((F.col(due) - F.lag(time).over(by) > timeout).cast("long"), F.lit(0)))
     seconds = seconds.withColumn("_segment", F.sum("_new").over(by)).drop("_new")
     inside = W.partitionBy(*keys, "_segment")
     seconds = seconds.withColumn("_first", F.min(time).over(inside)).withColumn("_last", F.max(due).over(inside))
+    return _windows(df, seconds, keys, timeout, time, due, False)
+
+
+def _windows(df: DataFrame, seconds: DataFrame, keys: Sequence[str], timeout: int, time: str, due: str, apart: bool) -> DataFrame:
+    """df with its windows, from its seconds cut into segments. apart: windows are numbered by themselves, not with all their seconds."""
     short = F.col("_last") - F.col("_first") <= timeout
     one = seconds.where(short).withColumn("win_start", F.col("_first"))
     long = seconds.where(~short)
@@ -92,7 +134,12 @@ def anchored(df: DataFrame, keys: Sequence[str], timeout: int, time: str = "arri
 
     schema = T.StructType([*long.schema.fields, T.StructField("win_start", T.LongType())])
     windows = one.unionByName(long.mapInArrow(scan, schema))
-    windows = windows.withColumn("win_seq", F.dense_rank().over(W.partitionBy(*keys).orderBy("win_start")) - 1)
+    rank = (F.dense_rank().over(W.partitionBy(*keys).orderBy("win_start")) - 1).alias("win_seq")
+    if apart:
+        windows = written(windows, "windows")
+        windows = _joined(windows, windows.select(*keys, "win_start").distinct().select(*keys, "win_start", rank), [*keys, "win_start"])
+    else:
+        windows = windows.select("*", rank)
     return _back(df, windows, keys, time)
 
 

@@ -320,7 +320,7 @@ SELECT s AS "at" FROM al WHERE s IS NOT NULL"""
 def occupancy_alerts(spark, d):
     held = H.occupancy(H.delay_and_cache_time(event_view(spark, d), horizons()))
     over = held.where("held > 12").withColumn("all", F.lit(0))
-    return X.anchored(over, ["all"], 3600, "at").select(F.col("win_start").alias("at")).distinct()
+    return X.anchored(over, ["all"], 3600, "at", block=6 * 3600).select(F.col("win_start").alias("at")).distinct()
 
 
 @query(f"{E}, {HORIZON_SQL} SELECT id, delay_time FROM h2 WHERE NOT local ORDER BY delay_time, creation, id")

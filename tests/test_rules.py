@@ -119,6 +119,17 @@ def test_windows_of_rows_that_are_due_later(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [1, 30, 1000])
+def test_windows_in_blocks(spark, block):
+    """Blocks of time that gaps are looked for in do not show: with short and long segments, null keys, rows without a time, none at all."""
+    rng = random.Random(block)
+    rows = [(str(k), rng.choice(["x", "y", None]), rng.choice([rng.randrange(120), rng.randrange(3000), None])) for k in range(300)]
+    df = spark.createDataFrame(rows, "id string, host string, arrival long")
+    told = lambda x: sorted(map(tuple, x.select("id", "host", "arrival", "win_seq", "win_start").collect()), key=str)
+    assert told(contexts.anchored(df, ["host"], 40, block=block)) == told(contexts.anchored(df, ["host"], 40))
+    assert contexts.anchored(df.limit(0), ["host"], 40, block=block).count() == 0
+
+
 def test_null_keys_meet(spark):
     from eventweir.operators import joins
 
