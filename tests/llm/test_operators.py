@@ -411,6 +411,23 @@ def test_recall_on_a_table(spark, table):
     assert 0.98 * links <= found <= links
 
 
+def test_recall_of_planted_links(spark):
+    """A table with links of its own: 300 pairs at cosines from 0.9 to 0.99 among 1,200 vectors, one group of 100; all against brute force."""
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    a, o = unit(rng.standard_normal((300, 64))), rng.standard_normal((300, 64))
+    o = unit(o - (o * a).sum(1, keepdims=True) * a)
+    cosine = np.linspace(0.901, 0.99, 300)[:, None]
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * o, rng.standard_normal((500, 64)), a[:1] + 0.02 * rng.standard_normal((100, 64))])
+    links = unit(x) @ unit(x).T >= embed_dedup.COSINE
+    np.fill_diagonal(links, False)
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    n = np.array([r["n_links"] for r in embed_dedup.near_duplicates(df).orderBy("vec_id").collect()])
+    want = links.sum(1)
+    assert want.sum() >= 600 and (n <= want).all() and n.sum() >= 0.98 * want.sum()
+    assert n[300:600].sum() >= 0.95 * want[300:600].sum() and (n[450:600] == want[450:600]).mean() >= 0.99
+
+
 def test_filters_recall():
     rng = np.random.default_rng(5)
     code = embed_dedup.Filters(64, 50_000)
