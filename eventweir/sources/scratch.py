@@ -38,8 +38,9 @@ def clear(spark: SparkSession) -> int:
 
 
 def sized(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """The table with a broadcast hint if a count shows that it has at most so many rows; else unchanged."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """The table with a broadcast hint if a count shows that it has at most so many rows; else with one for a merge join, as Spark would
+    broadcast millions of narrow rows whose compressed file is small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

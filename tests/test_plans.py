@@ -3,6 +3,7 @@ from helpers import events, ids
 from pyspark.sql import functions as F
 
 from eventweir.functions import predicates as P
+from eventweir.functions.schema import with_defaults
 from eventweir.operators import contexts as X
 from eventweir.operators import joins
 from eventweir.plans import rules as R
@@ -79,6 +80,14 @@ def test_routing_is_broadcast(spark):
     assert {(r["id"], r["rule"]) for r in out.collect()} == {("1", "r"), ("1", "all"), ("2", "all")}
 
 
+def test_many_changes_are_not_broadcast(spark):
+    """What a rule has changed is a small file, but of more rows than a driver should hold."""
+    df = with_defaults(spark.range(20_001).select(F.col("id").cast("string"), F.lit("A").alias("name"), F.lit("x").alias("host"), F.col("id").alias("arrival")), F.lit(0))
+    out = R.Plan([R.Rule("g", "all", event("A"), None, [R.suppress_selected(P.event_name("A"), ["host"], 10)])]).remaining(df)
+    assert "Broadcast" not in exchanges(out)[1]
+    assert out.where("status = 'inactive'").count() == 20_001
+
+
 def test_context_sample(spark):
     df = events(spark, [{"id": "a", "name": "OPEN", "arrival": 0}, {"id": "b", "arrival": 10}, {"id": "c", "arrival": 11}])
     got = {r["id"]: r["context_start"] for r in X.open_at(df, P.event_name("OPEN"), ["host"], 10).collect()}
