@@ -39,3 +39,8 @@ BY_NUMBER = ("PARTITION BY host ORDER BY arrival)", "PARTITION BY host ORDER BY
 def test_edges_of_tied_events(spark, tmp_path):
     got = {(r["id"], r["ref_id"]) for r in same_as_sql(spark, tmp_path, "event_edges", TIED, BY_NUMBER) if r["reftype"] == "parent"}
     assert got == {("10", "9"), ("11", "8"), ("100", "11"), ("12", "100"), ("14", "13")}
+
+
+def test_depths_of_tied_events(spark, tmp_path):
+    got = same_as_sql(spark, tmp_path, "event_tree_depth", TIED, BY_NUMBER)
+    assert {(r["id"], r["depth"], r["root"]) for r in got} == {("9", 0, "9"), ("10", 1, "9"), ("8", 0, "8"), ("11", 1, "8"), ("100", 2, "8"), ("12", 3, "8"), ("13", 0, "13"), ("14", 1, "13")}
