@@ -83,6 +83,20 @@ def test_two_axes(table, rows, match, source):
         assert got[t["id"]] == "".join("ab"[k] for _, k, _ in found)
 
 
+def test_long_strings_of_few_rows(spark):
+    """The rows that are asked for get their strings, the others none: 30,000 rows see each other, 30 strings of 30,000 letters are made. More
+    letters than leave a sweep at once are dealt over several batches."""
+    n = F.col("id")
+    table = spark.range(30_000).select(n.cast("string").alias("id"), F.when(n % 1000 == 0, "A").otherwise("B").alias("name"), F.lit("x").alias("host"), (n % 5).alias("creation"), F.lit(10).cast("long").alias("arrival"))
+    for more, last in ((10, 30_000), (0, 10_000)):
+        few = table.where(n < last)
+        asked = P.event_name("A") if more else n.cast("long") % 10 == 0
+        got = C.pattern_two_axes(few, [("a", P.event_name("A")), ("b", P.event_name("B"))], "^a+b", ["host"], 10, source="creation", asked=asked)
+        wanted = "".join("a" * (last // 1000) + "b" * (last // 5 - last // 1000) if k == 0 else "b" * (last // 5) for k in range(5))
+        told = got.select("id", (F.col("symbols") == wanted).alias("right"), "matched").collect()
+        assert len(told) == len({r["id"] for r in told}) == (30 if more else 1000) and all(r["right"] and r["matched"] for r in told)
+
+
 def test_sliding_forms(table, rows):
     for sort in ("arrival", "creation"):
         got = hits(C.sequence_all_sliding(table, ABC[:2], ["host"], 40, sort=sort))
